@@ -163,4 +163,5 @@ def _bracketed(values: DataFrame, fractions: list[float], keys: list[str], hot:
 
 def quartiles(series: DataFrame, approx: bool = False, keys: list[str] = SERIES_KEY,
               scale: Scale = DEFAULT) -> DataFrame:
-    return quantiles(series, [0.25, 0.75], keys, approx, scale).withColumnsRenamed({"q0": "q1", "q1": "q3"})
+    return quantiles(series, [0.25, 0.75], keys, approx, scale).select(
+        *keys, F.col("q0").alias("q1"), F.col("q1").alias("q3"))
