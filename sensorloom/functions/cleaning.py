@@ -7,15 +7,15 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accepted time layouts, in order of preference (ISO text is tried first).
-TIME_FORMATS = [
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy/MM/dd HH:mm:ss",
-    "yyyy/MM/dd HH:mm",
-    "MM/dd/yyyy HH:mm:ss",
-    "MM/dd/yyyy HH:mm",
-    "dd-MMM-yyyy HH:mm:ss",
-]
+# Accepted time layouts and the shape of the texts they read (ISO text comes first).
+TIME_FORMATS = {
+    "yyyy/MM/dd HH:mm:ss": r"^\d{4}/\d\d/\d\d \d\d:\d\d:\d\d$",
+    "yyyy/MM/dd HH:mm": r"^\d{4}/\d\d/\d\d \d\d:\d\d$",
+    "MM/dd/yyyy HH:mm:ss": r"^\d\d/\d\d/\d{4} \d\d:\d\d:\d\d$",
+    "MM/dd/yyyy HH:mm": r"^\d\d/\d\d/\d{4} \d\d:\d\d$",
+    "dd-MMM-yyyy HH:mm:ss": r"^\d\d-[A-Z][a-z]{2}-\d{4} \d\d:\d\d:\d\d$",
+}
+ISO_SHAPE = r"^\d{4}-"
 NUMBER_SHAPE = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 # Substring of the lower-cased name -> machine type, first hit wins.
 MACHINE_TYPES = [("pump", "Hydraulic Pump"), ("motor", "Motor"), ("valve", "Valve")]
@@ -28,12 +28,16 @@ def canonical_machine_id(col: Column) -> Column:
     return F.when(text != "", text)
 
 
-def parse_ts(col: Column, formats: list[str] = TIME_FORMATS) -> Column:
-    """Timestamp from text by ISO first, then each layout; null when none fits."""
+def parse_ts(col: Column, formats: dict[str, str] = TIME_FORMATS) -> Column:
+    """Timestamp from text, by the layout whose shape it has; null when none fits.
+
+    Only a text of the right shape reaches a parser, since a failed parse is far dearer than a match.
+    """
     text = F.trim(col)
-    tries = [text.try_cast("timestamp_ntz")]
-    tries += [F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in formats]
-    return F.coalesce(*tries)
+    parsed = F.when(text.rlike(ISO_SHAPE), text.try_cast("timestamp_ntz"))
+    for layout, shape in formats.items():
+        parsed = parsed.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(layout)).cast("timestamp_ntz"))
+    return parsed
 
 
 def nan_to_null(col: Column) -> Column:

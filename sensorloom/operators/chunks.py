@@ -7,17 +7,19 @@ from pyspark.sql import functions as F
 
 from sensorloom.schema import CHUNK_OVERLAP, CHUNK_SIZE
 
-# A numbered heading on a line of its own, white space, and the gap after a sentence.
+# A numbered heading on a line of its own, white space, the gap after a sentence, and
+# the characters that count as white space.
 HEADING = r"(?Udm)^\s*(\d+(?:\.\d+)*\.?\s+[A-Z][^\n]{2,70})\s*$"
 SPACE = r"(?U)\s+"
-EDGES = r"(?U)^\s+|\s+$"
+BLANKS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
+          "\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 SENTENCE_GAP = r"(?<=[.!?])\s+"
 #: pages of one source ordered together when headings are carried
 PAGE_BLOCK = 10_000
 
 
 def strip(col: Column) -> Column:
-    return F.regexp_replace(col, EDGES, "")
+    return F.btrim(col, F.lit(BLANKS))
 
 
 def read_pages(pages: DataFrame) -> DataFrame:

@@ -23,22 +23,33 @@ def with_machine_name(df: DataFrame, machines: DataFrame, scale: Scale = DEFAULT
     return named.withColumn("machine", F.coalesce("_name", F.col("machine_id").cast("string"))).drop("_name")
 
 
-def severity_pivot(anomalies: DataFrame) -> DataFrame:
-    """Anomaly counts by severity and trend, one row per machine."""
+COUNTS = ["high_count", "medium_count", "monitor_count", "anomaly_count", "trending_count"]
+
+
+def anomaly_summary(anomalies: DataFrame) -> DataFrame:
+    """Counts by severity and trend, and the peak, of each machine: one map-side-combined pass.
+
+    The peak is the largest magnitude; ties go to the later, then to the larger parameter name.
+    """
     def of(level: str) -> Column:
         return F.count_if(F.col("severity") == level)
 
+    peak = F.max(F.struct(F.abs("z_score").alias("size"), "ts", "parameter"))
     return anomalies.groupBy("machine_id").agg(
         of("HIGH").alias("high_count"), of("MEDIUM").alias("medium_count"), of("MONITOR").alias("monitor_count"),
-        F.count(F.lit(1)).alias("anomaly_count"), F.count_if("is_trending").alias("trending_count"))
+        F.count(F.lit(1)).alias("anomaly_count"), F.count_if("is_trending").alias("trending_count"),
+        peak.alias("_p"),
+    ).select("machine_id", *COUNTS, F.round("_p.size", 2).alias("max_z"), F.col("_p.parameter").alias("spark_param"))
+
+
+def severity_pivot(anomalies: DataFrame) -> DataFrame:
+    """Anomaly counts by severity and trend, one row per machine."""
+    return anomaly_summary(anomalies).select("machine_id", *COUNTS)
 
 
 def peak_parameter(anomalies: DataFrame) -> DataFrame:
-    """Largest magnitude per machine and the parameter behind it; ties go to the later, then larger name."""
-    size = F.abs("z_score")
-    peak = F.max(F.struct(size.alias("size"), "ts", "parameter"))
-    return anomalies.groupBy("machine_id").agg(peak.alias("_p")).select(
-        "machine_id", F.round("_p.size", 2).alias("max_z"), F.col("_p.parameter").alias("spark_param"))
+    """Largest magnitude per machine and the parameter behind it."""
+    return anomaly_summary(anomalies).select("machine_id", "max_z", "spark_param")
 
 
 def latest_reading(readings: DataFrame, cols: list[str] = PARAMETERS) -> DataFrame:
@@ -48,21 +59,29 @@ def latest_reading(readings: DataFrame, cols: list[str] = PARAMETERS) -> DataFra
         "machine_id", F.col("_l.ts").alias("last_reading"), *[F.col(f"_l.{c}").alias(c) for c in cols])
 
 
-def _pick(parameter: Column, cols: list[str]) -> Column:
-    """The value of the column named by ``parameter``."""
-    return reduce(lambda rest, c: F.when(parameter == c, F.col(c)).otherwise(rest), cols, F.lit(None).cast("double"))
+def reading_tail(readings: DataFrame, n: int = SPARK_POINTS, cols: list[str] = PARAMETERS) -> DataFrame:
+    """``tail``: the last ``n`` readings of each machine, oldest first, as an array."""
+    last = last_rows(readings.select("machine_id", "ts", "row_id", *cols), ["machine_id"], n,
+                     [F.desc("ts"), F.desc("row_id")])
+    points = F.sort_array(F.collect_list(F.struct("ts", "row_id", *cols)))
+    return last.groupBy("machine_id").agg(points.alias("tail"))
+
+
+def spark_points(parameter: Column, cols: list[str] = PARAMETERS) -> Column:
+    """Non-null values of the named parameter in ``tail``; nulls leave after the rows were counted."""
+    def value(point: Column) -> Column:
+        return reduce(lambda rest, c: F.when(parameter == c, point[c]).otherwise(rest), cols,
+                      F.lit(None).cast("double"))
+
+    return F.filter(F.transform("tail", value), lambda v: v.isNotNull())
 
 
 def sparkline(readings: DataFrame, peak: DataFrame, n: int = SPARK_POINTS,
               cols: list[str] = PARAMETERS) -> DataFrame:
-    """Last ``n`` readings of the peak parameter, oldest first; nulls leave after the ``n`` are taken."""
-    last = last_rows(readings.select("machine_id", "ts", "row_id", *cols), ["machine_id"], n,
-                     [F.desc("ts"), F.desc("row_id")])
-    driven = last.join(peak.select("machine_id", "spark_param"), "machine_id", "left")
+    """Last ``n`` readings of the peak parameter of each machine, oldest first."""
+    driven = reading_tail(readings, n, cols).join(peak.select("machine_id", "spark_param"), "machine_id", "left")
     parameter = F.coalesce("spark_param", F.lit(DEFAULT_PEAK))
-    points = F.sort_array(F.collect_list(F.struct("ts", "row_id", _pick(parameter, cols).alias("v"))))
-    kept = F.filter(F.transform(points, lambda p: p["v"]), lambda v: v.isNotNull())
-    return driven.groupBy("machine_id").agg(kept.alias("spark"))
+    return driven.select("machine_id", spark_points(parameter, cols).alias("spark"))
 
 
 def scale_sparkline(lines: DataFrame) -> DataFrame:
@@ -76,18 +95,19 @@ def scale_sparkline(lines: DataFrame) -> DataFrame:
 def fleet_health(machines: DataFrame, readings: DataFrame, anomalies: DataFrame) -> DataFrame:
     """One row per machine, the most urgent first; machines without anomalies stay, green.
 
-    Every input is reduced to one row per machine before it is joined.
+    Readings and anomalies are each read once and reduced to one row per machine before the joins;
+    the latest reading is the newest of the rows the sparkline needs anyway.
     """
-    peak = peak_parameter(anomalies)
-    counts = ["anomaly_count", "high_count", "medium_count", "monitor_count", "trending_count"]
-    sides = [severity_pivot(anomalies), peak, latest_reading(readings), sparkline(readings, peak)]
-    joined = reduce(lambda left, side: left.join(side, "machine_id", "left"), sides,
-                    machines.withColumnRenamed("id", "machine_id"))
-    rows = joined.fillna(0, [*counts, "max_z"]).fillna(DEFAULT_PEAK, ["spark_param"]).select(
+    joined = (machines.withColumnRenamed("id", "machine_id")
+              .join(anomaly_summary(anomalies), "machine_id", "left")
+              .join(reading_tail(readings), "machine_id", "left"))
+    newest = F.element_at("tail", -1)
+    rows = joined.fillna(0, [*COUNTS, "max_z"]).fillna(DEFAULT_PEAK, ["spark_param"]).select(
         F.col("machine_id").alias("id"), "name", "machine_type", "location",
         health(F.col("high_count"), F.col("medium_count"), F.col("monitor_count")).alias("health"),
-        *counts, "last_reading", "max_z", F.struct(*PARAMETERS).alias("latest"), "spark_param",
-        F.coalesce("spark", F.array().cast("array<double>")).alias("spark"))
+        *COUNTS, newest["ts"].alias("last_reading"), "max_z",
+        F.struct(*[newest[p].alias(p) for p in PARAMETERS]).alias("latest"), "spark_param",
+        F.coalesce(spark_points(F.col("spark_param")), F.array().cast("array<double>")).alias("spark"))
     return rows.orderBy(rank_of(F.col("health"), HEALTH_RANK), F.desc("anomaly_count"), "name")
 
 

@@ -41,37 +41,41 @@ def mean_path(n):
     return np.where(n > 2, 2 * (np.log(safe - 1) + EULER) - 2 * (safe - 1) / safe, np.where(n == 2, 1.0, 0.0))
 
 
-def _tree(points: np.ndarray, rng: np.random.Generator, depth_limit: int):
-    """Cut points of one tree in order, and the path length of each interval between them."""
-    cuts, lengths = [], []
-
-    def grow(start: int, end: int, depth: int) -> None:
-        if depth >= depth_limit or end - start < 2 or points[start] == points[end - 1]:
-            lengths.append(depth + float(mean_path(end - start)))
-            return
-        cut = rng.uniform(points[start], points[end - 1])
-        middle = start + int(np.searchsorted(points[start:end], cut, side="right"))
-        grow(start, middle, depth + 1)
-        cuts.append(cut)
-        grow(middle, end, depth + 1)
-
-    grow(0, len(points), 0)
-    return np.array(cuts), np.array(lengths)
-
-
 def fit(values: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """Step function of the anomaly score: ordered edges, and one score per interval."""
+    """Step function of the anomaly score: ordered edges, and one score per interval.
+
+    All trees grow together, a level at a time. A node is a run of its tree's sorted sample; it is
+    cut at a random point between its extremes until it holds one value or the depth is reached.
+    """
     size = min(SAMPLE, len(values))
-    limit = max(math.ceil(math.log2(max(size, 2))), 1)
-    edges, steps, first = [], [], 0.0
-    for _ in range(TREES):
-        cuts, lengths = _tree(np.sort(rng.choice(values, size, replace=False)), rng, limit)
-        first += lengths[0]
-        edges.append(cuts)
-        steps.append(np.diff(lengths))
-    edge, step = np.concatenate(edges), np.concatenate(steps)
+    depth_limit = max(math.ceil(math.log2(max(size, 2))), 1)
+    distinct, code = np.unique(values, return_inverse=True)
+    drawn = np.stack([rng.choice(code, size, replace=False) for _ in range(TREES)])
+    ranks = np.sort(drawn, axis=1)
+    width = len(distinct) + 1
+    flat = (ranks + np.arange(TREES)[:, None] * width).ravel()
+    tree, start, end = np.arange(TREES), np.zeros(TREES, int), np.full(TREES, size)
+    leaves, cuts = [], []
+    for depth in range(depth_limit + 1):
+        low, high = ranks[tree, start], ranks[tree, end - 1]
+        cut = (low < high) & (depth < depth_limit)
+        leaves.append((tree[~cut], start[~cut], depth + mean_path((end - start)[~cut])))
+        tree, start, end = tree[cut], start[cut], end[cut]
+        at = rng.uniform(distinct[low[cut]], distinct[high[cut]])
+        reached = np.searchsorted(distinct, at, side="right")
+        middle = np.searchsorted(flat, tree * width + reached, side="left") - tree * size
+        cuts.append((tree, middle, at))
+        tree, start, end = np.tile(tree, 2), np.concatenate([start, middle]), np.concatenate([middle, end])
+    owner, first, length = (np.concatenate(c) for c in zip(*leaves))
+    order = np.lexsort((first, owner))
+    owner, length = owner[order], length[order]
+    cut_owner, cut_at, edge = (np.concatenate(c) for c in zip(*cuts))
+    edge = edge[np.lexsort((cut_at, cut_owner))]
+    # within a tree the k-th cut lies between leaves k and k+1
+    step = np.diff(length)[owner[1:] == owner[:-1]]
+    lowest = length[np.concatenate([[True], owner[1:] != owner[:-1]])].sum()
     order = np.argsort(edge, kind="stable")
-    paths = (first + np.concatenate([[0.0], np.cumsum(step[order])])) / TREES
+    paths = (lowest + np.concatenate([[0.0], np.cumsum(step[order])])) / TREES
     return edge[order], 2.0 ** (-paths / max(float(mean_path(size)), 1e-12))
 
 
@@ -122,6 +126,10 @@ def attach_spans(sample: DataFrame, spans: DataFrame, keys: list[str]) -> DataFr
 
 def isolation_forest(o: Ordered, threshold: float, window: int, scale: Scale) -> DataFrame:
     """Rows above the series' 1 - contamination quantile of the raw score, scored by its deviation."""
+    if not o.split:
+        # fitting costs more than its bytes suggest: keep the partitions that a size rule would merge
+        parts = int(o.frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        o = Ordered(o.frame.repartition(parts, "machine_id"), o.keys, o.partition, o.order)
     rows = profiled(o, scale).filter(F.col("value").isNotNull() & (F.col("n") >= DETECT_MIN_POINTS))
     if o.split:
         rows = rows.filter(~F.col(HALO))

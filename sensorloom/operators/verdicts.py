@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sensorloom.functions.scoring import FALLBACK_PREFIX, RULE_PREFIX, verdict_rule
 from sensorloom.operators.fleet import anomaly_digest
 from sensorloom.operators.ordered import last_rows
-from sensorloom.operators.retrieval import format_context, retrieve
+from sensorloom.operators.retrieval import context_block, retrieve
 from sensorloom.scale import DEFAULT, Scale
 from sensorloom.schema import CITATION, HISTORY_MESSAGES, NO_ANOMALIES, RECOMMEND_K, VERDICTS
 
@@ -115,11 +115,11 @@ def _with_manuals(rows: DataFrame, chunks: DataFrame | None, k: int) -> DataFram
     if chunks is None:
         return rows.withColumns({"context": F.lit(""), "citations": F.array().cast(CITATIONS)})
     asked = rows.filter(F.col("embedding").isNotNull()).select(F.col("id").alias("query_id"), "embedding")
-    hits = retrieve(asked, chunks, k)
     citation = F.struct("source", "snippet", "page", "section", "score")
-    ranked = F.sort_array(F.collect_list(F.struct("rank", citation.alias("c"))))
-    cited = hits.groupBy("query_id").agg(F.transform(ranked, lambda x: x["c"]).cast(CITATIONS).alias("citations"))
-    found = format_context(hits).join(cited, "query_id").withColumnRenamed("query_id", "id")
+    ranked = F.sort_array(F.collect_list(F.struct("rank", context_block().alias("b"), citation.alias("c"))))
+    found = retrieve(asked, chunks, k).groupBy(F.col("query_id").alias("id")).agg(ranked.alias("_hits")).select(
+        "id", F.array_join(F.transform("_hits", lambda h: h["b"]), "\n\n").alias("context"),
+        F.transform("_hits", lambda h: h["c"]).cast(CITATIONS).alias("citations"))
     return rows.join(found, "id", "left")
 
 

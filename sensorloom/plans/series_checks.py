@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 import sensorloom.operators.forest  # noqa: F401  registers its method
-from sensorloom.functions.cleaning import TIME_FORMATS, fahrenheit_to_celsius, machine_type as type_of
+from sensorloom.functions.cleaning import fahrenheit_to_celsius, machine_type as type_of
 from sensorloom.functions.scoring import severity
 from sensorloom.operators import features as feature_ops
 from sensorloom.operators import forecast as forecast_ops
@@ -53,8 +53,8 @@ NUMBER_SQL = r"CASE WHEN regexp_matches({0}, '^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-
 def raw_events(x: Fixtures) -> DataFrame:
     e, text = F.col("event_id"), F.col("value").cast("string")
     ts = F.col("ts")
-    time = (F.when(e % 11 == 0, "not a time").when(e % 11 == 1, F.date_format(ts, TIME_FORMATS[3]))
-            .when(e % 11 == 2, F.date_format(ts, TIME_FORMATS[2]))
+    time = (F.when(e % 11 == 0, "not a time").when(e % 11 == 1, F.date_format(ts, "MM/dd/yyyy HH:mm:ss"))
+            .when(e % 11 == 2, F.date_format(ts, "yyyy/MM/dd HH:mm"))
             .otherwise(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")))
     user = F.col("user_id").cast("string")
     machine = F.when(e % 13 == 0, "   ").when(e % 13 == 1, F.concat(F.lit("  "), user, F.lit(" "))).otherwise(user)
