@@ -9,6 +9,7 @@ undivided series, so results are identical; halo rows are dropped at the end.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,7 +23,7 @@ SPAN = "_span"
 INDEX = "_idx"
 
 
-@dataclass(frozen=True)
+@dataclass
 class Ordered:
     """A frame with the window partitioning and order that suit its series lengths."""
 
@@ -35,16 +36,27 @@ class Ordered:
     def split(self) -> bool:
         return self.partition != self.keys
 
+    @cached_property
+    def _spec(self) -> WindowSpec:
+        return Window.partitionBy(*self.partition).orderBy(*self.order)
+
+    @cached_property
+    def _whole(self) -> WindowSpec:
+        return self._spec.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+    @cached_property
+    def _so_far(self) -> WindowSpec:
+        return self._spec.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
     def window(self, start: int | None = None, end: int | None = None) -> WindowSpec:
-        spec = Window.partitionBy(*self.partition).orderBy(*self.order)
-        return spec if start is None or end is None else spec.rowsBetween(start, end)
+        return self._spec if start is None or end is None else self._spec.rowsBetween(start, end)
 
     def whole(self) -> WindowSpec:
         """Every row of the window partition, in order."""
-        return self.window(Window.unboundedPreceding, Window.unboundedFollowing)
+        return self._whole
 
     def so_far(self) -> WindowSpec:
-        return self.window(Window.unboundedPreceding, Window.currentRow)
+        return self._so_far
 
     def done(self, frame: DataFrame, keep_index: bool = False) -> DataFrame:
         """Drop the halo rows and the columns that served the ordering."""

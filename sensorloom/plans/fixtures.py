@@ -9,6 +9,7 @@ from sensorloom.functions.cleaning import machine_type
 from sensorloom.operators.detectors import detect
 from sensorloom.operators.features import features, fill_gaps
 from sensorloom.schema import PARAMETERS
+from sensorloom.session import configure
 
 AN_THRESHOLD = 2.0
 EVENT_OF = {"temperature": "view", "pressure": "click", "vibration": "purchase", "rpm": "error"}
@@ -25,7 +26,7 @@ class Fixtures:
     """Lazily built shapes of one scale-factor folder."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        configure(spark)
         self.spark, self.sf_dir = spark, sf_dir
 
     def table(self, name: str) -> DataFrame:

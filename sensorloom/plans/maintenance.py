@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sensorloom.operators.chunks import build_chunks, chunk_counts, drop_source
+from sensorloom.operators.chunks import build_chunks, chunk_counts
 from sensorloom.operators.records import apply_log_changes, drop_keys, orphan_machines
 from sensorloom.schema import TABLES
 from sensorloom.sources.store import Store
@@ -45,21 +45,27 @@ def stored_tables(store: Store) -> FleetTables:
     return FleetTables(*[store.read(n) for n in ("machines", "sensor_readings", "anomalies", "etl_runs")])
 
 
-def store_tables(store: Store, tables: FleetTables) -> None:
-    store.replace("anomalies", tables.anomalies)
-    store.replace("machines", tables.machines)
-    store.replace("etl_runs", tables.runs)
-    store.replace("sensor_readings", tables.readings)
-
-
 def delete_stored_dataset(store: Store, dataset_id: int) -> None:
-    registry = store.read("datasets").filter(F.col("id") != dataset_id)
-    store_tables(store, delete_dataset(stored_tables(store), dataset_id))
-    store.replace("datasets", registry)
+    """Readings and anomalies lose one partition; only the small tables are rewritten.
+
+    The dataset's key is not used again: a dropped partition stays dropped until its table is replaced.
+    """
+    store.drop_partition("sensor_readings", dataset_id)
+    store.drop_partition("anomalies", dataset_id)
+    orphans = orphan_machines(store.read("machines"), store.read("sensor_readings"))
+    if not orphans.isEmpty():
+        gone = orphans.select("id", F.col("id").alias("machine_id"))
+        store.replace("anomalies", drop_keys(store.read("anomalies"), gone, "machine_id"))
+        store.replace("machines", drop_keys(store.read("machines"), gone, "id"))
+    store.replace("etl_runs", store.read("etl_runs").filter(F.col("dataset_id") != dataset_id))
+    store.replace("datasets", store.read("datasets").filter(F.col("id") != dataset_id))
 
 
 def delete_stored_machine(store: Store, machine_id: int) -> None:
-    store_tables(store, delete_machine(stored_tables(store), machine_id))
+    left = delete_machine(stored_tables(store), machine_id)
+    store.replace("anomalies", left.anomalies)
+    store.replace("machines", left.machines)
+    store.replace("sensor_readings", left.readings)
 
 
 def reset_tables(store: Store) -> None:
@@ -92,4 +98,4 @@ def ingest_manual(store: Store, pages: DataFrame, document_id: int, filename: st
 
 
 def delete_manual(store: Store, source: str) -> None:
-    store.replace("manuals", drop_source(store.read("manuals"), source))
+    store.drop_partition("manuals", source)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,15 +17,17 @@ from sensorloom.sources.store import Store
 from sensorloom.sources.tables import log_run, set_status, write_anomalies, write_readings
 
 
-def process_rows(store: Store, raw: DataFrame, threshold: float, window: int, scale: Scale = DEFAULT) -> DataFrame:
+def process_rows(store: Store, raw: DataFrame, own: Callable[[DataFrame], DataFrame], threshold: float,
+                 window: int, scale: Scale = DEFAULT) -> DataFrame:
     """Transform, store and scan raw rows of one or many datasets (``dataset_id``); returns their readings.
 
+    ``own`` narrows a stored table to the datasets at hand.
+
     Each dataset is filled, featured and scanned on its own. Detection reads the stored readings,
     which is also what cuts the lineage between the two sinks.
     """
     write_readings(store, transform(raw, window, ["dataset_id", "machine_id"], scale), scale)
-    ids = raw.select("dataset_id").distinct()
-    stored = store.read("sensor_readings").join(ids, "dataset_id", "left_semi")
+    stored = own(store.read("sensor_readings"))
     write_anomalies(store, detect_upload(stored, threshold, ["dataset_id", *SERIES_KEY], scale))
     return stored
 
@@ -36,9 +40,12 @@ def process_dataset(store: Store, path: str, dataset_id: int, threshold: float =
     set_status(store, "datasets", one.withColumn("filename", F.lit(path.rsplit("/", 1)[-1])), "processing")
     try:
         raw = read_sensor_csv(spark, path).withColumn("dataset_id", F.lit(dataset_id).cast("long"))
-        process_rows(store, raw, threshold, window, scale)
-        own = F.col("dataset_id") == dataset_id
-        rows, found = store.read("sensor_readings").filter(own), store.read("anomalies").filter(own)
+
+        def own(df: DataFrame) -> DataFrame:
+            return df.filter(F.col("dataset_id") == dataset_id)
+
+        rows = process_rows(store, raw, own, threshold, window, scale)
+        found = own(store.read("anomalies"))
         metrics = run_metrics(rows, found)
         run_id = log_run(store, dataset_id, {
             "method": "upload", "threshold": float(threshold), "window": window, "engine": "spark"}, metrics)

@@ -35,8 +35,8 @@ DEFAULT = Scale()
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Upper estimate of the bytes read by ``df``: the sum over the relations it scans."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    """Upper estimate of the bytes read by ``df``: the sum over the relations it names."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
     return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 

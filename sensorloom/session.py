@@ -11,6 +11,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
+# call sites are recorded per column expression otherwise, which slows plan building; set at start only
+START_SETTINGS = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -25,6 +27,6 @@ def local_session(cores: int | str = 8, name: str = "sensorloom", memory: str =
     builder = SparkSession.builder.master(f"local[{cores}]").appName(name)
     builder = builder.config("spark.ui.enabled", "false").config("spark.driver.memory", memory)
     builder = builder.config("spark.sql.shuffle.partitions", str(cores))
-    for key, value in SETTINGS.items():
+    for key, value in (SETTINGS | START_SETTINGS).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()

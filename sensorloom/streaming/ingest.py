@@ -30,7 +30,12 @@ def process_batch(store: Store, lines: DataFrame, threshold: float = DEFAULT_THR
     files = lines.select("file").distinct()
     set_status(store, "datasets", files.select(dataset_key(F.col("file")).alias("id"), name), "processing")
     rows = raw.withColumn("dataset_id", dataset_key(F.col("file"))).drop("file")
-    stored = process_rows(store, rows, threshold, window, scale)
+    ids = files.select(dataset_key(F.col("file")).alias("dataset_id"))
+
+    def own(df: DataFrame) -> DataFrame:
+        return df.join(ids, "dataset_id", "left_semi")
+
+    stored = process_rows(store, rows, own, threshold, window, scale)
     counts = stored.groupBy(F.col("dataset_id").alias("id")).agg(F.count(F.lit(1)).alias("row_count"))
     accepted = files.join(rejected, "file", "left_anti").select(dataset_key(F.col("file")).alias("id"), name)
     set_status(store, "datasets", accepted.join(counts, "id", "left").fillna(0, ["row_count"]), "completed")
