@@ -36,7 +36,7 @@ def smoothed(o: Ordered, window: int) -> DataFrame:
     E the accumulated -ln A, plus the previous chunk's last value decayed by E.
     """
     if window == 1:
-        return o.frame.withColumn("ewma", F.col("value"))
+        return o.frame.filter(F.col("value").isNotNull()).withColumn("ewma", F.col("value"))
     alpha = 2.0 / (window + 1)
     keep = -math.log(1.0 - alpha)
     gap = F.col("_pos") - F.lag("_pos").over(o.window())

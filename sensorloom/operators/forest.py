@@ -98,7 +98,7 @@ def _fit_and_score(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
 def _score_block(key: tuple, rows: pd.DataFrame, sample: pd.DataFrame) -> pd.DataFrame:
     if not len(rows):
         return rows.assign(raw=[])
-    edges, scores = fit(np.sort(sample["value"].to_numpy()), _seeded(key[:-1]))
+    edges, scores = fit(np.sort(sample["sampled"].to_numpy()), _seeded(key[:-1]))
     return rows.assign(raw=score(rows["value"].to_numpy(), edges, scores))
 
 
@@ -114,14 +114,13 @@ def raw_scores(o: Ordered, rows: DataFrame) -> DataFrame:
     unit = F.pmod(F.xxhash64(F.lit(SEED), "row_id"), F.lit(1 << 30)) / float(1 << 30)
     sample = rows.filter(unit < F.lit(2.0 * POOL) / F.col("n")).select(*o.keys, "value")
     spans = rows.select(*o.partition).distinct()
-    sent = attach_spans(sample, spans, o.keys)
-    return rows.groupBy(*o.partition).cogroup(sent.groupBy(*o.partition)).applyInPandas(_score_block, schema)
-
-
-def attach_spans(sample: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
-    """The bounded sample of each series, repeated for each of its spans."""
-    listed = spans.groupBy(*keys).agg(F.collect_set(SPAN).alias("_spans"))  # one number per task_rows rows
-    return sample.join(listed, keys).select(*sample.columns, F.explode("_spans").alias(SPAN))
+    # the bounded sample of each series, repeated for each of its spans; a span stands for task_rows rows
+    listed = spans.groupBy(*o.keys).agg(F.collect_set(SPAN).alias("_spans"))
+    sent = sample.join(listed, o.keys).select(
+        *[F.col(k).alias(f"sampled_{k}") for k in o.keys], F.col("value").alias("sampled"),
+        F.explode("_spans").alias("sampled_span"))
+    other = sent.groupBy(*[f"sampled_{k}" for k in o.keys], "sampled_span")
+    return rows.groupBy(*o.partition).cogroup(other).applyInPandas(_score_block, schema)
 
 
 def isolation_forest(o: Ordered, threshold: float, window: int, scale: Scale) -> DataFrame:

@@ -80,10 +80,12 @@ def test_rows_without_time_or_machine_are_dropped(spark):
 def test_many_files_keep_their_own_headers(spark):
     lines = [("a", HEADER), ("a", "2026-01-01T00:00:00,M1,60,100,1,1500"),
              ("b", "rpm,TEMP_UNIT,machine_id,vibration,pressure,temperature,timestamp"),
-             ("b", '1400,F,"M,2",2,90,140,2026-01-01T00:00:00'),
+             ("b", '1400,F,"M,2",2,90,140,2026-01-01T00:00:00'), ("b", ',,M3,2,,140,2026-01-01T00:00:00'),
              ("c", "timestamp,machine_id,temperature"), ("c", "2026-01-01T00:00:00,M3,1"), ("d", "no header here")]
     good, bad = split_files(spark.createDataFrame(lines, "file string, value string"))
-    rows = {r["file"]: r for r in good.collect()}
+    rows = {r["file"]: r for r in good.filter("machine_id <> 'M3'").collect()}
+    blank = good.filter("machine_id = 'M3'").first()
+    assert (blank["rpm"], blank["pressure"], blank["temperature"]) == ("", "", "140")
     assert rows["a"]["temperature"] == "60" and rows["a"]["temp_unit"] is None
     assert rows["b"]["machine_id"] == "M,2" and rows["b"]["temp_unit"] == "F" and rows["b"]["rpm"] == "1400"
     errors = {r["file"]: r["error"] for r in bad.collect()}
