@@ -7,6 +7,7 @@ A method is a function (ordered series, threshold, window, scale) -> rows with `
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 from sensorloom.functions.scoring import flag, is_trending, severity, severity_fixed
 from sensorloom.operators.ewma import look_back_rows, smoothed
 from sensorloom.operators.ordered import Ordered, ordered
-from sensorloom.operators.series import profiled, quantiles, to_series
-from sensorloom.scale import DEFAULT, Scale, attach
+from sensorloom.operators.series import profiled, profiled_rows, quantiles, to_series
+from sensorloom.scale import DEFAULT, Scale, attach, cut
 from sensorloom.schema import (
     DEFAULT_THRESHOLD, DEFAULT_WINDOW, DETECT_MIN_POINTS, PARAMETERS, SERIES_KEY, UPLOAD_MIN_POINTS)
 
@@ -59,7 +60,7 @@ def detect_upload(readings: DataFrame, threshold: float = DEFAULT_THRESHOLD,
     """Signed z-score over the series of the rows given (one dataset); flagged by magnitude."""
     o = ordered(as_series(readings), keys, scale=scale)
     z = (F.col("value") - F.col("mean")) / F.col("std")
-    scored = o.done(profiled(o, scale)).filter(_usable(UPLOAD_MIN_POINTS)).withColumn("score", z)
+    scored = profiled_rows(o, scale).filter(_usable(UPLOAD_MIN_POINTS)).withColumn("score", z)
     flagged = scored.filter(flag(F.abs("score"), threshold))
     return _output(flagged.withColumn("severity", severity(F.abs("score"), threshold)), "upload")
 
@@ -71,7 +72,7 @@ def _flagged(scored: DataFrame, threshold: float) -> DataFrame:
 
 def zscore(o: Ordered, threshold: float, window: int, scale: Scale) -> DataFrame:
     score = F.abs(F.col("value") - F.col("mean")) / F.col("std")
-    rows = o.done(profiled(o, scale)).filter(_usable(DETECT_MIN_POINTS))
+    rows = profiled_rows(o, scale).filter(_usable(DETECT_MIN_POINTS))
     return _flagged(rows.withColumn("score", score), threshold)
 
 
@@ -103,15 +104,16 @@ def rolling_z(o: Ordered, threshold: float, window: int, scale: Scale) -> DataFr
 
 def residuals(o: Ordered, window: int, scale: Scale) -> DataFrame:
     """Rows with ``resid``, the distance from the running mean, and its sample deviation per series."""
-    base = Ordered(profiled(o, scale), o.keys, o.partition, o.order)
+    base = replace(o, frame=profiled(o, scale))
     rows = smoothed(base, window).withColumn("resid", F.abs(F.col("value") - F.col("ewma")))
     stats = [F.stddev_samp("resid").alias("resid_std"),
              (F.max("resid") > F.min("resid")).alias("resid_varied")]
     if not o.split:
         return rows.withColumns({"resid_std": F.stddev_samp("resid").over(o.whole()),
                                  "resid_varied": F.max("resid").over(o.whole()) > F.min("resid").over(o.whole())})
-    rows = o.done(rows)
-    return attach(rows, rows.groupBy(*o.keys).agg(*stats), o.keys, scale)
+    # read twice: written once, rather than ordered twice
+    rows = cut(o.done(rows))
+    return attach(rows, rows.groupBy(*o.keys).agg(*stats), o.keys, scale, keys_from=o.source)
 
 
 def ewma_residual(o: Ordered, threshold: float, window: int, scale: Scale) -> DataFrame:
@@ -121,7 +123,7 @@ def ewma_residual(o: Ordered, threshold: float, window: int, scale: Scale) -> Da
 
 def with_quartiles(o: Ordered, rows: DataFrame, scale: Scale) -> DataFrame:
     if o.split:
-        return attach(rows, quantiles(rows, [0.25, 0.75], o.keys, scale=scale), o.keys, scale)
+        return attach(rows, quantiles(o.source, [0.25, 0.75], o.keys, scale=scale), o.keys, scale, keys_from=o.source)
     both = F.percentile("value", F.array(F.lit(0.25), F.lit(0.75))).over(o.whole())
     return rows.withColumn("_q", both).withColumns(
         {"q0": F.col("_q")[0], "q1": F.col("_q")[1]}).drop("_q")
@@ -129,7 +131,7 @@ def with_quartiles(o: Ordered, rows: DataFrame, scale: Scale) -> DataFrame:
 
 def iqr(o: Ordered, threshold: float, window: int, scale: Scale) -> DataFrame:
     """Distance outside the fences in units of the interquartile range."""
-    rows = with_quartiles(o, o.done(profiled(o, scale)), scale)
+    rows = with_quartiles(o, profiled_rows(o, scale), scale)
     spread, x, k = F.col("q1") - F.col("q0"), F.col("value"), max(0.5, threshold / 2.0)
     outside = F.greatest(F.col("q0") - k * spread - x, x - F.col("q1") - k * spread)
     rows = rows.filter((F.col("n") >= DETECT_MIN_POINTS) & (spread > 0))

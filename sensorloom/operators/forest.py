@@ -8,6 +8,7 @@ scores its rows in bounded groups.
 from __future__ import annotations
 
 import math
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -19,7 +20,7 @@ from sensorloom.functions.scoring import severity_fixed
 from sensorloom.operators.detectors import register_method
 from sensorloom.operators.ordered import HALO, SPAN, Ordered
 from sensorloom.operators.series import profiled, quantiles
-from sensorloom.scale import Scale, attach
+from sensorloom.scale import Scale, attach, cut
 from sensorloom.schema import DETECT_MIN_POINTS
 
 TREES = 120
@@ -128,17 +129,19 @@ def isolation_forest(o: Ordered, threshold: float, window: int, scale: Scale) ->
     if not o.split:
         # fitting costs more than its bytes suggest: keep the partitions that a size rule would merge
         parts = int(o.frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        o = Ordered(o.frame.repartition(parts, "machine_id"), o.keys, o.partition, o.order)
+        o = replace(o, frame=o.frame.repartition(parts, "machine_id"))
     rows = profiled(o, scale).filter(F.col("value").isNotNull() & (F.col("n") >= DETECT_MIN_POINTS))
     if o.split:
         rows = rows.filter(~F.col(HALO))
     raw = raw_scores(o, rows)
     cut = 1.0 - contamination(threshold)
     if o.split:
+        raw = cut(raw)  # scored once, read three times
         scores = raw.select(*o.keys, F.col("raw").alias("value"))
         stats = raw.groupBy(*o.keys).agg(F.avg("raw").alias("_mean"), F.stddev_pop("raw").alias("_std"))
         limits = quantiles(scores, [cut], o.keys, scale=scale).withColumnRenamed("q0", "_cut")
-        raw = attach(attach(o.done(raw), stats, o.keys, scale), limits, o.keys, scale)
+        raw = attach(attach(o.done(raw), stats, o.keys, scale, keys_from=o.source), limits, o.keys, scale,
+                     keys_from=o.source)
     else:
         series = Window.partitionBy(*o.keys)
         raw = raw.withColumns({"_mean": F.avg("raw").over(series), "_std": F.stddev_pop("raw").over(series),

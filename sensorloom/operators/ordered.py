@@ -31,6 +31,8 @@ class Ordered:
     keys: list[str]
     partition: list[str]
     order: list[str]
+    #: the rows as they were given
+    source: DataFrame
 
     @property
     def split(self) -> bool:
@@ -101,13 +103,15 @@ def ordered(df: DataFrame, keys: list[str], time: str = "ts", tie: str = "row_id
     if not split:
         found = None if split is False else long_series(df, keys, time, scale)
         if found is None:
-            return Ordered(df, keys, keys, [time, tie])
-        df = _indexed(df, keys, time, tie, found, scale)
+            return Ordered(df, keys, keys, [time, tie], df)
+        indexed = _indexed(df, keys, time, tie, found, scale)
+    else:
+        indexed = df
     size = max(scale.task_rows, look_back)
     home = F.floor(F.col(INDEX) / size)
     spans = F.when(F.col(INDEX) % size >= size - look_back, F.array(home, home + 1)).otherwise(F.array(home))
-    frame = df.withColumn(SPAN, F.explode(spans)).withColumn(HALO, F.col(SPAN) != home)
-    return Ordered(frame, keys, [*keys, SPAN], [INDEX])
+    frame = indexed.withColumn(SPAN, F.explode(spans)).withColumn(HALO, F.col(SPAN) != home)
+    return Ordered(frame, keys, [*keys, SPAN], [INDEX], df)
 
 
 def carried(o: Ordered, cols: list[str]) -> tuple[DataFrame, dict[str, Column], dict[str, Column]]:

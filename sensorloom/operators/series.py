@@ -81,7 +81,7 @@ def profiled(o: Ordered, scale: Scale = DEFAULT) -> DataFrame:
     series too long for one task the profile is aggregated and joined back instead.
     """
     if o.split:
-        return attach(o.frame, _profile(o).drop("std_pop"), o.keys, scale)
+        return attach(o.frame, _profile(o).drop("std_pop"), o.keys, scale, keys_from=o.source)
     value, all_rows = F.col("value"), o.whole()
     place = F.when(value.isNotNull(), (F.count("value").over(o.so_far()) - 1).cast("double"))
     rows = o.frame.withColumn("_place", place).withColumns({
@@ -97,6 +97,16 @@ def profiled(o: Ordered, scale: Scale = DEFAULT) -> DataFrame:
     return rows.withColumn("trend_slope", _slope(*columns)).drop("_place", "_slope", "_std_pop")
 
 
+def profiled_rows(o: Ordered, scale: Scale = DEFAULT) -> DataFrame:
+    """The given rows with their profile, for methods that need no order of their own.
+
+    Next to long series the rows are not moved at all when the profiles can be broadcast.
+    """
+    if o.split:
+        return attach(o.source, _profile(o).drop("std_pop"), o.keys, scale)
+    return profiled(o, scale)
+
+
 def trend_slope(series: DataFrame, keys: list[str] = SERIES_KEY, scale: Scale = DEFAULT) -> DataFrame:
     return series_profile(series, keys, scale).select(*keys, "n", "trend_slope")
 

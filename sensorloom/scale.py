@@ -55,15 +55,16 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def attach(rows: DataFrame, side: DataFrame, on: list[str], scale: Scale = DEFAULT,
-           how: str = "inner") -> DataFrame:
+           how: str = "inner", keys_from: DataFrame | None = None) -> DataFrame:
     """Join a side table holding at most one row per key of ``rows``.
 
     Small inputs are left to the planner, which sees their size. For large ones the keys are
-    counted: a bounded side is broadcast so ``rows`` is not moved, any other is shuffled, where
-    adaptive skew handling splits a hot key of ``rows``.
+    counted (in ``keys_from`` when that is cheaper than ``rows`` and holds the same keys): a bounded
+    side is broadcast so ``rows`` is not moved, any other is shuffled, where adaptive skew handling
+    splits a hot key of ``rows``.
     """
     if not is_small(rows, scale):
-        keys = rows.select(*on).distinct().limit(scale.broadcast_rows + 1).count()
+        keys = (rows if keys_from is None else keys_from).select(*on).distinct().limit(scale.broadcast_rows + 1).count()
         if keys <= scale.broadcast_rows:
             side = F.broadcast(side)
     return rows.join(side, on, how)
