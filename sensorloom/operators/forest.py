@@ -134,18 +134,18 @@ def isolation_forest(o: Ordered, threshold: float, window: int, scale: Scale) ->
     if o.split:
         rows = rows.filter(~F.col(HALO))
     raw = raw_scores(o, rows)
-    cut = 1.0 - contamination(threshold)
+    quantile = 1.0 - contamination(threshold)
     if o.split:
         raw = cut(raw)  # scored once, read three times
         scores = raw.select(*o.keys, F.col("raw").alias("value"))
         stats = raw.groupBy(*o.keys).agg(F.avg("raw").alias("_mean"), F.stddev_pop("raw").alias("_std"))
-        limits = quantiles(scores, [cut], o.keys, scale=scale).withColumnRenamed("q0", "_cut")
+        limits = quantiles(scores, [quantile], o.keys, scale=scale).withColumnRenamed("q0", "_cut")
         raw = attach(attach(o.done(raw), stats, o.keys, scale, keys_from=o.source), limits, o.keys, scale,
                      keys_from=o.source)
     else:
         series = Window.partitionBy(*o.keys)
         raw = raw.withColumns({"_mean": F.avg("raw").over(series), "_std": F.stddev_pop("raw").over(series),
-                               "_cut": F.percentile("raw", F.lit(cut)).over(series)})
+                               "_cut": F.percentile("raw", F.lit(quantile)).over(series)})
     deviation = F.abs(F.col("raw") - F.col("_mean")) / F.when(F.col("_std") > 0, F.col("_std")).otherwise(1.0)
     flagged = raw.filter(F.col("raw") > F.col("_cut")).withColumn("_dev", deviation)
     return flagged.withColumn("score", F.greatest("_dev", F.lit(0.5))).withColumn(
