@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-import sensorloom.operators.forest  # noqa: F401  registers its method
 from sensorloom.operators.detectors import detect, validate_params
 from sensorloom.operators.fleet import run_metrics
 from sensorloom.scale import DEFAULT, Scale

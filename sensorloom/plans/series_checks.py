@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-import sensorloom.operators.forest  # noqa: F401  registers its method
 from sensorloom.functions.cleaning import fahrenheit_to_celsius, machine_type as type_of
 from sensorloom.functions.scoring import severity
 from sensorloom.operators import features as feature_ops
