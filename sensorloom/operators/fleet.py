@@ -163,8 +163,8 @@ def run_metrics(rows: DataFrame, anomalies: DataFrame) -> DataFrame:
     found = anomalies.agg(
         F.count(F.lit(1)).alias("anomalies_detected"), F.countDistinct("machine_id").alias("machines_flagged"),
         F.count_if(F.col("severity") == "HIGH").alias("high_severity"))
-    one = F.lit(1).alias("_one")
-    return read.select("*", one).join(found.select("*", one), "_one").drop("_one")
+    both = read.unionByName(found, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
 def _line_order(first: str = "z_score") -> list[Column]:

@@ -39,10 +39,17 @@ def current_value(series: DataFrame, n: int = 3) -> DataFrame:
 
 
 def with_limits(series: DataFrame, limits: dict[str, tuple[float | None, str]] = SERVICE_LIMITS) -> DataFrame:
-    """Attach ``service_limit`` and ``unit``; parameters without a limit are left out."""
-    known = [(p, limit, unit) for p, (limit, unit) in limits.items() if limit is not None]
-    table = series.sparkSession.createDataFrame(known, "parameter string, service_limit double, unit string")
-    return series.join(F.broadcast(table), "parameter")  # one row per parameter, fixed by the caller
+    """Attach ``service_limit`` and ``unit``; parameters without a limit are left out.
+
+    The limits are a handful of constants, so they are looked up in a literal rather than joined.
+    """
+    known = {p: (limit, unit) for p, (limit, unit) in limits.items() if limit is not None}
+    table = F.create_map(*[c for p, (limit, unit) in known.items() for c in (
+        F.lit(p), F.struct(F.lit(float(limit)).alias("service_limit"), F.lit(unit).alias("unit")))])
+    return (series.filter(F.col("parameter").isin(*known))
+            .withColumn("_limit", F.element_at(table, F.col("parameter")))
+            .withColumns({"service_limit": F.col("_limit.service_limit"), "unit": F.col("_limit.unit")})
+            .drop("_limit"))
 
 
 def round_forecast(df: DataFrame) -> DataFrame:
@@ -53,9 +60,9 @@ def round_forecast(df: DataFrame) -> DataFrame:
 def forecast(series: DataFrame, limits: dict[str, tuple[float | None, str]] = SERVICE_LIMITS,
              horizon: float = HORIZON_DAYS) -> DataFrame:
     """One row per limited series, the most urgent of each machine first."""
-    limited = with_limits(series.select(*SERIES_KEY, "ts", "row_id", "value"), limits)
-    fits = with_limits(fit_time_trend(limited), limits)
-    per_day = fits.join(current_value(limited), SERIES_KEY).withColumn("slope_per_day", F.col("slope") * 24.0)
+    limited = with_limits(series, limits).select(*SERIES_KEY, "ts", "row_id", "value")
+    fits = fit_time_trend(limited).join(current_value(limited), SERIES_KEY)
+    per_day = with_limits(fits, limits).withColumn("slope_per_day", F.col("slope") * 24.0)
     outlook = forecast_status(F.col("current"), F.col("service_limit"), F.col("slope_per_day"), horizon)
     rows = per_day.withColumn("_o", outlook).select(
         "machine_id", "parameter", "unit", "current", "service_limit", "slope_per_day", "_o.eta_days", "_o.status")

@@ -47,7 +47,12 @@ def _matrix(column: pd.Series) -> np.ndarray:
 
 
 def nearest(queries: DataFrame, chunks: DataFrame, k: int = RETRIEVE_K) -> DataFrame:
-    """(query_id, id, distance, rank) of the ``k`` chunks nearest to each query, by brute force.
+    """(query_id, id, distance, rank) of the ``k`` chunks nearest to each query, by brute force."""
+    return _nearest(queries, chunks, k)[0]
+
+
+def _nearest(queries: DataFrame, chunks: DataFrame, k: int) -> tuple[DataFrame, bool]:
+    """The hits, and whether there are at most ``k * QUERY_BLOCK`` of them.
 
     Each task reduces its chunks to ``k`` per query before anything is shuffled, so neither pairs
     nor vectors move. A query set too large to send to every task is cut into blocks instead, and
@@ -58,7 +63,7 @@ def nearest(queries: DataFrame, chunks: DataFrame, k: int = RETRIEVE_K) -> DataF
     schema = HITS.format(id=dict(chunks.dtypes)["id"])
     few = asked.limit(QUERY_BLOCK + 1).collect()
     if not few:
-        return chunks.sparkSession.createDataFrame([], schema + ", rank int")
+        return chunks.sparkSession.createDataFrame([], schema + ", rank int"), True
     if len(few) <= QUERY_BLOCK:
         query_ids = [r["query_id"] for r in few]
         matrix = np.array([r["embedding"] for r in few], dtype="float64")
@@ -75,7 +80,8 @@ def nearest(queries: DataFrame, chunks: DataFrame, k: int = RETRIEVE_K) -> DataF
         partial = vectors.mapInPandas(scan, schema)
     else:
         partial = _grid(asked, vectors, k, schema)
-    return last_rows(partial, ["query_id"], k, [F.col("distance"), F.col("id")])
+    hits = last_rows(partial, ["query_id"], k, [F.col("distance"), F.col("id")])
+    return hits, len(few) <= QUERY_BLOCK
 
 
 def _keep(hits: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -108,7 +114,8 @@ def relevance(distance: Column) -> Column:
 
 def retrieve(queries: DataFrame, chunks: DataFrame, k: int = RETRIEVE_K) -> DataFrame:
     """Hits with source, page, section (null when blank), snippet and score; none when there are no chunks."""
-    hits = nearest(queries, chunks, k)
+    hits, bounded = _nearest(queries, chunks, k)
+    hits = F.broadcast(hits) if bounded else hits
     described = hits.join(chunks.select("id", "source", "page", "section", "text"), "id")
     return described.select(
         "query_id", "rank", "id", F.coalesce("source", F.lit("manual")).alias("source"), "page",
@@ -135,11 +142,9 @@ def augment_query(questions: DataFrame, machines: DataFrame, anomalies: DataFram
     """
     known = machines.select(F.col("id").alias("machine_id"), "name", "machine_type")
     own = anomalous_parameters(anomalies).withColumnRenamed("parameters", "_own")
-    fleet = anomalous_parameters(anomalies, by=None).select(
-        F.col("parameters").alias("_fleet"), F.lit(1).alias("_one"))
+    fleet = anomalous_parameters(anomalies, by=None)
     rows = questions.join(known, "machine_id", "left").join(own, "machine_id", "left")
-    rows = rows.withColumn("_one", F.lit(1)).join(F.broadcast(fleet), "_one", "left")  # a single row
-    parameters = F.when(F.col("machine_id").isNull(), F.col("_fleet")).otherwise(F.col("_own"))
+    parameters = F.when(F.col("machine_id").isNull(), fleet.scalar()).otherwise(F.col("_own"))
     terms = F.concat_ws(" ", F.array_compact(F.concat(
         F.array("name", F.when(F.col("machine_type") != "", F.col("machine_type"))),
         F.coalesce(parameters, F.array().cast("array<string>")))))

@@ -95,12 +95,10 @@ def recommend_batch(questions: DataFrame, machines: DataFrame, anomalies: DataFr
     an ``embedding`` of the expanded question when ``chunks`` are given.
     """
     own = anomaly_digest(anomalies, machines, by="machine_id", scale=scale).withColumnRenamed("digest", "_own")
-    whole = anomaly_digest(anomalies, machines, scale=scale).select(
-        F.col("digest").alias("_whole"), F.lit(1).alias("_one"))
-    rows = questions.join(own, "machine_id", "left").withColumn("_one", F.lit(1))
-    rows = rows.join(F.broadcast(whole), "_one", "left")  # a single row
-    rows = rows.withColumn("digest", F.when(F.col("machine_id").isNull(), F.col("_whole")).otherwise(
-        F.coalesce("_own", F.lit(NO_ANOMALIES)))).drop("_own", "_whole", "_one")
+    whole = anomaly_digest(anomalies, machines, scale=scale)
+    rows = questions.join(own, "machine_id", "left")
+    rows = rows.withColumn("digest", F.when(F.col("machine_id").isNull(), whole.scalar()).otherwise(
+        F.coalesce("_own", F.lit(NO_ANOMALIES)))).drop("_own")
     rows = _with_manuals(rows, chunks, k)
     if messages is not None:
         rows = rows.join(_histories(messages), "session_id", "left")

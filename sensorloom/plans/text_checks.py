@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sensorloom.functions.scoring import SAFE_VERDICT, VERDICT_RULES
 from sensorloom.functions.scoring import verdict_rule as rule_on
 from sensorloom.operators import chunks as chunk_ops
 from sensorloom.operators import fleet as fleet_ops
 from sensorloom.operators import retrieval, verdicts
 from sensorloom.plans.checks import check, rounded
 from sensorloom.plans.fixtures import Fixtures, with_shapes
+from sensorloom.schema import NO_ANOMALIES
 
-NO_ANOMALIES = "No anomalies detected in the analyzed sensor data."
 LINE = ("printf('- %s: %s = %.2f at %s | severity %s, z=%.2f%s', coalesce(name, machine_id::VARCHAR), parameter, value, "
         "strftime(ts, '%Y-%m-%d %H:%M'), severity, z_score, CASE WHEN is_trending THEN ' (worsening trend)' ELSE '' END)")
 LINE_ORDER = "z_score DESC, ts, machine_id, parameter"
@@ -24,12 +25,7 @@ FLEET_DIGEST = (f"SELECT string_agg(line, chr(10) ORDER BY r) AS digest FROM (SE
 DIGESTS = {"own": f"SELECT md.id AS machine_id, coalesce(digest, '{NO_ANOMALIES}') AS digest "
                   f"FROM md LEFT JOIN ({OWN_DIGEST}) d ON d.machine_id = md.id",
            "fleet": FLEET_DIGEST}
-REASONS = {
-    "HIGH": ("URGENT_SERVICE", "HIGH-severity anomalies were detected, indicating a likely imminent fault."),
-    "MEDIUM": ("SCHEDULE_SERVICE", "MEDIUM-severity anomalies suggest degradation; schedule service soon."),
-    "MONITOR": ("MONITOR", "Low-severity deviations detected; keep monitoring the affected parameters."),
-    "": ("SAFE", "No meaningful anomalies were detected in the current data."),
-}
+REASONS = {word: (verdict, reason) for word, verdict, reason in [*VERDICT_RULES, ("", *SAFE_VERDICT)]}
 
 
 def rule_sql(digest: str, part: int, prefix: str = "") -> str:
@@ -110,6 +106,7 @@ def coerce_replies(x: Fixtures) -> DataFrame:
         "conv_id", "turn", "verdict", "explanation", shown.alias("cited"))
 
 
+# Fixed value: a numbered heading on a line of its own, in the dialect of the checking engine.
 HEADING = r"(?m)^\s*(\d+(?:\.\d+)*\.?\s+[A-Z][^\n]{2,70})\s*$"
 FULL = "CASE WHEN s.open = '' THEN p.open ELSE trim(right(s.open, 120) || ' ' || p.open) END"
 CUTS = "greatest(ceil((length(b) - 800) / 680.0), 0)::INTEGER"

@@ -48,8 +48,10 @@ def cut(df: DataFrame) -> DataFrame:
     """Checkpoint in the shared folder of the session, so lost executors cost no recomputation."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        # the cluster names the folder; only a session without one (tests) gets its own
+        # the cluster names the folder; only a local session without one (tests) gets its own
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise RuntimeError("Set spark.checkpoint.dir to a folder every executor can reach")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="sensorloom-"))
     return df.checkpoint()
 
