@@ -7,18 +7,19 @@ from oracle import connect, differences
 import __spark_entry__ as contract
 from sensorloom.operators.detectors import detect, detect_upload
 from sensorloom.operators.features import fill_gaps
+from sensorloom.plans.checks import ORACLES, QUERIES
 
 CON = connect(DATA)
 
 
-@pytest.mark.parametrize("name", sorted(contract.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, name):
-    frame = contract.queries()[name](spark, DATA)
-    assert differences(frame, CON, contract.oracle_sql()[name]) == []
+    frame = QUERIES[name](spark, DATA)
+    assert differences(frame, CON, ORACLES[name]) == []
 
 
 def test_every_query_has_sql_but_the_forest():
-    assert set(contract.queries()) - set(contract.oracle_sql()) == {"detect_isolation_forest"}
+    assert set(QUERIES) - set(ORACLES) == {"detect_isolation_forest"}
 
 
 def severities(frame):
