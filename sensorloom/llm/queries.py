@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sensorloom.llm import content_sort, line_rules
+from sensorloom.llm import content_sort, line_rules, simhash
 from sensorloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,9 @@ def op7_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = line_rules.judged(table(spark, sf_dir, "documents"))
     return judged.drop("key", "removed_words")
+
+
+@query()
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.withColumn("fingerprint", simhash.hex_digits(found["fingerprint"]))
