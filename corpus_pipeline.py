@@ -6,9 +6,10 @@ as the documents of the next stage. All but the last return the columns of ``doc
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sensorloom.llm import content_sort, line_rules
+from sensorloom.llm import content_sort, line_rules, mixing, packing, simhash
 from sensorloom.llm.common import stored, table
 
 
@@ -20,7 +21,20 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return content_sort.without_copies(docs)
 
 
-STAGES = [("quality_rules", quality_rules), ("exact_dedup", exact_dedup)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.one_of_each(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed_documents(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.packed_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [("quality_rules", quality_rules), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup),
+          ("mix_sources", mix_sources), ("pack_sequences", pack_sequences)]
 
 #: SQL has no XXH64 fingerprints and no tokenizer, so the stages are tested against brute force
 ORACLE_SQL = None

@@ -131,7 +131,7 @@ def _compare(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for left, right in zip(batch.column(0), batch.column(1), strict=True):
-                a, b = left.values.to_numpy().view(np.uint64), right.values.to_numpy().view(np.uint64)
+                a, b = (x.values.field("fingerprint").to_numpy().view(np.uint64) for x in (left, right))
                 i, j = linked(a, b, radius)
                 apart = a[i] != b[j]
                 if apart.any():
@@ -140,13 +140,12 @@ def _compare(radius: int):
     return run
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE, parts: int | None = None) -> DataFrame:
-    """Edges (a, b) that connect the stored distinct fingerprints as their links within ``radius`` do."""
-    parts = parts or parts_for(distinct.count(), radius)
-    cells = distinct.select("fingerprint", cell_of(F.col("fingerprint"), parts).alias("cell"))
+def _met(held: DataFrame, radius: int, tile: int, parts: int) -> DataFrame:
+    """Pairs of tiles that may hold links, as lists ``left`` and ``right`` of the rows of ``held``."""
+    cells = held.withColumn("cell", cell_of(F.col("fingerprint"), parts))
     sizes = cells.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / tile).alias("tiles"))
     dealt = cells.join(sizes, "cell").withColumn("chunk", F.pmod(F.xxhash64("fingerprint"), F.col("tiles")))
-    tiles = stored(dealt.groupBy("cell", "chunk").agg(F.collect_list("fingerprint").alias("held")), "tiles")
+    tiles = stored(dealt.groupBy("cell", "chunk").agg(F.collect_list(F.struct(*held.columns)).alias("held")), "tiles")
     names = tiles.select("cell", "chunk")
     offsets = F.array(*[F.lit(d).cast("long") for d in near_cells(parts, radius)])
     around = names.withColumn("step", F.explode(offsets)).withColumn("near", F.col("cell") + F.col("step"))
@@ -154,8 +153,13 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE, parts: in
     pairs = around.join(other, "near").filter((F.col("step") != 0) | (F.col("near_chunk") >= F.col("chunk")))
     left = tiles.select("cell", "chunk", F.col("held").alias("left"))
     right = tiles.select(F.col("cell").alias("near"), F.col("chunk").alias("near_chunk"), F.col("held").alias("right"))
-    met = pairs.join(left, ["cell", "chunk"]).join(right, ["near", "near_chunk"]).select("left", "right")
-    return met.mapInArrow(_compare(radius), "a long, b long")
+    return pairs.join(left, ["cell", "chunk"]).join(right, ["near", "near_chunk"]).select("left", "right")
+
+
+def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE, parts: int | None = None) -> DataFrame:
+    """Edges (a, b) that connect the stored distinct fingerprints as their links within ``radius`` do."""
+    parts = parts or parts_for(distinct.count(), radius)
+    return _met(distinct.select("fingerprint"), radius, tile, parts).mapInArrow(_compare(radius), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, tile: int = TILE,
@@ -169,6 +173,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     marks = stored(fingerprints(docs.select("doc_id", "text"), shingle), "fingerprints")
     distinct = stored(marks.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
     found = stored(components(links(distinct, radius, tile, parts)), "components")
+    return _named(marks, distinct, found)
+
+
+def _named(marks: DataFrame, distinct: DataFrame, found: DataFrame) -> DataFrame:
     named = distinct.join(found.withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
     named = named.select("fingerprint", "first_id", F.coalesce("component", "fingerprint").alias("component"))
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
@@ -176,17 +184,145 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     return lookup(marks, final, ["fingerprint"])
 
 
+# ---- near copies by fingerprint and an exact check -------------------------------------------------
+
+#: the pipeline's near copies: word shingles of this length agree in this share of their union
+COPY_WORDS = 5
+COPY_SIMILARITY = 0.8
+#: fingerprints of such copies differ in about 8 bits; this radius leaves few of them out
+COPY_RADIUS = 12
+
+
+def shingle_set(text: bytes, words: int = COPY_WORDS) -> np.ndarray:
+    """Distinct XXH64 of the word shingles of a text, its A-Z in lower case; shorter texts are one shingle."""
+    w = text.translate(_LOWER).split()
+    if not w:
+        return np.empty(0, np.uint64)
+    last = max(1, len(w) - words + 1)
+    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(w[i:i + words]), SEED) for i in range(last)], np.uint64))
+
+
+def _marks(docs: DataFrame, shingle: int, words: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [x.as_py() for x in batch.column(1)]
+            found = np.fromiter((fingerprint(t, shingle) for t in texts), np.uint64, len(texts))
+            sizes = np.fromiter((len(shingle_set(t, words)) for t in texts), np.int64, len(texts))
+            yield pa.record_batch([batch.column(0), pa.array(found.view(np.int64)), pa.array(sizes)],
+                                  ["doc_id", "fingerprint", "shingles"])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, fingerprint long, shingles long")
+
+
+def _sets(docs: DataFrame, chosen: DataFrame, words: int) -> DataFrame:
+    """(fingerprint, shingle set) of the documents (doc_id, fingerprint) in ``chosen``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                found = shingle_set(batch.column(1)[i].as_py(), words).view(np.int64)
+                yield pa.record_batch([batch.column(0).slice(i, 1), pa.array([found], pa.list_(pa.int64()))],
+                                      ["fingerprint", "held"])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("text"))
+    rows = lookup(rows, chosen, ["doc_id"], "inner").select("fingerprint", "text")
+    return rows.mapInArrow(run, "fingerprint long, held array<long>").groupBy("fingerprint").agg(F.min("held").alias("held"))
+
+
+def _candidates(radius: int, similarity: float, all_pairs: bool):
+    """Pairs of a tile pair whose fingerprints are near, whose set sizes allow the similarity and whose labels differ.
+
+    Either all of them, or the nearest ones that connect what they all connect.
+    """
+    def columns(x) -> tuple[np.ndarray, ...]:
+        return tuple(x.values.field(c).to_numpy() for c in ("fingerprint", "shingles", "label"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for left, right in zip(batch.column(0), batch.column(1), strict=True):
+                (a, size_a, label_a), (b, size_b, label_b) = columns(left), columns(right)
+                i, j = linked(a.view(np.uint64), b.view(np.uint64), radius)
+                small, large = np.minimum(size_a[i], size_b[j]), np.maximum(size_a[i], size_b[j])
+                fine = (label_a[i] != label_b[j]) & (small >= similarity * large) & ((a[i] < b[j]) | (b[0] != a[0]))
+                i, j = i[fine], j[fine]
+                if not all_pairs:
+                    keep = _nearest(a[i], b[j])
+                    i, j = i[keep], j[keep]
+                if len(i):
+                    yield pa.record_batch([pa.array(a[i]), pa.array(b[j])], ["a", "b"])
+    return run
+
+
+def _nearest(a: np.ndarray, b: np.ndarray) -> list[int]:
+    """Positions of the pairs of a spanning forest, by distance."""
+    order = np.argsort(np.bitwise_count(a.view(np.uint64) ^ b.view(np.uint64)), kind="stable")
+    values, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    root, left, right, out = list(range(len(values))), at[:len(a)].tolist(), at[len(a):].tolist(), []
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+    for k in order.tolist():
+        x, y = find(left[k]), find(right[k])
+        if x != y:
+            root[x] = y
+            out.append(k)
+    return out
+
+
+def near_copies(docs: DataFrame, shingle: int = SHINGLE, radius: int = COPY_RADIUS, words: int = COPY_WORDS,
+                similarity: float = COPY_SIMILARITY, tile: int = TILE) -> DataFrame:
+    """(doc_id, fingerprint, component_id) like ``near_duplicates``, but links need a similar text too.
+
+    Fingerprints within ``radius`` are candidates, and a candidate is a link when the Jaccard similarity of
+    the texts' word shingles is enough. First the nearest candidates that connect all candidates are
+    checked. Only where one of them fails can candidates remain between different components; all of those are checked
+    next, so no link is lost while a crowd of copies is never checked pair by pair. Texts with
+    the same fingerprint count as linked.
+    """
+    given = docs.select("doc_id", "text")
+    marks = stored(_marks(given, shingle, words), "fingerprints")
+    distinct = stored(marks.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id"), F.min_by("shingles", "doc_id").alias("shingles"))
+                      .fillna(0, ["shingles"]).withColumn("label", F.col("fingerprint")), "distinct-fingerprints")
+    parts = parts_for(distinct.count(), radius)
+
+    def checked(held: DataFrame, all_pairs: bool) -> DataFrame:
+        met = _met(held.select("fingerprint", "shingles", "label"), radius, tile, parts)
+        pairs = stored(met.mapInArrow(_candidates(radius, similarity, all_pairs), "a long, b long").distinct(), "candidates")
+        ends = pairs.select(F.col("a").alias("fingerprint")).union(pairs.select("b")).distinct()
+        chosen = stored(distinct.join(ends, "fingerprint").select("fingerprint", F.col("first_id").alias("doc_id")), "chosen")
+        sets = stored(_sets(given, chosen, words), "shingle-sets")
+        one = sets.select(F.col("fingerprint").alias("a"), F.col("held").alias("x"))
+        two = sets.select(F.col("fingerprint").alias("b"), F.col("held").alias("y"))
+        both = F.size(F.array_intersect("x", "y"))
+        alike = both >= similarity * (F.size("x") + F.size("y") - both)
+        return stored(pairs.join(one, "a").join(two, "b").select("a", "b", (alike & (both > 0)).alias("alike")), "checked")
+
+    first = checked(distinct, False)
+    accepted, failed = first.filter("alike"), first.filter(~F.col("alike"))
+    found = stored(components(accepted.select("a", "b")), "components")
+    if not failed.isEmpty():
+        labelled = (distinct.drop("label").join(found.select(F.col("node").alias("fingerprint"), "component"), "fingerprint", "left")
+                    .withColumn("label", F.coalesce("component", "fingerprint")).drop("component"))
+        ends = failed.select(F.col("a").alias("fingerprint")).union(failed.select("b")).distinct()
+        open_labels = labelled.join(ends, "fingerprint").select("label").distinct()
+        second = checked(stored(labelled.join(open_labels, "label"), "open"), True)
+        more = second.filter("alike").select("a", "b")
+        found = stored(components(accepted.select("a", "b").union(more)), "components")
+    return _named(marks.select("doc_id", "fingerprint"), distinct.select("fingerprint", "first_id"), found)
+
+
 def hex_digits(fingerprint: Column) -> Column:
     return F.lower(F.lpad(F.hex(fingerprint), 16, "0"))
 
 
-def one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The row with the smallest doc_id of every component, with all its columns.
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The row with the smallest doc_id of every group of near copies, with all its columns.
 
     Rows with a null doc_id stay only where their component has no other; equal rows stay together,
     as exact duplicates are another operator's business.
     """
-    found = near_duplicates(docs, shingle, radius)
+    found = near_copies(docs)
     stay = stored(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
                   .select(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")).alias("key")).distinct(), "stay")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
