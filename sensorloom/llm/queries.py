@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sensorloom.llm import content_sort, line_rules, mixing, packing, simhash, token_file
+from sensorloom.llm import content_sort, line_rules, mixing, packing, simhash, token_file, warc
 from sensorloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +96,17 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.token_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+WARC_SQL = """
+  WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+  s AS (SELECT page_id, octet_length(encode(html)) AS n, sha256(html) AS digest FROM p),
+  f AS (SELECT *, min(page_id) OVER (PARTITION BY digest) AS first_id FROM s),
+  r AS (SELECT *, n >= 100 AND page_id <> first_id AS again FROM f)
+  SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+         CASE WHEN again THEN first_id END AS refers_to FROM r"""
+
+
+@query(WARC_SQL)
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(table(spark, sf_dir, "pages"))
