@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sensorloom.llm import content_sort, language, line_rules, mixing, packing, simhash, token_file, warc
+from sensorloom.llm import (content_sort, language, line_rules, mixing, packing, quality, simhash, token_file,
+                            toxicity, warc)
 from sensorloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +117,15 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language.predict(docs, language.fit(docs))
+
+
+@query()
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.graded(docs, quality.fit(docs, quality.grades_of(table(spark, sf_dir, "labels"))))
+
+
+@query()
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.toxicity(docs, *toxicity.fit(docs, table(spark, sf_dir, "labels")))
