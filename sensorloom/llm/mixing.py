@@ -46,7 +46,7 @@ def targets(sizes: list[int], weights: list[float], most: float = MOST_TIMES) ->
         free = [i for i in range(len(sizes)) if i not in capped]
         left = total - sum(most * sizes[i] for i in capped)
         weight = sum(weights[i] for i in free)
-        out = [most * sizes[i] if i in capped else left * weights[i] / weight for i in range(len(sizes))]
+        out = [float(most * sizes[i]) if i in capped else left * weights[i] / weight for i in range(len(sizes))]
         above = {i for i in free if out[i] > most * sizes[i]}
         if not above:
             return out
