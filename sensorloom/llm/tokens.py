@@ -9,12 +9,12 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 
-import numpy as np
-
 #: most pieces that a worker remembers (about 220 bytes each), and the longest remembered piece
-REMEMBERED = 800_000
+REMEMBERED = 1_100_000
 LONGEST = 48
 #: characters of text cut into pieces at a time
 SPAN_CHARS = 1_000_000
@@ -22,8 +22,24 @@ SPAN_CHARS = 1_000_000
 #: fixed: the Unicode white space characters
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _PIECE = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
-#: white space next to white space, or at the end: the blanks of such texts are no cuts of their own
-_RUN = re.compile(f"[{_SPACE}]{{2}}|[{_SPACE}]\\Z")
+#: fixed: white space other than blank and line feed
+_RARE = "\t\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_RARE_ASCII = _RARE[:4]
+#: marks that are tokens of their own after a letter, at the end of a piece
+_MARKS = ".,!?;:"
+
+
+def _even(text: str) -> bool:
+    """No white space but blanks and line feeds, none next to another and none at the end: each blank is a cut of its own."""
+    return not (any(c in text for c in (_RARE_ASCII if text.isascii() else _RARE))
+                or "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[-1:] in (" ", "\n"))
+
+
+def _packed(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
 
 
 class Encoder:
@@ -34,6 +50,9 @@ class Encoder:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.marks = {m: _packed(self.tokenizer.encode(m, add_special_tokens=False).ids) for m in _MARKS}
+        #: whether the vocabulary has no capitals
+        self.folds = self.tokenizer.encode("A").ids == self.tokenizer.encode("a").ids
         #: pieces as they stand in a text, and pieces without the blank before them
         self.known: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
 
@@ -50,13 +69,13 @@ class Encoder:
     def _span(self, texts: list[str]) -> list[bytes]:
         heads, tails = [], []
         for text in texts:
-            if _RUN.search(text):
-                heads.append(_PIECE.findall(text))
-                tails.append([])
-            else:
+            if _even(text):
                 first, *rest = text.split(" ")
                 heads.append([first])
                 tails.append(rest)
+            else:
+                heads.append(_PIECE.findall(text))
+                tails.append([])
         plain, after = self.known
         drop = [*self._learn(plain, set().union(*heads), ""), *self._learn(after, set().union(*tails), " ")]
         out = [b"".join([*map(plain.__getitem__, head), *map(after.__getitem__, tail)])
@@ -67,12 +86,25 @@ class Encoder:
 
     def _learn(self, table: dict[str, bytes], pieces: set[str], before: str) -> list[tuple[dict, str]]:
         """Adds the missing pieces to ``table``; returns those that it must not keep."""
-        new = list(pieces.difference(table))
+        new, whole = pieces.difference(table), []
         if not new:
             return []
         room = REMEMBERED - len(self.known[0]) - len(self.known[1])
-        found = self.tokenizer.encode_batch_fast([before + p for p in new], add_special_tokens=False)
-        table.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(new, found, strict=True))
+        for p in new:
+            # a mark after a known word adds its own id; capitals change nothing where the vocabulary has none
+            known = None
+            if p[-1:] in self.marks and p[-2:-1].isalpha():
+                known = table.get(p[:-1])
+                if known is not None:
+                    known += self.marks[p[-1]]
+            elif self.folds and p.isascii() and p.isalpha():
+                known = table.get(p.lower())
+            if known is None:
+                whole.append(p)
+            else:
+                table[p] = known
+        found = self.tokenizer.encode_batch_fast([before + p for p in whole], add_special_tokens=False)
+        table.update((p, _packed(e.ids)) for p, e in zip(whole, found, strict=True))
         # frequent pieces are met early, so a full table stays as it is
         return [(table, p) for i, p in enumerate(new) if i >= room or len(p) > LONGEST]
 
