@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorloom.llm.common import running, stored, text_or_empty, words_of
+from sensorloom.llm.common import let, running, stored, text_or_empty, words_of
 
 #: fixed by the contract
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -218,10 +218,10 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots
              .groupBy("number", "start", "turn").agg(
                  F.sort_array(F.collect_list(F.struct("skip", "words"))).alias("parts"), F.sum("words").alias("taken")))
     whole = drawn.placed.filter("size > 0").join(parts, ["number", "start"])
-    words = words_of(text_or_empty("row.text"))
-    some = F.array_join(F.flatten(F.transform("parts", lambda p: F.slice(F.col("words"), (p["skip"] + 1).cast("int"), p["words"].cast("int")))), " ")
-    text = F.when(F.col("taken") == F.col("size"), F.col("row.text")).otherwise(some)
-    out = whole.withColumn("words", words).withColumn("text", text)
+    # the words are split once for each row, not for each part
+    some = let(words_of(text_or_empty("row.text")), lambda words: F.array_join(F.flatten(F.transform(
+        "parts", lambda p: F.slice(words, (p["skip"] + 1).cast("int"), p["words"].cast("int")))), " "))
+    out = whole.withColumn("text", F.when(F.col("taken") == F.col("size"), F.col("row.text")).otherwise(some))
     columns = [F.col("text") if c == "text" else F.char_length("text").cast("long").alias(c) if c == "n_chars"
                else F.col("row")[c].alias(c) for c in docs.columns]
     return out.select(*columns)
