@@ -22,8 +22,9 @@ HIDDEN = 8
 WINDOW = 96
 #: bounded training sample: documents of each language, and windows of each document
 SAMPLE_DOCUMENTS = 800
-SAMPLE_WINDOWS = 3
-EPOCHS = 14
+SAMPLE_WINDOWS = 4
+#: training steps, whatever the size of the sample, and windows in each
+STEPS = 600
 BATCH = 128
 RATE = 0.01
 SEED = 11
@@ -137,19 +138,20 @@ class Network:
         return loss, grads
 
 
-def trained(windows: np.ndarray, wanted: np.ndarray, languages: list[str], hidden: int = HIDDEN, epochs: int = EPOCHS,
+def trained(windows: np.ndarray, wanted: np.ndarray, languages: list[str], hidden: int = HIDDEN, steps: int = STEPS,
             seed: int = SEED) -> Network:
     """Adam over shuffled batches, the rate falling to a tenth."""
     net, rng, step = Network.fresh(languages, hidden, seed), np.random.default_rng(seed), 0
     first, second = ([np.zeros_like(p) for p in net.parameters] for _ in range(2))
-    batches = max(1, len(windows) // BATCH)
-    for _ in range(epochs):
+    while step < steps:
         order = rng.permutation(len(windows))
-        for part in np.array_split(order, batches):
+        for part in np.array_split(order, max(1, len(windows) // BATCH)):
+            if step == steps:
+                break
             _, grads = net.gradients(windows[part], wanted[part])
             norm = np.sqrt(sum(float((g * g).sum()) for g in grads))
             step += 1
-            rate = RATE * (1 - 0.9 * step / (epochs * batches))
+            rate = RATE * (1 - 0.9 * step / steps)
             for p, g, a, b in zip(net.parameters, grads, first, second, strict=True):
                 g *= min(1.0, 1.0 / (norm + 1e-9))
                 a += 0.1 * (g - a)
