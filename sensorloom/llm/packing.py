@@ -46,7 +46,8 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
         for batch in batches:
             rows: list[tuple] = []
             held = 0
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder(vocabulary).encode(batch.column(1).to_pylist()), strict=True):
+            for doc_id, ids in zip(batch.column(0).to_pylist(),
+                                 encoder(vocabulary).encode(x.as_py() for x in batch.column(1)), strict=True):
                 ids += tail
                 n = len(ids) // 4
                 ends = range(n % capacity or capacity, n + 1, capacity)

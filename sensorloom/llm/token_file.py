@@ -157,7 +157,8 @@ def write_tokens(docs: DataFrame, vocabulary: str, folder: str, end_id: int = EN
             block, held = block + 1, 0
             return out
         for batch in batches:
-            for name, ids in zip(batch.column(0).to_pylist(), encoder(vocabulary).encode(batch.column(1).to_pylist()), strict=True):
+            for name, ids in zip(batch.column(0).to_pylist(),
+                                 encoder(vocabulary).encode(x.as_py() for x in batch.column(1)), strict=True):
                 names.append(name)
                 tokens.append(ids + tail)
                 held += len(ids) // 4 + 1

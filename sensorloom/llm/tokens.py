@@ -11,10 +11,10 @@ import os
 import re
 import sys
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 #: most pieces that a worker remembers (about 220 bytes each), and the longest remembered piece
-REMEMBERED = 1_100_000
+REMEMBERED = 600_000
 LONGEST = 48
 #: characters of text cut into pieces at a time
 SPAN_CHARS = 1_000_000
@@ -56,15 +56,18 @@ class Encoder:
         #: pieces as they stand in a text, and pieces without the blank before them
         self.known: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
 
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        at = 0
-        while at < len(texts):
-            end, chars = at, 0
-            while end < len(texts) and (end == at or chars + len(texts[end]) <= SPAN_CHARS):
-                chars += len(texts[end])
-                end += 1
-            yield from self._span(texts[at:end])
-            at = end
+    def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """The ids of each text. Texts are drawn a few at a time, so a batch is never held twice."""
+        held: list[str] = []
+        chars = 0
+        for text in texts:
+            if held and chars + len(text) > SPAN_CHARS:
+                yield from self._span(held)
+                held, chars = [], 0
+            held.append(text)
+            chars += len(text)
+        if held:
+            yield from self._span(held)
 
     def _span(self, texts: list[str]) -> list[bytes]:
         heads, tails = [], []
