@@ -190,14 +190,14 @@ def fit(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS, windows: int = SAMPL
 
     The documents are those with the least hashes, their windows lie anywhere in their texts. None without labelled rows.
     """
-    rows = docs.filter(F.col("lang").isNotNull() & ~held_out() & (F.length("text") > 0)).select(
-        "lang", "text", F.xxhash64("text").alias("h"))
-    first = Window.partitionBy("lang").orderBy("h")
-    chosen = rows.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= documents)
-    room = F.greatest(F.length("text") - WINDOW, F.lit(0)) + 1
-    parts = F.array(*[F.substring(F.col("text"), F.pmod(F.xxhash64("h", F.lit(i)), room).cast("int") + 1, F.lit(WINDOW))
+    h, room = F.xxhash64("text"), F.greatest(F.length("text") - WINDOW, F.lit(0)) + 1
+    parts = F.array(*[F.substring(F.col("text"), F.pmod(F.xxhash64(h, F.lit(i)), room).cast("int") + 1, F.lit(WINDOW))
                       for i in range(windows)])
-    sample = chosen.select("lang", F.explode(F.array_distinct(parts)).alias("part")).orderBy("lang", "part").collect()
+    # the windows are cut before the ranking, so no text is moved
+    rows = docs.filter(F.col("lang").isNotNull() & ~held_out() & (F.length("text") > 0)).select(
+        "lang", h.alias("h"), F.array_distinct(parts).alias("parts"))
+    chosen = rows.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("n") <= documents)
+    sample = chosen.select("lang", F.explode("parts").alias("part")).orderBy("lang", "part").collect()
     if not sample:
         return None
     languages = sorted({r["lang"] for r in sample})
