@@ -7,15 +7,25 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accepted time layouts and the shape of the texts they read (ISO text comes first).
+# Accepted time layouts and the shape of the texts they read (ISO text comes first). With slashes
+# and the year last the month comes first, with dots the day does.
 TIME_FORMATS = {
-    "yyyy/MM/dd HH:mm:ss": r"^\d{4}/\d\d/\d\d \d\d:\d\d:\d\d$",
-    "yyyy/MM/dd HH:mm": r"^\d{4}/\d\d/\d\d \d\d:\d\d$",
-    "MM/dd/yyyy HH:mm:ss": r"^\d\d/\d\d/\d{4} \d\d:\d\d:\d\d$",
-    "MM/dd/yyyy HH:mm": r"^\d\d/\d\d/\d{4} \d\d:\d\d$",
+    "yyyy/M/d H:mm:ss": r"^\d{4}/\d{1,2}/\d{1,2} \d{1,2}:\d\d:\d\d$",
+    "yyyy/M/d H:mm": r"^\d{4}/\d{1,2}/\d{1,2} \d{1,2}:\d\d$",
+    "yyyy/M/d": r"^\d{4}/\d{1,2}/\d{1,2}$",
+    "M/d/yyyy H:mm:ss": r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d\d:\d\d$",
+    "M/d/yyyy H:mm": r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d\d$",
+    "M/d/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$",
+    "M/d/yyyy h:mm:ss a": r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d\d:\d\d [AP]M$",
+    "M/d/yyyy h:mm a": r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d\d [AP]M$",
+    "d.M.yyyy H:mm:ss": r"^\d{1,2}\.\d{1,2}\.\d{4} \d{1,2}:\d\d:\d\d$",
+    "d.M.yyyy H:mm": r"^\d{1,2}\.\d{1,2}\.\d{4} \d{1,2}:\d\d$",
+    "d.M.yyyy": r"^\d{1,2}\.\d{1,2}\.\d{4}$",
     "dd-MMM-yyyy HH:mm:ss": r"^\d\d-[A-Z][a-z]{2}-\d{4} \d\d:\d\d:\d\d$",
 }
 ISO_SHAPE = r"^\d{4}-"
+#: ISO text that names its distance from UTC
+OFFSET_SHAPE = r"^\d{4}-.*\d(Z|[+-]\d\d(:?\d\d)?)$"
 NUMBER_SHAPE = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 # Substring of the lower-cased name -> machine type, first hit wins.
 MACHINE_TYPES = [("pump", "Hydraulic Pump"), ("motor", "Motor"), ("valve", "Valve")]
@@ -31,10 +41,12 @@ def canonical_machine_id(col: Column) -> Column:
 def parse_ts(col: Column, formats: dict[str, str] = TIME_FORMATS) -> Column:
     """Timestamp from text, by the layout whose shape it has; null when none fits.
 
-    Only a text of the right shape reaches a parser, since a failed parse is far dearer than a match.
+    Only a text of the right shape reaches a parser, since a failed parse is far dearer than a match. A time
+    with an offset becomes UTC, which is the zone of the session.
     """
     text = F.trim(col)
-    parsed = F.when(text.rlike(ISO_SHAPE), text.try_cast("timestamp_ntz"))
+    offset = text.rlike(OFFSET_SHAPE) & text.contains(":")
+    parsed = F.when(offset, text.try_cast("timestamp").cast("timestamp_ntz")).when(text.rlike(ISO_SHAPE), text.try_cast("timestamp_ntz"))
     for layout, shape in formats.items():
         parsed = parsed.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(layout)).cast("timestamp_ntz"))
     return parsed

@@ -33,7 +33,8 @@ def smoothed(o: Ordered, window: int) -> DataFrame:
 
     With g rows since the last value the recurrence is y = A*y_prev + (1-A)*x, where
     A = q^g / (q^g + alpha). It is linear, so inside a chunk y = exp(-E) * sum((1-A)*x*exp(E)) with
-    E the accumulated -ln A, plus the previous chunk's last value decayed by E.
+    E the -ln A accumulated after the chunk's first row, which keeps exp(E) finite after any gap. The previous
+    chunk's last value is decayed by E and by the first row's own -ln A.
     """
     if window == 1:
         return o.frame.filter(F.col("value").isNotNull()).withColumn("ewma", F.col("value"))
@@ -50,12 +51,14 @@ def smoothed(o: Ordered, window: int) -> DataFrame:
         .withColumn("_weight", F.coalesce(1.0 - F.exp(-F.col("_decay")), F.lit(1.0)))
         .withColumn("_decay", F.coalesce("_decay", F.lit(0.0)))
         .withColumn("_chunk", F.floor(F.sum("_decay").over(o.so_far()) / CHUNK_DECAY))
-        .withColumn("_e", F.sum("_decay").over(chunk))
+        .withColumn("_first", F.first("_decay").over(chunk))
+        .withColumn("_e", F.sum("_decay").over(chunk) - F.col("_first"))
         .withColumn("_part", F.exp(-F.col("_e"))
                     * F.sum(F.col("_weight") * F.col("value") * F.exp("_e")).over(chunk))
         .withColumn("_carry", F.max_by("_part", "_e").over(before))
-        .withColumn("ewma", F.col("_part") + F.coalesce(F.exp(-F.col("_e")) * F.col("_carry"), F.lit(0.0)))
-        .drop("_pos", "_decay", "_weight", "_chunk", "_e", "_part", "_carry")
+        .withColumn("ewma", F.col("_part") + F.coalesce(
+            F.exp(-F.col("_e") - F.col("_first")) * F.col("_carry"), F.lit(0.0)))
+        .drop("_pos", "_decay", "_weight", "_chunk", "_first", "_e", "_part", "_carry")
     )
 
 

@@ -18,17 +18,18 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from sensorloom.functions.scoring import severity_fixed
 from sensorloom.operators.detectors import register_method
-from sensorloom.operators.ordered import HALO, SPAN, Ordered
+from sensorloom.operators.ordered import HALO, SPAN, Ordered, last_rows
 from sensorloom.operators.series import profiled, quantiles
 from sensorloom.scale import Scale, attach, cut
 from sensorloom.schema import DETECT_MIN_POINTS
 
 TREES = 120
 SAMPLE = 256
-#: rows of a long series from which the trees draw, enough for every tree to have its own
+#: rows of a series from which the trees draw, enough for every tree to have its own
 POOL = TREES * SAMPLE
 SEED = 0
 EULER = 0.5772156649
+HASH = "_pool_hash"
 
 
 def contamination(threshold: float) -> float:
@@ -89,10 +90,10 @@ def _seeded(key: tuple) -> np.random.Generator:
     return np.random.default_rng([SEED, *[int(d) for d in digest]])
 
 
-def _fit_and_score(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+def _fit_and_score(key: tuple, rows: pd.DataFrame, pool_rows: int) -> pd.DataFrame:
     values = rows["value"].to_numpy()
-    # the sample must not depend on the order in which rows arrive
-    edges, scores = fit(np.sort(values), _seeded(key))
+    pool = values[np.lexsort((values, rows[HASH].to_numpy()))[:pool_rows]]
+    edges, scores = fit(np.sort(pool), _seeded(key))
     return rows.assign(raw=score(values, edges, scores))
 
 
@@ -106,14 +107,17 @@ def _score_block(key: tuple, rows: pd.DataFrame, sample: pd.DataFrame) -> pd.Dat
 def raw_scores(o: Ordered, rows: DataFrame) -> DataFrame:
     """Add ``raw``, higher for rows that are easier to isolate.
 
-    Ordinary series are one group. A long series is scored span by span; every span fits the same
-    trees from the same seeded, bounded sample, which is sent to the spans in place of a model.
+    The trees of a series draw from its ``POOL`` rows with the lowest hashes of ``row_id``, from all if
+    there are fewer, with a random stream that the key seeds. Ordinary series are one group. A long
+    series is scored span by span; every span fits the same trees from the same pool, which is sent
+    to the spans in place of a model, so the scores do not depend on how a series is divided.
     """
+    rows = rows.withColumn(HASH, F.xxhash64(F.lit(SEED), "row_id"))
     schema = StructType([*rows.schema.fields, StructField("raw", DoubleType())])
     if not o.split:
-        return rows.groupBy(*o.keys).applyInPandas(_fit_and_score, schema)
-    unit = F.pmod(F.xxhash64(F.lit(SEED), "row_id"), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.filter(unit < F.lit(2.0 * POOL) / F.col("n")).select(*o.keys, "value")
+        pool_rows = POOL
+        return rows.groupBy(*o.keys).applyInPandas(lambda key, own: _fit_and_score(key, own, pool_rows), schema)
+    sample = last_rows(rows.select(*o.keys, HASH, "value"), o.keys, POOL, [F.col(HASH), F.col("value")]).drop(HASH, "rank")
     spans = rows.select(*o.partition).distinct()
     # the bounded sample of each series, repeated for each of its spans; a span stands for task_rows rows
     listed = spans.groupBy(*o.keys).agg(F.collect_set(SPAN).alias("_spans"))
@@ -149,7 +153,7 @@ def isolation_forest(o: Ordered, threshold: float, window: int, scale: Scale) ->
     deviation = F.abs(F.col("raw") - F.col("_mean")) / F.when(F.col("_std") > 0, F.col("_std")).otherwise(1.0)
     flagged = raw.filter(F.col("raw") > F.col("_cut")).withColumn("_dev", deviation)
     return flagged.withColumn("score", F.greatest("_dev", F.lit(0.5))).withColumn(
-        "severity", severity_fixed(F.col("_dev"))).drop("_mean", "_std", "_cut", "_dev", "raw")
+        "severity", severity_fixed(F.col("_dev"))).drop("_mean", "_std", "_cut", "_dev", "raw", HASH)
 
 
 register_method("isolation_forest", isolation_forest)

@@ -58,8 +58,9 @@ def _nearest(queries: DataFrame, chunks: DataFrame, k: int) -> tuple[DataFrame,
     nor vectors move. A query set too large to send to every task is cut into blocks instead, and
     every block of chunks meets every block of queries.
     """
-    vectors = chunks.select("id", F.col("embedding").cast("array<double>").alias("embedding"))
-    asked = queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    # a row without a vector is nearest to nothing
+    vectors = chunks.select("id", F.col("embedding").cast("array<double>").alias("embedding")).filter(F.size("embedding") > 0)
+    asked = queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding")).filter(F.size("embedding") > 0)
     schema = HITS.format(id=dict(chunks.dtypes)["id"])
     few = asked.limit(QUERY_BLOCK + 1).collect()
     if not few:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensorloom.functions.scoring import FALLBACK_PREFIX, RULE_PREFIX, verdict_rule
+from sensorloom.operators.chunks import strip
 from sensorloom.operators.fleet import anomaly_digest
 from sensorloom.operators.ordered import last_rows
 from sensorloom.operators.retrieval import context_block, retrieve
@@ -40,23 +41,25 @@ def coerce_replies(df: DataFrame, reply_col: str, digest_col: str = "digest") ->
     Unknown verdicts become MONITOR, blank explanations a fixed text, citations that are not a list
     an empty one. A reply that is no JSON object falls back to the rule on the digest.
     """
-    reply = F.col(reply_col)
-    fields = F.from_json(reply, "verdict string, explanation string, citations string, _bad string",
-                         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    usable = F.trim(reply).startswith("{") & F.col("_r").isNotNull() & F.col("_r._bad").isNull()
-    verdict = F.trim(F.upper("_r.verdict"))
+    reply = strip(F.col(reply_col))
+    # inside a list, a reply with anything after its closing brace is no JSON or more than one entry
+    fields = F.from_json(F.concat(F.lit("["), reply, F.lit("]")),
+                         "array<struct<verdict: string, explanation: string, citations: string>>",
+                         {"mode": "PERMISSIVE", "allowSingleQuotes": "false"})
+    usable = reply.startswith("{") & (F.size("_all") == 1) & F.col("_r").isNotNull()
+    verdict = strip(F.upper("_r.verdict"))
     listed = F.trim(F.coalesce("_r.citations", F.lit(""))).startswith("[")
     empty = F.array().cast(CITATIONS)
     rule = verdict_rule(F.col(digest_col), FALLBACK_PREFIX + RULE_PREFIX)
     return (
-        df.withColumn("_r", fields).withColumn("_ok", F.coalesce(usable, F.lit(False)))
+        df.withColumn("_all", fields).withColumn("_r", F.get("_all", F.lit(0))).withColumn("_ok", F.coalesce(usable, F.lit(False)))
         .withColumn("verdict", F.when(~F.col("_ok"), rule["verdict"])
                     .when(verdict.isin(*VERDICTS), verdict).otherwise(DEFAULT_VERDICT))
         .withColumn("explanation", F.when(~F.col("_ok"), rule["explanation"])
-                    .otherwise(_or_else(F.trim("_r.explanation"), NO_EXPLANATION)))
+                    .otherwise(_or_else(strip(F.col("_r.explanation")), NO_EXPLANATION)))
         .withColumn("citations", F.when(F.col("_ok") & listed, F.coalesce(
             F.from_json("_r.citations", CITATIONS), empty)).otherwise(empty))
-        .drop("_r", "_ok"))
+        .drop("_all", "_r", "_ok"))
 
 
 def choose_citations(retrieved: Column, model: Column) -> Column:

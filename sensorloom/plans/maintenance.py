@@ -48,7 +48,7 @@ def stored_tables(store: Store) -> FleetTables:
 def delete_stored_dataset(store: Store, dataset_id: int) -> None:
     """Readings and anomalies lose one partition; only the small tables are rewritten.
 
-    The dataset's key is not used again: a dropped partition stays dropped until its table is replaced.
+    The dataset can be uploaded again under its key, which brings the partition back.
     """
     store.drop_partition("sensor_readings", dataset_id)
     store.drop_partition("anomalies", dataset_id)
@@ -87,7 +87,8 @@ def ingest_manual(store: Store, pages: DataFrame, document_id: int, filename: st
     one = store.spark.createDataFrame([(document_id, filename)], "id long, filename string")
     set_status(store, "documents", one, "processing")
     try:
-        store.put_partitions("manuals", build_chunks(pages.withColumn("source", F.lit(filename))))
+        store.put_partitions("manuals", build_chunks(pages.withColumn("source", F.lit(filename))),
+                             [filename])
         counts = chunk_counts(store.read("manuals").filter(F.col("source") == filename)).first()
         count = counts["chunk_count"] if counts else 0
         set_status(store, "documents", one.withColumn("chunk_count", F.lit(count)), "completed")

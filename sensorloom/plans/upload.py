@@ -18,20 +18,25 @@ from sensorloom.sources.tables import log_run, set_status, write_anomalies, writ
 
 
 def process_rows(store: Store, raw: DataFrame, own: Callable[[DataFrame], DataFrame], threshold: float,
-                 window: int, scale: Scale = DEFAULT) -> DataFrame:
+                 window: int, scale: Scale = DEFAULT, datasets: list[int] | None = None) -> DataFrame:
     """Transform, store and scan raw rows of one or many datasets (``dataset_id``); returns their readings.
 
-    ``own`` narrows a stored table to the datasets at hand.
+    ``own`` narrows a stored table to the datasets at hand; ``datasets`` names them where they are known, so that
+    what an earlier upload of theirs left behind goes even if nothing takes its place.
 
     Each dataset is filled, featured and scanned on its own. Detection reads the stored readings,
     which is also what cuts the lineage between the two sinks.
     """
-    write_readings(store, transform(raw, window, ["dataset_id", "machine_id"], scale), scale)
+    write_readings(store, transform(raw, window, ["dataset_id", "machine_id"], scale), scale, datasets)
     stored = own(store.read("sensor_readings"))
-    write_anomalies(store, detect_upload(stored, threshold, ["dataset_id", *SERIES_KEY], scale))
+    write_anomalies(store, detect_upload(stored, threshold, ["dataset_id", *SERIES_KEY], scale), datasets=datasets)
     return stored
 
 
+#: report of a file of which every row lacks a machine or a readable time
+NOTHING_KEPT = "No row has both a machine id and a readable timestamp."
+
+
 def process_dataset(store: Store, path: str, dataset_id: int, threshold: float = DEFAULT_THRESHOLD,
                     window: int = DEFAULT_WINDOW, scale: Scale = DEFAULT) -> str | None:
     """Process one CSV; returns its run id, or None when it failed (the registry holds the reason)."""
@@ -44,13 +49,16 @@ def process_dataset(store: Store, path: str, dataset_id: int, threshold: float =
         def own(df: DataFrame) -> DataFrame:
             return df.filter(F.col("dataset_id") == dataset_id)
 
-        rows = process_rows(store, raw, own, threshold, window, scale)
+        rows = process_rows(store, raw, own, threshold, window, scale, [dataset_id])
+        kept = rows.count()
+        if not kept and not raw.isEmpty():
+            raise ValueError(NOTHING_KEPT)
         found = own(store.read("anomalies"))
         metrics = run_metrics(rows, found)
         run_id = log_run(store, dataset_id, {
             "method": "upload", "threshold": float(threshold), "window": window, "engine": "spark"}, metrics)
         done = one.withColumn("filename", F.lit(path.rsplit("/", 1)[-1])).withColumn(
-            "row_count", F.lit(rows.count()))
+            "row_count", F.lit(kept))
         set_status(store, "datasets", done, "completed")
         return run_id
     except Exception as error:  # the status table is the report of a failed upload

@@ -6,7 +6,6 @@ otherwise one narrow aggregate measures it. The split plans are exact, not appro
 
 from __future__ import annotations
 
-import tempfile
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -48,11 +47,9 @@ def cut(df: DataFrame) -> DataFrame:
     """Checkpoint in the shared folder of the session, so lost executors cost no recomputation."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        # the cluster names the folder; only a local session without one (tests) gets its own
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not context.master.startswith("local"):
-            raise RuntimeError("Set spark.checkpoint.dir to a folder every executor can reach")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="sensorloom-"))
+        # the cluster names the folder; without one the warehouse is the folder that all share
+        conf = df.sparkSession.conf
+        context.setCheckpointDir(conf.get("spark.checkpoint.dir", None) or conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
     return df.checkpoint()
 
 
@@ -60,14 +57,14 @@ def attach(rows: DataFrame, side: DataFrame, on: list[str], scale: Scale = DEFAU
            how: str = "inner", keys_from: DataFrame | None = None) -> DataFrame:
     """Join a side table holding at most one row per key of ``rows``.
 
-    Small inputs are left to the planner, which sees their size. For large ones the keys are
-    counted (in ``keys_from`` when that is cheaper than ``rows`` and holds the same keys): a bounded
+    Small inputs are left to the planner, which sees their size. For large ones the rows of the side are
+    counted (by its keys in ``keys_from`` where those are cheaper to count and bound them): a bounded
     side is broadcast so ``rows`` is not moved, any other is shuffled, where adaptive skew handling
     splits a hot key of ``rows``.
     """
     if not is_small(rows, scale):
-        keys = (rows if keys_from is None else keys_from).select(*on).distinct().limit(scale.broadcast_rows + 1).count()
-        if keys <= scale.broadcast_rows:
+        counted = side if keys_from is None else keys_from.select(*on).distinct()
+        if counted.limit(scale.broadcast_rows + 1).count() <= scale.broadcast_rows:
             side = F.broadcast(side)
     return rows.join(side, on, how)
 

@@ -25,7 +25,7 @@ def read_readings(spark: SparkSession, path: str, columns: list[str] = READING_C
     return spark.read.parquet(path).select(*columns)
 
 
-def write_readings(store: Store, df: DataFrame, scale: Scale = DEFAULT) -> None:
+def write_readings(store: Store, df: DataFrame, scale: Scale = DEFAULT, datasets: list[int] | None = None) -> None:
     """One stored row per row of ``df`` (machine names, ``dataset_id``, features).
 
     Unknown machines are registered first; rows carry their keys. Whole datasets are written, so a
@@ -36,15 +36,15 @@ def write_readings(store: Store, df: DataFrame, scale: Scale = DEFAULT) -> None:
     store.replace("machines", upsert_machines(names, known))
     keys = store.read("machines").select(F.col("id").alias("_key"), F.col("name").alias("machine_id"))
     keyed = attach(df, keys, ["machine_id"], scale).drop("machine_id").withColumnRenamed("_key", "machine_id")
-    store.put_partitions("sensor_readings", keyed)
+    store.put_partitions("sensor_readings", keyed, datasets)
 
 
-def write_anomalies(store: Store, df: DataFrame, mode: str = "append") -> None:
-    """``append`` under the uploads' datasets, or ``replace`` the whole table."""
+def write_anomalies(store: Store, df: DataFrame, mode: str = "append", datasets: list[int] | None = None) -> None:
+    """``append`` under the uploads' datasets, whose earlier anomalies go, or ``replace`` the whole table."""
     if mode == "replace":
         store.replace("anomalies", df)
     else:
-        store.put_partitions("anomalies", df)
+        store.put_partitions("anomalies", df, datasets)
 
 
 def log_run(store: Store, dataset_id: int, params: dict, metrics: DataFrame) -> str:

@@ -35,7 +35,9 @@ def process_batch(store: Store, lines: DataFrame, threshold: float = DEFAULT_THR
     def own(df: DataFrame) -> DataFrame:
         return df.join(ids, "dataset_id", "left_semi")
 
-    stored = process_rows(store, rows, own, threshold, window, scale)
+    # one number for each file of the batch
+    keys = [r["dataset_id"] for r in ids.collect()]
+    stored = process_rows(store, rows, own, threshold, window, scale, keys)
     counts = stored.groupBy(F.col("dataset_id").alias("id")).agg(F.count(F.lit(1)).alias("row_count"))
     accepted = files.join(rejected, "file", "left_anti").select(dataset_key(F.col("file")).alias("id"), name)
     set_status(store, "datasets", accepted.join(counts, "id", "left").fillna(0, ["row_count"]), "completed")
