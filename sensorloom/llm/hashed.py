@@ -52,7 +52,7 @@ class Sparse:
     buckets: np.ndarray
 
     @classmethod
-    def of(cls, rows: list[list[int]], least: int = 2) -> Sparse:
+    def of(cls, rows: list, least: int = 2) -> Sparse:
         """Columns are the buckets that at least ``least`` rows hold; a last column is always there."""
         flat = np.concatenate([np.asarray(r, np.int64) for r in rows]) if rows else np.empty(0, np.int64)
         values, counts = np.unique(flat, return_counts=True)
@@ -131,10 +131,16 @@ def with_features(docs: DataFrame, keep: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [sorted({bucket(n) for n in names(t)}) for t in batch.column("text").to_pylist()]
-            yield pa.record_batch([*[batch.column(c) for c in keep], pa.array(rows, pa.list_(pa.int64()))], [*keep, "features"])
+            yield pa.record_batch([*[batch.column(c) for c in keep], pa.array(rows, pa.list_(pa.int32()))], [*keep, "features"])
     rows = docs.select(*keep, text_or_empty().alias("text"))
     kinds = ", ".join(f"{c} {t}" for c, t in rows.dtypes if c != "text")
-    return rows.mapInArrow(run, f"{kinds}, features array<long>")
+    return rows.mapInArrow(run, f"{kinds}, features array<int>")
+
+
+def collected(sample: DataFrame, label: str) -> tuple[list[np.ndarray], np.ndarray]:
+    """Features and labels of a bounded sample, in the order of doc_id; as Arrow arrays, which stay narrow on the driver."""
+    found = sample.select("doc_id", label, "features").orderBy("doc_id", label).toArrow()
+    return [x.values.to_numpy() for x in found.column("features")], found.column(label).to_numpy()
 
 
 def scored(docs: DataFrame, keep: list[str], weights: dict[int, float], bias: float, into: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sensorloom.llm.common import held_out
-from sensorloom.llm.hashed import Sparse, labelled_sample, logistic, minimised, scored, sparse_weights, with_features
+from sensorloom.llm.hashed import Sparse, collected, labelled_sample, logistic, minimised, scored, sparse_weights, with_features
 
 #: bound of the labelled rows that the model is fitted on
 SAMPLE = 6000
@@ -52,7 +52,7 @@ def ordinal_loss(score: np.ndarray, grade: np.ndarray, raw: np.ndarray) -> tuple
     return float(-np.log(chance).mean()), (upper + lower - 1) * -1 / n, by_raw / n
 
 
-def fitted(rows: list[list[int]], grade: np.ndarray, grades: int = GRADES, penalty: float = PENALTY) -> Ordinal:
+def fitted(rows: list, grade: np.ndarray, grades: int = GRADES, penalty: float = PENALTY) -> Ordinal:
     matrix = Sparse.of(rows)
     n = matrix.width
 
@@ -68,10 +68,8 @@ def fitted(rows: list[list[int]], grade: np.ndarray, grades: int = GRADES, penal
 
 def fit(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE) -> Ordinal | None:
     """Fit on at most ``sample`` rated documents (doc_id, grade) that are not held out; None without any."""
-    rows = with_features(labelled_sample(docs, ratings, "grade", sample), ["doc_id", "grade"]).orderBy("doc_id").collect()
-    if not rows:
-        return None
-    return fitted([r["features"] for r in rows], np.array([r["grade"] for r in rows]))
+    rows, grade = collected(with_features(labelled_sample(docs, ratings, "grade", sample), ["doc_id", "grade"]), "grade")
+    return fitted(rows, grade) if rows else None
 
 
 def grades_of(labels: DataFrame) -> DataFrame:

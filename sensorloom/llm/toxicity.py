@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorloom.llm.common import held_out, text_or_empty
-from sensorloom.llm.hashed import (STEM, Sparse, labelled_sample, logistic, minimised, scored, sparse_weights,
+from sensorloom.llm.hashed import (STEM, Sparse, collected, labelled_sample, logistic, minimised, scored, sparse_weights,
                                    with_features, words)
 
 #: general English insults: fixed values of one lexicon voter
@@ -188,13 +188,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[int, float], float]:
     most = F.when(F.col("toxic"), TOXIC_SAMPLE).otherwise(OTHER_SAMPLE)
     chosen = ranked.withColumn("n", F.row_number().over(place)).filter(F.col("n") <= max(TOXIC_SAMPLE, OTHER_SAMPLE))
     chosen = chosen.filter(F.col("n") <= most).groupBy("doc_id").agg(F.max("belief").alias("belief"))
-    sample = with_features(given.join(F.broadcast(chosen), "doc_id"), ["doc_id", "belief"]).orderBy("doc_id").collect()
-    if not sample:
-        return {}, -4.0
-    return classifier([r["features"] for r in sample], np.array([r["belief"] for r in sample]))
+    sample, belief = collected(with_features(given.join(F.broadcast(chosen), "doc_id"), ["doc_id", "belief"]), "belief")
+    return classifier(sample, belief) if sample else ({}, -4.0)
 
 
-def classifier(rows: list[list[int]], belief: np.ndarray, penalty: float = PENALTY) -> tuple[dict[int, float], float]:
+def classifier(rows: list, belief: np.ndarray, penalty: float = PENALTY) -> tuple[dict[int, float], float]:
     """Logistic regression on probable labels; both classes weigh the same, so rare ones are not drowned."""
     matrix = Sparse.of(rows)
     weight = belief / max(belief.sum(), 1e-9) + (1 - belief) / max((1 - belief).sum(), 1e-9)
