@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -45,6 +46,22 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: bytes of an Arrow batch where tasks hold much besides it
+BATCH_BYTES = "4m"
+
+
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Arrow batches of a few megabytes for the action inside, in place of Spark's 64."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sensorloom.llm.common import running, stored, text_or_empty
+from sensorloom.llm.common import running, small_batches, stored, text_or_empty
 from sensorloom.llm.tokens import encoder
 
 #: fixed by the contract
@@ -241,7 +241,8 @@ def pack(items: DataFrame, order: list[Column], capacity: int = CAPACITY, steps:
 def packed_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Every piece with its place: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     cut = pieces(docs, vocabulary, capacity, end_id).withColumn("ids_crc32", F.crc32("ids"))
-    narrow = stored(cut.drop("ids"), "pieces")
+    with small_batches(docs.sparkSession):
+        narrow = stored(cut.drop("ids"), "pieces")
     return pack(narrow, [F.col("doc_id"), F.col("piece"), F.col("start"), F.col("ids_crc32")], capacity)
 
 

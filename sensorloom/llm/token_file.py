@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sensorloom.llm.common import lookup, new_folder, stored, text_or_empty
+from sensorloom.llm.common import lookup, new_folder, small_batches, stored, text_or_empty
 from sensorloom.llm.tokens import encoder
 
 #: fixed by the contract
@@ -171,7 +171,8 @@ def write_tokens(docs: DataFrame, vocabulary: str, folder: str, end_id: int = EN
     ordered = rows.repartitionByRange(-(-total // file_bytes) or 1, F.asc_nulls_first("doc_id")).sortWithinPartitions(
         F.asc_nulls_first("doc_id"), "text")
     # the text writer puts bytes out as they are and ends each row with a line feed
-    ordered.mapInArrow(blocks, "block binary").select(F.col("block").cast("string").alias("value")).write.text(folder)
+    with small_batches(docs.sparkSession):
+        ordered.mapInArrow(blocks, "block binary").select(F.col("block").cast("string").alias("value")).write.text(folder)
 
 
 def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
@@ -194,7 +195,8 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
 def read_back(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32): every document's place among the ids of all files, and a checksum of its ids."""
     read = read_tokens(spark, folder).withColumn("ids_crc32", F.crc32("ids")).drop("ids", "at")
-    narrow = stored(read, "token-spans")
+    with small_batches(spark):
+        narrow = stored(read, "token-spans")
     # one row for each block, then one for each file
     blocks = narrow.groupBy("file", "block").agg(F.sum("n_tokens").alias("n"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
