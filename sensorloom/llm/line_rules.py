@@ -3,7 +3,9 @@
 Normalised lines are hashed, and the documents of a host that hold a line are counted. Lines above the
 limit are boilerplate; a document of which too little is left without them is rejected. Copies and near
 copies of one document must not turn its own lines into boilerplate, so documents are counted by a
-sketch (the least MD5 of their 3-word windows): documents with the same sketch count once.
+sketch, and documents with the same sketch count once. A line must not supply the sketch it is counted
+by: the sketch is the least hash of the 3-word windows of those lines that few documents hold, or the
+hash of all words where a document has no such line.
 Everything is built from DataFrame functions.
 """
 
@@ -64,16 +66,13 @@ def base_columns(docs: DataFrame) -> DataFrame:
     rows = rows.withColumns({"words": words_of(text), "lines": lines}).select(
         "row", "lines", F.size("words").cast("long").alias("n_words"),
         (F.char_length(text) - spaces).cast("long").alias("word_chars"), symbols.cast("long").alias("n_symbols"),
-        let(windows(F.col("words")), lambda g: F.struct(
-            repeated_words(g).alias("repeated"),
-            F.coalesce(F.array_min(F.transform(g, lambda x: F.md5(x.cast("binary")))),
-                       F.md5(F.array_join("words", " ").cast("binary"))).alias("sketch"))).alias("seen"))
+        repeated_words(windows(F.col("words"))).alias("n_repeat_words"),
+        F.xxhash64(F.array_join("words", " ")).alias("whole"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     return rows.select(
         "row", "n_words", "word_chars", "n_symbols",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.col("seen.repeated").alias("n_repeat_words"), "lines",
-        F.xxhash64("seen.sketch").alias("sketch")).withColumn("base_failed", failed)
+        "n_repeat_words", "lines", "whole").withColumn("base_failed", failed)
 
 
 def normal_line(line: Column) -> Column:
@@ -88,9 +87,11 @@ def row_key(prefix: str, with_source: bool = True) -> Column:
 
 
 def _narrow(stats: DataFrame) -> DataFrame:
-    """One row per document: its key, host, sketch and the (hash, words) of its lines."""
+    """One row per document: its key, host, hash of all words, and (hash, words, least window hash) of its lines."""
     parts = F.transform("lines", lambda x: F.struct(
-        F.xxhash64(normal_line(x)).alias("line"), F.size(F.split(normal_line(x), " ")).alias("words")))
+        F.xxhash64(normal_line(x)).alias("line"), F.size(F.split(normal_line(x), " ")).alias("words"),
+        let(words_of(x), lambda w: F.coalesce(
+            F.array_min(F.transform(windows(w), lambda g: F.xxhash64(g))), F.xxhash64(F.array_join(w, " ")))).alias("window")))
     return stats.select(
         *[c for c in stats.columns if c not in ("row", "lines")], F.col("row.doc_id").alias("doc_id"),
         F.coalesce("row.source", F.lit("")).alias("host"),
@@ -99,9 +100,20 @@ def _narrow(stats: DataFrame) -> DataFrame:
 
 def common_lines(narrow: DataFrame, least: int = LEAST_DOCUMENTS, share: float = SHARE_OF_HOST) -> DataFrame:
     """(host, line) of the boilerplate lines."""
-    lines = narrow.select("host", "sketch", F.explode(F.array_distinct("parts.line")).alias("line"))
-    counted = lines.distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("documents"))
-    hosts = stored(narrow.select("host", "sketch").distinct().groupBy("host").agg(
+    held = narrow.select("host", F.explode(F.array_distinct("parts.line")).alias("line"))
+    # no line that fewer documents hold can be boilerplate, whatever they are counted by
+    often = stored(held.groupBy("host", "line").agg(F.count(F.lit(1)).alias("documents"))
+                   .filter(F.col("documents") > least).select("host", "line", F.lit(True).alias("often")), "frequent-lines")
+    if not often.take(1):
+        return often.drop("often")
+    lines = narrow.select("key", "host", "whole", F.inline("parts"))
+    found = stored(lookup(lines, often, ["host", "line"]), "lines")
+    sketches = stored(found.groupBy("key", "host").agg(F.coalesce(
+        F.min(F.when(F.col("often").isNull(), F.col("window"))), F.min("whole")).alias("sketch")), "sketches")
+    counted = (lookup(found.filter("often").select("key", "host", "line").distinct(), sketches.drop("host"), ["key"], "inner")
+               .select("host", "line", "sketch").distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("documents")))
+    empty = narrow.filter(F.size("parts") == 0).select("host", F.col("whole").alias("sketch"))
+    hosts = stored(sketches.select("host", "sketch").union(empty).distinct().groupBy("host").agg(
         F.count(F.lit(1)).alias("in_host")), "hosts")
     limited = lookup(counted.filter(F.col("documents") > least), hosts, ["host"], "inner")
     return limited.filter(F.col("documents") > share * F.col("in_host")).select("host", "line")
@@ -123,7 +135,7 @@ def judged(docs: DataFrame, least: int = LEAST_DOCUMENTS, share: float = SHARE_O
     own = narrow.select("key", "host", "parts").dropDuplicates(["key"]) if common.take(1) else narrow.limit(0)
     hits = lookup(own.select("key", "host", F.inline("parts")), common, ["host", "line"], "inner")
     removed = stored(hits.groupBy("key").agg(F.sum("words").cast("long").alias("removed_words")), "removed-words")
-    whole = lookup(narrow.drop("parts", "sketch", "host"), removed, ["key"]).fillna(0, ["removed_words"])
+    whole = lookup(narrow.drop("parts", "whole", "host"), removed, ["key"]).fillna(0, ["removed_words"])
     left = F.col("n_words") - F.col("removed_words")
     depleted = 100 * left < kept_percent * F.col("n_words")
     return whole.withColumn("kept", ~F.col("base_failed") & ~depleted)

@@ -105,6 +105,19 @@ def test_common_lines_count_documents_of_a_host_and_copies_once(spark):
         d for d, keep in verdict.items() if keep)
 
 
+@pytest.mark.parametrize("shared", [80, 90, 95])
+def test_lines_shared_by_most_of_a_text_are_counted_by_document(spark, shared):
+    def lines(name, n):
+        return [" ".join(f"{name}{k}x{j}" for j in range(10)) for k in range(n)]
+    block = lines(f"block{shared}", shared // 5)
+    rows = [(i, "\n".join(block + lines(f"own{i}", 20 - len(block))), "h") for i in range(300)]
+    rows += [(1000 + i, "\n".join(lines(f"page{i}", 20)), "h") for i in range(300)]
+    rows += [(2000 + i, "\n".join(lines("copied", 20)), "h") for i in range(300)]  # copies of one page count once
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = {r["doc_id"] for r in line_rules.judged(docs).collect() if r["kept"]}
+    assert kept == {i for i, _, _ in rows if i >= 1000}
+
+
 def fingerprint(text):
     words = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
     if not words:
