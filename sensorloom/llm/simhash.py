@@ -98,13 +98,18 @@ def near_cells(parts: int, radius: int) -> list[int]:
     return [sum(d << (PART_BITS * i) for i, d in enumerate(v)) for v in half]
 
 
-def linked(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions in both arrays of the pairs within the radius."""
-    rows, found = max(1, (1 << 20) // max(1, len(right))), []
+def linked_blocks(left: np.ndarray, right: np.ndarray, radius: int, block: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions in both arrays of the pairs within the radius, from about ``block`` comparisons at a time."""
+    rows = max(1, block // max(1, len(right)))
     for at in range(0, len(left), rows):
         near = np.bitwise_count(left[at:at + rows, None] ^ right[None, :]) <= radius
         i, j = np.nonzero(near)
-        found.append((i + at, j))
+        yield i + at, j
+
+
+def linked(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions in both arrays of the pairs within the radius."""
+    found = list(linked_blocks(left, right, radius))
     return (np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])) if found else (
         np.empty(0, np.int64), np.empty(0, np.int64))
 
@@ -191,6 +196,9 @@ COPY_WORDS = 5
 COPY_SIMILARITY = 0.8
 #: fingerprints of such copies differ in about 8 bits; this radius leaves few of them out
 COPY_RADIUS = 12
+#: pairs that a task gathers before they are folded into its forests, and forests of one round at most
+FOLD = 1 << 18
+FORESTS = 64
 
 
 def shingle_set(text: bytes, words: int = COPY_WORDS) -> np.ndarray:
@@ -227,47 +235,97 @@ def _sets(docs: DataFrame, chosen: DataFrame, words: int) -> DataFrame:
     return rows.mapInArrow(run, "fingerprint long, held array<long>").groupBy("fingerprint").agg(F.min("held").alias("held"))
 
 
-def _candidates(radius: int, similarity: float, all_pairs: bool):
-    """Pairs of a tile pair whose fingerprints are near, whose set sizes allow the similarity and whose labels differ.
+def _candidates(radius: int, similarity: float, forests: int):
+    """Nearest pairs of a tile pair that connect what all of its candidates connect, so many times over.
 
-    Either all of them, or the nearest ones that connect what they all connect.
+    Candidates have near fingerprints, set sizes that allow the similarity and different labels, and have
+    not been tried. Never more than a block of them is held besides the forests.
     """
     def columns(x) -> tuple[np.ndarray, ...]:
         return tuple(x.values.field(c).to_numpy() for c in ("fingerprint", "shingles", "label"))
 
+    def tried(a: np.ndarray, b: np.ndarray, held) -> np.ndarray:
+        """Numbers i * len(b) + j of the pairs that were tried, in order."""
+        lists, order = held.values.field("tried"), np.argsort(b)
+        owner, other = np.repeat(np.arange(len(a)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()
+        at = np.minimum(np.searchsorted(b, other, sorter=order), len(b) - 1)
+        there = b[order[at]] == other
+        return np.sort(owner[there] * len(b) + order[at[there]])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for left, right in zip(batch.column(0), batch.column(1), strict=True):
                 (a, size_a, label_a), (b, size_b, label_b) = columns(left), columns(right)
-                i, j = linked(a.view(np.uint64), b.view(np.uint64), radius)
-                small, large = np.minimum(size_a[i], size_b[j]), np.maximum(size_a[i], size_b[j])
-                fine = (label_a[i] != label_b[j]) & (small >= similarity * large) & ((a[i] < b[j]) | (b[0] != a[0]))
-                i, j = i[fine], j[fine]
-                if not all_pairs:
-                    keep = _nearest(a[i], b[j])
-                    i, j = i[keep], j[keep]
+                before = tried(a, b, left)
+
+                def fine() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+                    for i, j in linked_blocks(a.view(np.uint64), b.view(np.uint64), radius, FOLD):
+                        small, large = np.minimum(size_a[i], size_b[j]), np.maximum(size_a[i], size_b[j])
+                        ok = (label_a[i] != label_b[j]) & (small >= similarity * large) & ((a[i] < b[j]) | (b[0] != a[0]))
+                        if len(before):
+                            code = i * len(b) + j
+                            ok &= before[np.minimum(np.searchsorted(before, code), len(before) - 1)] != code
+                        yield i[ok], j[ok]
+                i, j = _nearest(a, b, fine(), forests)
                 if len(i):
                     yield pa.record_batch([pa.array(a[i]), pa.array(b[j])], ["a", "b"])
     return run
 
 
-def _nearest(a: np.ndarray, b: np.ndarray) -> list[int]:
-    """Positions of the pairs of a spanning forest, by distance."""
-    order = np.argsort(np.bitwise_count(a.view(np.uint64) ^ b.view(np.uint64)), kind="stable")
-    values, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    root, left, right, out = list(range(len(values))), at[:len(a)].tolist(), at[len(a):].tolist(), []
+def _spanning(x: np.ndarray, y: np.ndarray, distance: np.ndarray, nodes: int) -> np.ndarray:
+    """Which pairs make the spanning forest of least distances; of equal ones the first counts as nearer.
 
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-    for k in order.tolist():
-        x, y = find(left[k]), find(right[k])
-        if x != y:
-            root[x] = y
-            out.append(k)
-    return out
+    In each round every component takes its nearest pair to another.
+    """
+    order = np.argsort(distance, kind="stable")
+    kept, label = np.zeros(len(x), bool), np.arange(nodes)
+    rank, x, y = np.arange(len(x)), x[order], y[order]
+    while True:
+        u, v = label[x], label[y]
+        apart = u != v
+        if not apart.any():
+            return kept
+        rank, x, y, u, v = (c[apart] for c in (rank, x, y, u, v))
+        # of several values given to a place the last stays, here the least rank
+        near, far = np.full(nodes, len(order)), np.full(nodes, len(order))
+        near[u[::-1]], far[v[::-1]] = rank[::-1], rank[::-1]
+        best = np.minimum(near, far)
+        roots = np.flatnonzero(best < len(order))
+        kept[order[best[roots]]] = True
+        at = np.searchsorted(rank, best[roots])
+        parent = np.arange(nodes)
+        parent[roots] = u[at] + v[at] - roots
+        both = roots[(parent[parent[roots]] == roots) & (roots < parent[roots])]
+        parent[both] = both
+        while not np.array_equal(parent, parent[parent]):
+            parent = parent[parent]
+        label = parent[label]
+
+
+def _nearest(a: np.ndarray, b: np.ndarray, blocks: Iterator[tuple[np.ndarray, np.ndarray]],
+             forests: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the pairs of ``forests`` spanning forests by distance, each of the pairs that those before it left."""
+    values, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    none = np.empty(0, np.int64)
+    held = [(none, none)] * forests
+
+    def fold(i: np.ndarray, j: np.ndarray) -> None:
+        for k, (x, y) in enumerate(held):
+            if not len(i):
+                return
+            i, j = np.concatenate([x, i]), np.concatenate([y, j])
+            kept = _spanning(at[i], at[len(a) + j], np.bitwise_count(a[i].view(np.uint64) ^ b[j].view(np.uint64)), len(values))
+            held[k] = i[kept], j[kept]
+            i, j = i[~kept], j[~kept]
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []
+    for block in blocks:
+        waiting.append(block)
+        if sum(len(i) for i, _ in waiting) >= FOLD:
+            fold(*(np.concatenate(c) for c in zip(*waiting, strict=True)))
+            waiting = []
+    if waiting:
+        fold(*(np.concatenate(c) for c in zip(*waiting, strict=True)))
+    return tuple(np.concatenate(c) for c in zip(*held, strict=True))
 
 
 def near_copies(docs: DataFrame, shingle: int = SHINGLE, radius: int = COPY_RADIUS, words: int = COPY_WORDS,
@@ -276,9 +334,10 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, radius: int = COPY_RADI
 
     Fingerprints within ``radius`` are candidates, and a candidate is a link when the Jaccard similarity of
     the texts' word shingles is enough. First the nearest candidates that connect all candidates are
-    checked. Only where one of them fails can candidates remain between different components; all of those are checked
-    next, so no link is lost while a crowd of copies is never checked pair by pair. Texts with
-    the same fingerprint count as linked.
+    checked. Only where one of them fails can candidates remain between different components; the nearest of those that
+    were not tried are checked next, and so on until none is left between components, so no candidate that
+    could link two components is passed over while a crowd of copies is never checked pair by pair. Texts
+    with the same fingerprint count as linked.
     """
     given = docs.select("doc_id", "text")
     marks = stored(_marks(given, shingle, words), "fingerprints")
@@ -286,9 +345,9 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, radius: int = COPY_RADI
                       .fillna(0, ["shingles"]).withColumn("label", F.col("fingerprint")), "distinct-fingerprints")
     parts = parts_for(distinct.count(), radius)
 
-    def checked(held: DataFrame, all_pairs: bool) -> DataFrame:
-        met = _met(held.select("fingerprint", "shingles", "label"), radius, tile, parts)
-        pairs = stored(met.mapInArrow(_candidates(radius, similarity, all_pairs), "a long, b long").distinct(), "candidates")
+    def checked(held: DataFrame, forests: int) -> DataFrame:
+        met = _met(held.select("fingerprint", "shingles", "label", "tried"), radius, tile, parts)
+        pairs = stored(met.mapInArrow(_candidates(radius, similarity, forests), "a long, b long").distinct(), "candidates")
         ends = pairs.select(F.col("a").alias("fingerprint")).union(pairs.select("b")).distinct()
         chosen = stored(distinct.join(ends, "fingerprint").select("fingerprint", F.col("first_id").alias("doc_id")), "chosen")
         sets = stored(_sets(given, chosen, words), "shingle-sets")
@@ -298,17 +357,23 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, radius: int = COPY_RADI
         alike = both >= similarity * (F.size("x") + F.size("y") - both)
         return stored(pairs.join(one, "a").join(two, "b").select("a", "b", (alike & (both > 0)).alias("alike")), "checked")
 
-    first = checked(distinct, False)
-    accepted, failed = first.filter("alike"), first.filter(~F.col("alike"))
-    found = stored(components(accepted.select("a", "b")), "components")
-    if not failed.isEmpty():
+    nothing = F.array().cast("array<long>")
+    latest = tests = checked(distinct.withColumn("tried", nothing), 1)
+    found = stored(components(tests.filter("alike").select("a", "b")), "components")
+    forests = 1
+    while not (failed := latest.filter(~F.col("alike"))).isEmpty():
         labelled = (distinct.drop("label").join(found.select(F.col("node").alias("fingerprint"), "component"), "fingerprint", "left")
                     .withColumn("label", F.coalesce("component", "fingerprint")).drop("component"))
         ends = failed.select(F.col("a").alias("fingerprint")).union(failed.select("b")).distinct()
         open_labels = labelled.join(ends, "fingerprint").select("label").distinct()
-        second = checked(stored(labelled.join(open_labels, "label"), "open"), True)
-        more = second.filter("alike").select("a", "b")
-        found = stored(components(accepted.select("a", "b").union(more)), "components")
+        apart = tests.filter(~F.col("alike")).select(F.col("a").alias("fingerprint"), "b")
+        tried = apart.union(apart.select("b", "fingerprint")).groupBy("fingerprint").agg(F.collect_list("b").alias("tried"))
+        held = labelled.join(open_labels, "label").join(tried, "fingerprint", "left").withColumn("tried", F.coalesce("tried", nothing))
+        latest = checked(stored(held, "open"), forests)
+        if not latest.isEmpty():
+            tests = stored(tests.union(latest), "tests")
+            found = stored(components(tests.filter("alike").select("a", "b")), "components")
+        forests = min(2 * forests, FORESTS)
     return _named(marks.select("doc_id", "fingerprint"), distinct.select("fingerprint", "first_id"), found)
 
 

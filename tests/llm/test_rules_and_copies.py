@@ -3,8 +3,10 @@
 import collections
 import hashlib
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from conftest import DATA
@@ -202,3 +204,33 @@ def test_near_copies_need_similar_texts(spark):
     found = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs, tile=7).collect()}
     assert found == want and len(set(want.values())) == 33
     assert sorted(r["doc_id"] for r in simhash.one_of_each(docs).collect()) == sorted(set(want.values()))
+
+
+def test_a_crowd_of_candidates_is_folded_by_block():
+    rng = np.random.default_rng(8)
+    crowd = np.unique([sum(1 << int(k) for k in rng.choice(60, 5, replace=False)) for _ in range(3000)])
+    row = [{"fingerprint": int(v), "shingles": 10, "label": int(v), "tried": []} for v in crowd]
+    kind = pa.list_(pa.struct([("fingerprint", pa.int64()), ("shingles", pa.int64()), ("label", pa.int64()),
+                               ("tried", pa.list_(pa.int64()))]))
+    batch = pa.record_batch([pa.array([row], kind), pa.array([row], kind)], ["left", "right"])
+    tracemalloc.start()
+    out = pa.Table.from_batches(simhash._candidates(12, 0.8, 2)([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out.num_rows == 2 * (len(crowd) - 1) and peak < 100 << 20  # all pairs would be 9 million
+    edges = list(zip(*(out[c].to_pylist() for c in "ab"), strict=True))
+    assert len(set(edges)) == len(edges)
+    for forest in (edges[:len(crowd) - 1], edges[len(crowd) - 1:]):
+        assert len(set(closure(forest, crowd.tolist()).values())) == 1
+
+
+def test_spanning_forest_has_the_least_distances():
+    rng = np.random.default_rng(4)
+    x, y, far = rng.integers(0, 40, 300), rng.integers(0, 40, 300), rng.integers(0, 13, 300)
+    root, want = list(range(40)), 0
+    for k in np.argsort(far, kind="stable"):
+        p, q = root[x[k]], root[y[k]]
+        if p != q:
+            root, want = [q if r == p else r for r in root], want + far[k]
+    kept = simhash._spanning(x, y, far, 40)
+    assert far[kept].sum() == want and kept.sum() == 40 - len(set(root))
