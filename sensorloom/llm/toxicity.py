@@ -15,10 +15,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sensorloom.llm.common import held_out, text_or_empty
+from sensorloom.llm.common import held_out, stored, text_or_empty
 from sensorloom.llm.hashed import (STEM, Sparse, collected, labelled_sample, logistic, minimised, scored, sparse_weights,
                                    with_features, words)
 
@@ -168,6 +168,13 @@ def bits(patterns: np.ndarray, number: int) -> np.ndarray:
     return (patterns[:, None] >> np.arange(number)) & 1
 
 
+def drawn(rows: DataFrame, toxic: int = TOXIC_SAMPLE, other: int = OTHER_SAMPLE) -> DataFrame:
+    """The rows of least hash of either class; tasks reduce theirs to so many before any is sent."""
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    return (rows.filter(F.col("belief") > 0.5).orderBy(*order).limit(toxic)
+            .union(rows.filter(~(F.col("belief") > 0.5)).orderBy(*order).limit(other)))
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[int, float], float]:
     """Weights and bias of the classifier. Labels are read from rows that are not held out, and so is its sample."""
     given = docs.select("doc_id", "text")
@@ -182,12 +189,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[int, float], float]:
     belief = model.posterior(bits(patterns, voters.number))
     spark = docs.sparkSession
     believed = spark.createDataFrame([(int(p), float(b)) for p, b in zip(patterns, belief, strict=True)], "pattern long, belief double")
-    rows = votes(given.filter(~held_out()), voters, ["doc_id"])
-    ranked = rows.join(F.broadcast(believed), "pattern").withColumn("toxic", F.col("belief") > 0.5)
-    place = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    most = F.when(F.col("toxic"), TOXIC_SAMPLE).otherwise(OTHER_SAMPLE)
-    chosen = ranked.withColumn("n", F.row_number().over(place)).filter(F.col("n") <= max(TOXIC_SAMPLE, OTHER_SAMPLE))
-    chosen = chosen.filter(F.col("n") <= most).groupBy("doc_id").agg(F.max("belief").alias("belief"))
+    rows = stored(votes(given.filter(~held_out()), voters, ["doc_id"]), "votes")  # read once for each class
+    chosen = drawn(rows.join(F.broadcast(believed), "pattern")).groupBy("doc_id").agg(F.max("belief").alias("belief"))
     sample, belief = collected(with_features(given.join(F.broadcast(chosen), "doc_id"), ["doc_id", "belief"]), "belief")
     return classifier(sample, belief) if sample else ({}, -4.0)
 

@@ -121,6 +121,17 @@ def test_toxicity_query(spark):
     assert np.mean(right) > 0.9
 
 
+def test_toxicity_sample_is_reduced_before_it_is_sent(spark):
+    rows = spark.range(20_000).selectExpr("id AS doc_id", "IF(id % 10 = 0, 0.9D, 0.1D) AS belief")
+    chosen = toxicity.drawn(rows, 1500, 5000)
+    plan = chosen._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("TakeOrderedAndProject") == 2 and "Window" not in plan
+    found = chosen.collect()
+    hashed = sorted((r["h"], r["doc_id"], r["belief"]) for r in rows.selectExpr("xxhash64(doc_id) AS h", "*").collect())
+    want = [d for _, d, b in hashed if b > 0.5][:1500] + [d for _, d, b in hashed if b < 0.5][:5000]
+    assert sorted(r["doc_id"] for r in found) == sorted(want)
+
+
 def test_toxicity_of_odd_rows(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(1, 1), (2, None), (None, 1), (10, 0)], "doc_id long, toxic int")
     found = toxicity.toxicity(odd_docs, *toxicity.fit(odd_docs, labels)).collect()
