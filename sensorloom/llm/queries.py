@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sensorloom.llm import (content_sort, language, line_rules, mixing, packing, quality, simhash, token_file,
-                            toxicity, warc)
+from sensorloom.llm import (content_sort, language, line_rules, merkle, mixing, neighbours, packing, quality, ranked,
+                            simhash, token_file, toxicity, warc)
 from sensorloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,3 +129,91 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.toxicity(docs, *toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query()
+def op11_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), 20, 20).neighbours
+
+
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), " \
+         r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+RANKED_SQL = rf"""
+  WITH d AS (SELECT doc_id, {_TERMS} AS terms FROM documents),
+  sized AS (SELECT doc_id, CAST(len(terms) AS BIGINT) AS n FROM d WHERE len(terms) > 0),
+  facts AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS words FROM sized),
+  asked AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+  held AS (SELECT doc_id, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT doc_id, unnest(terms) AS term FROM d)
+           WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+  weights AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+              FROM held, facts GROUP BY term),
+  parts AS (SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * docs) // words)))) AS part
+            FROM held JOIN weights USING (term) JOIN sized USING (doc_id), facts),
+  scores AS (SELECT item_id, doc_id, CAST(sum(part) AS BIGINT) AS score FROM asked JOIN parts USING (term) GROUP BY ALL)
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+  FROM scores WHERE score > 0 QUALIFY rank <= {ranked.TOP}"""
+
+
+@query(RANKED_SQL)
+def op12_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: what a tampered row's checksum is divided by
+TAMPERED_EVERY = 7
+
+
+def _field(name: str) -> str:
+    text = f"CAST({name} AS VARCHAR)"
+    return f"coalesce(octet_length(encode({text})) || ':' || {text}, '-')"
+
+
+# the checksum: a byte enters at the first of its eight steps
+_CRC = """list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+           lambda c: [CAST(ord(c) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+         lambda a, b: xor(xor(a, b) >> 1, 3988292384 * (xor(a, b) & 1)))"""
+
+MERKLE_SQL = f"""
+  WITH RECURSIVE
+  leaves AS (SELECT doc_id, lang, sha256(concat({", ".join(_field(c) for c in merkle.FIELDS)})) AS leaf,
+               CASE WHEN xor({_CRC}, 4294967295) % {TAMPERED_EVERY} = 0 AND n_chars IS NOT NULL THEN
+                 sha256(concat({", ".join(_field("n_chars + 1" if c == "n_chars" else c) for c in merkle.FIELDS)})) END AS changed
+             FROM documents),
+  placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+               count(*) OVER (PARTITION BY lang) AS n FROM leaves),
+  nodes AS (SELECT lang, 0 AS level, i, n, leaf AS h FROM placed UNION ALL
+            SELECT lang, level + 1, i // 2, (n + 1) // 2, sha256(h || coalesce(other, '')) FROM (
+              SELECT *, lead(h) OVER (PARTITION BY lang, level ORDER BY i) AS other FROM nodes WHERE n > 1) WHERE i % 2 = 0),
+  tops AS (SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n
+           FROM nodes WHERE n = 1),
+  upper_nodes AS (SELECT 0 AS level, i, n, subroot AS h FROM tops UNION ALL
+            SELECT level + 1, i // 2, (n + 1) // 2, sha256(h || coalesce(other, '')) FROM (
+              SELECT *, lead(h) OVER (PARTITION BY level ORDER BY i) AS other FROM upper_nodes WHERE n > 1) WHERE i % 2 = 0),
+  root AS (SELECT h AS root FROM upper_nodes WHERE n = 1),
+  siblings AS (SELECT p.lang, p.i, 0 AS part, nodes.level, nodes.h FROM placed p JOIN nodes
+                 ON nodes.lang IS NOT DISTINCT FROM p.lang AND nodes.i = xor(p.i >> nodes.level, 1) AND nodes.n > 1 UNION ALL
+               SELECT p.lang, p.i, 1, u.level, u.h FROM placed p JOIN tops ON tops.lang IS NOT DISTINCT FROM p.lang
+                 JOIN upper_nodes u ON u.i = xor(tops.i >> u.level, 1) AND u.n > 1),
+  proofs AS (SELECT lang, i, sha256(string_agg(h, '' ORDER BY part, level)) AS proof_sha256 FROM siblings GROUP BY lang, i),
+  folds AS (SELECT lang, i, 0 AS level, i AS at, n, coalesce(changed, leaf) AS h FROM placed UNION ALL
+            SELECT f.lang, f.i, f.level + 1, f.at // 2, (f.n + 1) // 2,
+              sha256(CASE WHEN f.at % 2 = 0 THEN f.h || coalesce(s.h, '') ELSE s.h || f.h END)
+            FROM folds f LEFT JOIN siblings s ON s.part = 0 AND s.lang IS NOT DISTINCT FROM f.lang AND s.i = f.i AND s.level = f.level
+            WHERE f.n > 1),
+  upper_folds AS (SELECT f.lang, f.i, 0 AS level, tops.i AS at, tops.n, f.h FROM folds f JOIN tops
+                    ON tops.lang IS NOT DISTINCT FROM f.lang WHERE f.n = 1 UNION ALL
+            SELECT f.lang, f.i, f.level + 1, f.at // 2, (f.n + 1) // 2,
+              sha256(CASE WHEN f.at % 2 = 0 THEN f.h || coalesce(s.h, '') ELSE s.h || f.h END)
+            FROM upper_folds f LEFT JOIN siblings s
+              ON s.part = 1 AND s.lang IS NOT DISTINCT FROM f.lang AND s.i = f.i AND s.level = f.level WHERE f.n > 1)
+  SELECT p.doc_id, p.leaf, tops.subroot, root.root, coalesce(proofs.proof_sha256, sha256('')) AS proof_sha256,
+         u.h AS folded_root, u.h = root.root AS verified
+  FROM placed p JOIN tops ON tops.lang IS NOT DISTINCT FROM p.lang
+  JOIN upper_folds u ON u.lang IS NOT DISTINCT FROM p.lang AND u.i = p.i AND u.n = 1
+  LEFT JOIN proofs ON proofs.lang IS NOT DISTINCT FROM p.lang AND proofs.i = p.i, root"""
+
+
+@query(MERKLE_SQL)
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"), merkle.tampered_by_crc(TAMPERED_EVERY))
