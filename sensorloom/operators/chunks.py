@@ -123,6 +123,12 @@ def build_chunks(pages: DataFrame) -> DataFrame:
         "segment", "pos", F.col("chunk").alias("text"))
 
 
+def with_vectors(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Chunks with their ``embedding`` from (id, embedding); null where there is none."""
+    one_each = vectors.select("id", "embedding").dropDuplicates(["id"])
+    return chunks.drop("embedding").join(one_each, "id", "left")
+
+
 def chunk_counts(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("source").agg(F.count(F.lit(1)).alias("chunk_count"))
 

@@ -157,12 +157,16 @@ def anomalous_parameters(anomalies: DataFrame, by: str | None = "machine_id") ->
     return anomalies.groupBy(*([by] if by else [])).agg(names)
 
 
-def run_metrics(rows: DataFrame, anomalies: DataFrame) -> DataFrame:
-    """Row and machine counts beside anomaly counts, as one row."""
-    read = rows.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("machine_id").alias("machines"))
-    found = anomalies.agg(
+def run_metrics(rows: DataFrame, anomalies: DataFrame, by: str | None = None) -> DataFrame:
+    """Row and machine counts beside anomaly counts: one row, or one for each ``by`` that has rows."""
+    keys = [by] if by else []
+    read = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("machine_id").alias("machines"))
+    found = anomalies.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("anomalies_detected"), F.countDistinct("machine_id").alias("machines_flagged"),
         F.count_if(F.col("severity") == "HIGH").alias("high_severity"))
+    if by:
+        counts = [c for c in found.columns if c != by]
+        return read.join(found, by, "left").fillna(0, counts)
     both = read.unionByName(found, allowMissingColumns=True)
     return both.agg(*[F.max(c).alias(c) for c in both.columns])
 

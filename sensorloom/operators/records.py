@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sensorloom.functions.cleaning import machine_type
+from sensorloom.scale import cut
 from sensorloom.schema import RECENT_RUNS
 
 
@@ -14,19 +14,33 @@ def distinct_values(df: DataFrame, col: str) -> DataFrame:
     return df.select(col).distinct()
 
 
-def upsert_machines(names: DataFrame, machines: DataFrame) -> DataFrame:
-    """``machines`` plus a row for every unknown name; known names keep their key.
+def dense_index(rows: DataFrame, order: str, into: str) -> DataFrame:
+    """Number rows from 0 in the order of a column, ties in any order.
 
-    New keys follow the sorted order of the new names. Ranking is distributed: names are range
-    sorted and each partition starts counting where the ones before it end.
+    Rows are range-partitioned and written, then the counts of the partitions say where each of them
+    starts; only these counts meet in one task.
     """
+    ranged = rows.repartitionByRange(order).sortWithinPartitions(order)
+    placed = cut(ranged.withColumns({"_part": F.spark_partition_id(), "_place": F.monotonically_increasing_id()}))
+    parts = placed.groupBy("_part").agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    return (placed.join(F.broadcast(starts), "_part")
+            .withColumn(into, F.col("_start") + F.col("_place") - F.col("_first")).drop("_part", "_place", "_first", "_start"))
+
+
+def new_machines(names: DataFrame, machines: DataFrame) -> DataFrame:
+    """A row for every unknown name; the keys follow the sorted order of the names, after the highest known key."""
     new = distinct_values(names.filter(F.col("name").isNotNull()), "name").join(
         machines.select("name"), "name", "left_anti")
     last = machines.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    ranked = new.sort("name").rdd.zipWithIndex().map(lambda pair: (last + 1 + pair[1], pair[0][0]))
-    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("name", T.StringType())])
-    added = machines.sparkSession.createDataFrame(ranked, schema).withColumn("machine_type", machine_type(F.col("name")))
-    return machines.unionByName(added, allowMissingColumns=True)
+    return dense_index(new, "name", "_at").select(
+        (F.lit(last) + 1 + F.col("_at")).alias("id"), "name", machine_type(F.col("name")).alias("machine_type"))
+
+
+def upsert_machines(names: DataFrame, machines: DataFrame) -> DataFrame:
+    """``machines`` plus a row for every unknown name; known names keep their key."""
+    return machines.unionByName(new_machines(names, machines), allowMissingColumns=True)
 
 
 def orphan_machines(machines: DataFrame, readings: DataFrame) -> DataFrame:

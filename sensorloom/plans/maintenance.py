@@ -1,16 +1,18 @@
-"""Deletes, resets and change merges over the stored tables, as rewrites."""
+"""Deletes, resets and change merges: as pure functions of tables, and over the stored tables."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sensorloom.operators.chunks import build_chunks, chunk_counts
+from sensorloom.operators.chunks import build_chunks, chunk_counts, with_vectors
 from sensorloom.operators.records import apply_log_changes, drop_keys, orphan_machines
+from sensorloom.scale import DEFAULT, cut
 from sensorloom.schema import TABLES
-from sensorloom.sources.store import Store
+from sensorloom.sources.store import Change, Store
 from sensorloom.sources.tables import set_status
 
 
@@ -46,32 +48,45 @@ def stored_tables(store: Store) -> FleetTables:
 
 
 def delete_stored_dataset(store: Store, dataset_id: int) -> None:
-    """Readings and anomalies lose one partition; only the small tables are rewritten.
+    """Readings and anomalies lose one partition, orphaned machines are noted as deleted; published together.
 
-    The dataset can be uploaded again under its key, which brings the partition back.
+    Only the small tables are rewritten, and the readings that are left are looked at once. The dataset can be
+    uploaded again under its key.
     """
-    store.drop_partition("sensor_readings", dataset_id)
-    store.drop_partition("anomalies", dataset_id)
-    orphans = orphan_machines(store.read("machines"), store.read("sensor_readings"))
-    if not orphans.isEmpty():
-        gone = orphans.select("id", F.col("id").alias("machine_id"))
-        store.replace("anomalies", drop_keys(store.read("anomalies"), gone, "machine_id"))
-        store.replace("machines", drop_keys(store.read("machines"), gone, "id"))
-    store.replace("etl_runs", store.read("etl_runs").filter(F.col("dataset_id") != dataset_id))
-    store.replace("datasets", store.read("datasets").filter(F.col("id") != dataset_id))
+    def work(change: Change) -> None:
+        change.depends_on("sensor_readings")  # the orphans are read from it
+        change.drop_partition("sensor_readings", dataset_id)
+        change.drop_partition("anomalies", dataset_id)
+        orphans = cut(orphan_machines(change.read("machines"), change.read("sensor_readings")).select("id"))
+        if not orphans.isEmpty():
+            gone = orphans.select("id", F.col("id").alias("machine_id"))
+            few = orphans.limit(DEFAULT.broadcast_rows + 1).collect()
+            if len(few) <= DEFAULT.broadcast_rows:
+                change.delete_keys("anomalies", [r["id"] for r in few])
+            else:
+                change.replace("anomalies", drop_keys(change.read("anomalies"), gone, "machine_id"), computed=True)
+            change.replace("machines", drop_keys(change.read("machines"), gone, "id"), computed=True)
+        for name, key in (("etl_runs", "dataset_id"), ("datasets", "id")):
+            rows = change.read(name)
+            change.replace(name, rows.filter(~F.col(key).eqNullSafe(F.lit(dataset_id))), computed=True)
+    store.retried(work)
 
 
 def delete_stored_machine(store: Store, machine_id: int) -> None:
-    left = delete_machine(stored_tables(store), machine_id)
-    store.replace("anomalies", left.anomalies)
-    store.replace("machines", left.machines)
-    store.replace("sensor_readings", left.readings)
+    """Note the machine as deleted: later reads leave its readings and anomalies out, no file of theirs is written."""
+    def work(change: Change) -> None:
+        change.delete_keys("sensor_readings", [machine_id])
+        change.delete_keys("anomalies", [machine_id])
+        change.replace("machines", change.read("machines").filter(F.col("id") != machine_id), computed=True)
+    store.retried(work)
 
 
 def reset_tables(store: Store) -> None:
-    """Empty every table, the chunk table included."""
-    for name in TABLES:
-        store.clear(name)
+    """Empty every table at once, the chunk table included."""
+    def work(change: Change) -> None:
+        for name in TABLES:
+            change.clear(name)
+    store.retried(work)
 
 
 def reset_chunks(store: Store) -> None:
@@ -79,20 +94,29 @@ def reset_chunks(store: Store) -> None:
 
 
 def merge_log_changes(store: Store, changes: DataFrame) -> None:
-    store.replace("maintenance_logs", apply_log_changes(store.read("maintenance_logs"), changes))
+    store.update("maintenance_logs", lambda logs: apply_log_changes(logs, changes))
 
 
-def ingest_manual(store: Store, pages: DataFrame, document_id: int, filename: str) -> int:
-    """Chunk the pages of one manual into the chunk table; returns the number of chunks."""
+def ingest_manual(store: Store, pages: DataFrame, document_id: int, filename: str,
+                  embed: Callable[[DataFrame], DataFrame] | None = None) -> int:
+    """Chunk the pages of one manual into the chunk table; returns the number of chunks.
+
+    ``embed`` turns the chunks into (id, embedding); a chunk that it leaves out gets no vector and is near to
+    nothing. Chunks and status are published together, so a manual that fails leaves its earlier chunks.
+    """
     one = store.spark.createDataFrame([(document_id, filename)], "id long, filename string")
     set_status(store, "documents", one, "processing")
-    try:
-        store.put_partitions("manuals", build_chunks(pages.withColumn("source", F.lit(filename))),
-                             [filename])
-        counts = chunk_counts(store.read("manuals").filter(F.col("source") == filename)).first()
+
+    def work(change: Change) -> int:
+        chunks = build_chunks(pages.withColumn("source", F.lit(filename)))
+        change.put_partitions("manuals", with_vectors(chunks, embed(chunks)) if embed else chunks, [filename])
+        counts = chunk_counts(change.read("manuals").filter(F.col("source") == filename)).first()
         count = counts["chunk_count"] if counts else 0
-        set_status(store, "documents", one.withColumn("chunk_count", F.lit(count)), "completed")
+        set_status(change, "documents", one.withColumn("chunk_count", F.lit(count)), "completed")
         return count
+
+    try:
+        return store.retried(work)
     except Exception as error:  # the registry is the report of a failed manual
         set_status(store, "documents", one.withColumn("error", F.lit(str(error))), "failed")
         return 0

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from sensorloom.plans.upload import process_rows
-from sensorloom.scale import DEFAULT, Scale
+from sensorloom.operators.fleet import run_metrics
+from sensorloom.plans.upload import NOTHING_KEPT, process_rows, run_params
+from sensorloom.scale import DEFAULT, Scale, cut
 from sensorloom.schema import DEFAULT_THRESHOLD, DEFAULT_WINDOW
 from sensorloom.sources.csv import split_files
-from sensorloom.sources.store import Store
-from sensorloom.sources.tables import set_status
+from sensorloom.sources.store import Change, Store
+from sensorloom.sources.tables import run_rows, set_status
 
 
 def dataset_key(file):
@@ -19,29 +20,69 @@ def dataset_key(file):
     return F.abs(F.xxhash64(file))
 
 
-def process_batch(store: Store, lines: DataFrame, threshold: float = DEFAULT_THRESHOLD,
-                  window: int = DEFAULT_WINDOW, scale: Scale = DEFAULT) -> None:
-    """All files of one micro-batch at once: no loop over files.
+def _registered(files: DataFrame, *more) -> DataFrame:
+    return files.select(dataset_key(F.col("file")).alias("id"), F.element_at(F.split("file", "/"), -1).alias("filename"), *more)
 
-    A retried batch rewrites the partitions of the same datasets, so results do not double.
+
+def _process_files(change: Change, lines: DataFrame, names: list[str], threshold: float, window: int, scale: Scale) -> None:
+    """Process some files of a batch at once: no loop over files as long as none of them raises.
+
+    When the plan raises, the files are halved until the one that raises stands alone and is reported; the
+    others take no harm from it.
     """
-    raw, rejected = split_files(lines)
-    name = F.element_at(F.split("file", "/"), -1).alias("filename")
-    files = lines.select("file").distinct()
-    set_status(store, "datasets", files.select(dataset_key(F.col("file")).alias("id"), name), "processing")
-    rows = raw.withColumn("dataset_id", dataset_key(F.col("file"))).drop("file")
-    ids = files.select(dataset_key(F.col("file")).alias("dataset_id"))
+    spark, saved = change.store.spark, change.savepoint()
+    files = spark.createDataFrame([(n,) for n in names], "file string")
+    try:
+        raw, rejected = split_files(lines.join(F.broadcast(files), "file", "left_semi"))
+        rejected = cut(rejected)
+        rows = raw.withColumn("dataset_id", dataset_key(F.col("file"))).drop("file")
+        ids = files.select(dataset_key(F.col("file")).alias("dataset_id"))
+
+        def own(df: DataFrame) -> DataFrame:
+            return df.join(F.broadcast(ids), "dataset_id", "left_semi")
+
+        keys = [r["dataset_id"] for r in ids.collect()]
+        written = process_rows(change, rows, own, threshold, window, scale, keys)
+        metrics = cut(run_metrics(written, own(change.read("anomalies")), "dataset_id"))
+        counts = metrics.select(F.col("dataset_id").alias("id"), F.col("rows").alias("row_count"))
+        accepted = cut(_registered(files.join(rejected, "file", "left_anti")).join(counts, "id", "left").fillna(0, ["row_count"]))
+        # a file with rows of which none can be kept has failed, one with nothing but its header has not
+        given = rows.groupBy(F.col("dataset_id").alias("id")).count().drop("count")
+        useless = accepted.filter("row_count = 0").join(given, "id", "left_semi").select("id", "filename", F.lit(NOTHING_KEPT).alias("error"))
+        change.append("etl_runs", run_rows(metrics, run_params(threshold, window)))
+        set_status(change, "datasets", accepted.join(useless, "id", "left_anti"), "completed")
+        set_status(change, "datasets", _registered(rejected, "error").unionByName(useless), "failed")
+    except Exception as error:  # the status table is the report of a failed upload
+        change.back_to(saved)
+        if len(names) > 1:
+            for half in (names[::2], names[1::2]):
+                _process_files(change, lines, half, threshold, window, scale)
+        else:
+            set_status(change, "datasets", _registered(files, F.lit(str(error)).alias("error")), "failed")
 
-    def own(df: DataFrame) -> DataFrame:
-        return df.join(ids, "dataset_id", "left_semi")
 
-    # one number for each file of the batch
-    keys = [r["dataset_id"] for r in ids.collect()]
-    stored = process_rows(store, rows, own, threshold, window, scale, keys)
-    counts = stored.groupBy(F.col("dataset_id").alias("id")).agg(F.count(F.lit(1)).alias("row_count"))
-    accepted = files.join(rejected, "file", "left_anti").select(dataset_key(F.col("file")).alias("id"), name)
-    set_status(store, "datasets", accepted.join(counts, "id", "left").fillna(0, ["row_count"]), "completed")
-    set_status(store, "datasets", rejected.select(dataset_key(F.col("file")).alias("id"), name, "error"), "failed")
+def process_batch(store: Store, lines: DataFrame, threshold: float = DEFAULT_THRESHOLD, window: int = DEFAULT_WINDOW,
+                  scale: Scale = DEFAULT, batch: int | None = None, stream: str = "files") -> None:
+    """All files of one micro-batch: readings, anomalies, run log and status become visible together.
+
+    The number of the batch is published with them. A batch that is delivered again after it was published
+    does nothing; one that broke off before has left nothing, so either way there is one of each.
+    """
+    if batch is not None and store.change().marked(stream) >= batch:
+        return
+    held = cut(lines.select("file", "value"))  # the files are read once
+    # one name for each file of the batch
+    names = sorted(r["file"] for r in held.select("file").distinct().collect())
+    if names:
+        files = store.spark.createDataFrame([(n,) for n in names], "file string")
+        set_status(store, "datasets", _registered(files), "processing")
+
+    def work(change: Change) -> None:
+        if names:
+            _process_files(change, held, names, threshold, window, scale)
+        if batch is not None:
+            change.mark(stream, batch)
+    store.retried(work)
 
 
 def ingest_stream(spark: SparkSession, in_dir: str, store: Store, checkpoint: str,
@@ -52,7 +93,7 @@ def ingest_stream(spark: SparkSession, in_dir: str, store: Store, checkpoint: st
              .select("value", F.col("_metadata.file_path").alias("file")))
 
     def handle(batch: DataFrame, epoch: int) -> None:
-        process_batch(store, batch, threshold, window, scale)
+        process_batch(store, batch, threshold, window, scale, epoch, checkpoint)
 
     return (lines.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

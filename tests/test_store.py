@@ -167,5 +167,5 @@ def test_newest_first_for_one_user(spark):
 
 def test_stored_readings_scan(spark, store, sample, tmp_path):
     process_dataset(store, write(tmp_path / "in", "s.csv", sample[:50]), 1)
-    rows = read_readings(spark, store.path("sensor_readings"))
+    rows = read_readings(store)
     assert rows.count() == 49 and "temperature_roc" not in rows.columns
