@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import atexit
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensorloom.functions.cleaning import machine_type
 from sensorloom.operators.detectors import detect
 from sensorloom.operators.features import features, fill_gaps
+from sensorloom.scale import shared_root
 from sensorloom.schema import PARAMETERS
 from sensorloom.session import configure
+from sensorloom.sources.store import Store
 
 AN_THRESHOLD = 2.0
 EVENT_OF = {"temperature": "view", "pressure": "click", "vibration": "purchase", "rpm": "error"}
@@ -29,6 +34,20 @@ class Fixtures:
         configure(spark)
         self.spark, self.sf_dir = spark, sf_dir
 
+    def folder(self) -> str:
+        """A new folder that driver and executors share, removed when the driver ends."""
+        folder, context = f"{shared_root(self.spark).rstrip('/')}/checked-{uuid.uuid4().hex}", self.spark.sparkContext
+
+        def remove() -> None:
+            if context._jsc is not None and not context._jsc.sc().isStopped():
+                path = context._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        atexit.register(remove)
+        return folder
+
+    def store(self) -> Store:
+        return Store(self.spark, f"{self.folder()}/tables")
+
     def table(self, name: str) -> DataFrame:
         return table(self.spark, self.sf_dir, name)
 

@@ -142,9 +142,12 @@ ISO_SQL = ("CASE WHEN epoch_us({0}) % 1000000 = 0 THEN strftime({0}, '%Y-%m-%dT%
            "ELSE strftime({0}, '%Y-%m-%dT%H:%M:%S.%f') END")
 
 
-@check(with_shapes(
+EXPORT_SENSORS_SQL = with_shapes(
     f"SELECT coalesce(name, machine_id::VARCHAR) AS machine, {ISO_SQL.format('ts')} AS timestamp, "
-    f"{rounded_sql(*PARAMETERS, *exports.ROLLING)} FROM fw LEFT JOIN md ON id = machine_id", "fw", "md"))
+    f"{rounded_sql(*PARAMETERS, *exports.ROLLING)} FROM fw LEFT JOIN md ON id = machine_id", "fw", "md")
+
+
+@check(EXPORT_SENSORS_SQL)
 def export_sensors(x: Fixtures) -> DataFrame:
     return rounded(exports.sensor_rows(x.readings(), x.machines()), *PARAMETERS, *exports.ROLLING)
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensorloom.functions.cleaning import micros
@@ -43,13 +43,16 @@ def is_small(df: DataFrame, scale: Scale) -> bool:
     return input_bytes(df) <= scale.small_bytes
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the cluster names it; without one it is the warehouse."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Checkpoint in the shared folder of the session, so lost executors cost no recomputation."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        # the cluster names the folder; without one the warehouse is the folder that all share
-        conf = df.sparkSession.conf
-        context.setCheckpointDir(conf.get("spark.checkpoint.dir", None) or conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
+        context.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint()
 
 
