@@ -10,7 +10,7 @@ from collections.abc import Callable
 from dataclasses import replace
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensorloom.functions.scoring import flag, is_trending, severity, severity_fixed
@@ -104,18 +104,24 @@ def rolling_z(o: Ordered, threshold: float, window: int, scale: Scale) -> DataFr
 
 def residuals(o: Ordered, window: int, scale: Scale) -> DataFrame:
     """Rows with ``resid``, the distance from the running mean, and its sample deviation per series."""
+    if not o.split:
+        return _residuals_of(o, profiled(o, scale), window)
     base = replace(o, frame=profiled(o, scale))
     rows = smoothed(base, window).withColumn("resid", F.abs(F.col("value") - F.col("ewma")))
     stats = [F.stddev_samp("resid").alias("resid_std"),
              (F.max("resid") > F.min("resid")).alias("resid_varied")]
-    if not o.split:
-        return rows.withColumns({"resid_std": F.stddev_samp("resid").over(o.whole()),
-                                 "resid_varied": F.max("resid").over(o.whole()) > F.min("resid").over(o.whole())})
     # read twice: written once, rather than ordered twice
     rows = cut(o.done(rows))
     return attach(rows, rows.groupBy(*o.keys).agg(*stats), o.keys, scale, keys_from=o.source)
 
 
+def _residuals_of(o: Ordered, rows: DataFrame, window: int) -> DataFrame:
+    """The same on a frame whose series are whole."""
+    rows = smoothed(replace(o, frame=rows), window).withColumn("resid", F.abs(F.col("value") - F.col("ewma")))
+    return rows.withColumns({"resid_std": F.stddev_samp("resid").over(o.whole()),
+                             "resid_varied": F.max("resid").over(o.whole()) > F.min("resid").over(o.whole())})
+
+
 def ewma_residual(o: Ordered, threshold: float, window: int, scale: Scale) -> DataFrame:
     rows = residuals(o, window, scale).filter(_usable(DETECT_MIN_POINTS) & F.col("resid_varied"))
     return _flagged(rows.withColumn("score", F.col("resid") / F.col("resid_std")), threshold)
@@ -129,13 +135,17 @@ def with_quartiles(o: Ordered, rows: DataFrame, scale: Scale) -> DataFrame:
         {"q0": F.col("_q")[0], "q1": F.col("_q")[1]}).drop("_q")
 
 
+def _outside(threshold: float) -> Column:
+    spread, x, k = F.col("q1") - F.col("q0"), F.col("value"), max(0.5, threshold / 2.0)
+    return F.greatest(F.col("q0") - k * spread - x, x - F.col("q1") - k * spread)
+
+
 def iqr(o: Ordered, threshold: float, window: int, scale: Scale) -> DataFrame:
     """Distance outside the fences in units of the interquartile range."""
     rows = with_quartiles(o, profiled_rows(o, scale), scale)
-    spread, x, k = F.col("q1") - F.col("q0"), F.col("value"), max(0.5, threshold / 2.0)
-    outside = F.greatest(F.col("q0") - k * spread - x, x - F.col("q1") - k * spread)
+    spread = F.col("q1") - F.col("q0")
     rows = rows.filter((F.col("n") >= DETECT_MIN_POINTS) & (spread > 0))
-    rows = rows.withColumn("score", outside / spread).filter(F.col("score") > 0)
+    rows = rows.withColumn("score", _outside(threshold) / spread).filter(F.col("score") > 0)
     return rows.withColumn("severity", severity_fixed(F.col("score")))
 
 
@@ -158,6 +168,70 @@ def detect(readings: DataFrame, method: str, threshold: float = DEFAULT_THRESHOL
     return _output(REGISTRY[method](o, threshold, window, scale), method)
 
 
+#: what a method adds to a profiled, ordered frame, and the columns (score if flagged, severity) that it reads off it
+Reader = tuple[Callable[[Ordered, DataFrame, float, int, Scale], DataFrame], Callable[[float], tuple[Column, Column]]]
+SIDE_BY_SIDE: dict[str, Reader] = {}
+
+
+def register_reader(name: str, *reader) -> None:
+    SIDE_BY_SIDE[name] = reader
+
+
+def _fixed(score: Column, deviation: Column, keep: Column) -> tuple[Column, Column]:
+    return F.when(keep, score), severity_fixed(deviation)
+
+
+def _by_threshold(score: Column, usable: Column, threshold: float) -> tuple[Column, Column]:
+    return F.when(usable & flag(score, threshold), score), severity(score, threshold)
+
+
+def _iqr_columns(threshold: float) -> tuple[Column, Column]:
+    score = F.try_divide(_outside(threshold), F.col("q1") - F.col("q0"))
+    return _fixed(score, score, (F.col("n") >= DETECT_MIN_POINTS) & (F.col("q1") > F.col("q0")) & (score > 0))
+
+
+register_reader("zscore", lambda o, rows, t, w, scale: rows,
+                lambda t: _by_threshold(F.try_divide(F.abs(F.col("value") - F.col("mean")), F.col("std")),
+                                        _usable(DETECT_MIN_POINTS), t))
+register_reader("rolling_z", lambda o, rows, t, w, scale: trailing_baseline(o, w, rows),
+                lambda t: _by_threshold(F.abs(F.try_divide(F.col("value") - F.col("base_mean"), F.col("base_std"))),
+                                        F.col("n") >= DETECT_MIN_POINTS, t))
+register_reader("ewma", lambda o, rows, t, w, scale: _residuals_of(o, rows, w),
+                lambda t: _by_threshold(F.try_divide(F.col("resid"), F.col("resid_std")),
+                                        _usable(DETECT_MIN_POINTS) & F.col("resid_varied"), t))
+register_reader("iqr", lambda o, rows, t, w, scale: with_quartiles(o, rows, scale), _iqr_columns)
+
+
+def side_by_side(readings: DataFrame, methods: list[str], threshold: float = DEFAULT_THRESHOLD,
+                 window: int = DEFAULT_WINDOW, scale: Scale = DEFAULT) -> DataFrame:
+    """Anomalies of several methods, equal to the union of ``detect`` for each.
+
+    The series are ordered and profiled once, every method adds its columns to that frame, and a row gives one
+    result for each method that flags it. Next to series too long for one task, and for methods
+    registered without a reader, each method makes its own pass.
+    """
+    for method in methods:
+        validate_params(method, threshold, window)
+    look_back = max(LOOK_BACK.get(m, lambda w: 0)(window) for m in methods)
+    o = ordered(as_series(readings), SERIES_KEY, look_back=look_back, scale=scale)
+    if o.split or not set(methods) <= set(SIDE_BY_SIDE):
+        return union_methods([detect(readings, m, threshold, window, scale) for m in methods])
+    rows = profiled(o, scale)
+    # frames that look back see null rows too, so the method that drops them comes after those that do not
+    for method in sorted(methods, key=["zscore", "rolling_z", "iqr", "ewma", "isolation_forest"].index):
+        rows = SIDE_BY_SIDE[method][0](o, rows, threshold, window, scale)
+    results = []
+    for method in methods:
+        score, level = SIDE_BY_SIDE[method][1](threshold)
+        results.append(F.struct(F.lit(method).alias("method"), score.alias("score"), level.alias("severity")))
+    flagged = rows.withColumn("_found", F.explode(F.filter(F.array(*results), lambda r: r["score"].isNotNull())))
+    dataset = F.col("dataset_id") if "dataset_id" in rows.columns else F.lit(None).cast("long")
+    return flagged.select(
+        "machine_id", dataset.alias("dataset_id"), "parameter", "ts", "row_id", "value", F.col("_found.score").alias("z_score"),
+        F.col("_found.severity").alias("severity"), is_trending(F.col("trend_slope")).alias("is_trending"), "trend_slope",
+        F.col("_found.method").alias("method"))
+
+
 def union_methods(results: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, results)
 
@@ -165,7 +239,7 @@ def union_methods(results: list[DataFrame]) -> DataFrame:
 def compare_methods(readings: DataFrame, methods: list[str], threshold: float = DEFAULT_THRESHOLD,
                     window: int = DEFAULT_WINDOW, scale: Scale = DEFAULT) -> DataFrame:
     """One row per method: anomalies, machines flagged and counts by severity; zeros when none."""
-    found = union_methods([detect(readings, m, threshold, window, scale) for m in methods])
+    found = side_by_side(readings, methods, threshold, window, scale)
     names = readings.sparkSession.createDataFrame([(m,) for m in methods], "method string")
     counts = found.groupBy("method").agg(
         F.count(F.lit(1)).alias("anomalies"),

@@ -260,4 +260,4 @@ def with_shapes(body: str, *shapes: str, extra: dict[str, str] | None = None) ->
         add(shape)
     ordered |= extra or {}
     # shapes are used several times: computing each once keeps the check linear
-    return "WITH " + ", ".join(f"{n} AS MATERIALIZED ({sql})" for n, sql in ordered.items()) + " " + body
+    return "WITH RECURSIVE " + ", ".join(f"{n} AS{'' if f'FROM {n} ' in sql else ' MATERIALIZED'} ({sql})" for n, sql in ordered.items()) + " " + body

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sensorloom.functions.cleaning import fahrenheit_to_celsius, machine_type as type_of
 from sensorloom.functions.scoring import severity
 from sensorloom.operators import features as feature_ops
+from sensorloom.operators import forest
 from sensorloom.operators import forecast as forecast_ops
 from sensorloom.operators.detectors import (
     as_series, compare_methods as compare, compare_runs as compare_sets, detect, trailing_baseline as baseline)
@@ -226,21 +227,65 @@ def detect_iqr(x: Fixtures) -> DataFrame:
     return _shown(detect(x.long_events(), "iqr"))
 
 
-@check()
+# The forest from its definition: every value of a series walks down every tree; the rows that a tree drew
+# (weight) decide the cuts and the sizes of the leaves, and the path lengths of all trees are summed.
+DIGEST_SQL = (f"list_reduce(list_prepend(0, list_transform(string_split(substr(md5({{0}}), 1, {forest.DIGITS}), ''), "
+              f"lambda c: strpos('0123456789abcdef', c) - 1)), lambda a, b: a * 16 + b) / 16.0 ** {forest.DIGITS}")
+LEAF_SQL = (f"CAST(round({forest.UNIT} * CASE WHEN size > 2 THEN 2 * (ln(size - 1) + {forest.EULER}) - 2 * (size - 1) / size "
+            "WHEN size = 2 THEN 1.0 ELSE 0.0 END) AS BIGINT)")
+FOREST_PARTS = {
+    "drawn": f"SELECT *, row_number() OVER (PARTITION BY {KEYS} ORDER BY digest, value) - 1 AS pos FROM ("
+             f"SELECT {KEYS}, value, md5(row_id::VARCHAR) AS digest, {DIGEST_SQL.format('row_id::VARCHAR')} AS share, "
+             f"count(*) OVER (PARTITION BY {KEYS}) AS n FROM el WHERE value IS NOT NULL) "
+             f"WHERE n >= 5 AND (n <= {2 * forest.POOL} OR share < {2.0 * forest.POOL} / n)",
+    "pool": f"SELECT *, count(*) OVER (PARTITION BY {KEYS}) AS pooled, least({forest.SAMPLE}, count(*) OVER (PARTITION BY {KEYS})) "
+            f"AS size FROM drawn WHERE pos < {forest.POOL}",
+    "trees": f"SELECT unnest(range({forest.TREES})) AS tree",
+    "cuts": f"SELECT tree, node, {DIGEST_SQL.format(f"concat('{forest.SEED}:', tree, ':', node)")} AS share "
+            f"FROM (SELECT tree, unnest(range({forest.SAMPLE})) AS node FROM trees)",
+    "weights": f"SELECT {KEYS}, tree, value, count(*) AS weight FROM pool, trees "
+               f"WHERE (pos - tree * size + {forest.POOL} * pooled) % pooled < size GROUP BY ALL",
+    "sizes": f"SELECT {KEYS}, any_value(size) AS drawn, greatest(ceil(log2(greatest(any_value(size), 2))), 1) AS most "
+             f"FROM pool GROUP BY {KEYS}",
+    "walks": f"SELECT {KEYS}, tree, value, coalesce(weight, 0) AS weight, 1 AS node, 0 AS depth, drawn, most FROM "
+             f"(SELECT DISTINCT {KEYS}, value FROM el WHERE value IS NOT NULL) JOIN sizes USING ({KEYS}) CROSS JOIN trees "
+             f"LEFT JOIN weights USING ({KEYS}, tree, value) UNION ALL "
+             f"SELECT {KEYS}, tree, value, weight, 2 * node + CASE WHEN value > CASE WHEN cut < high THEN cut ELSE low END "
+             "THEN 1 ELSE 0 END, depth + 1, drawn, most FROM (SELECT *, low + share * (high - low) AS cut FROM ("
+             "SELECT *, min(value) FILTER (weight > 0) OVER w AS low, max(value) FILTER (weight > 0) OVER w AS high "
+             f"FROM walks WHERE depth < most WINDOW w AS (PARTITION BY {KEYS}, tree, node)) JOIN cuts USING (tree, node) "
+             "WHERE low < high)",
+    "ends": f"SELECT {KEYS}, value, any_value(drawn) AS drawn, sum(depth * {forest.UNIT} + {LEAF_SQL}) AS paths FROM ("
+            f"SELECT *, sum(weight) OVER w AS size, min(value) FILTER (weight > 0) OVER w AS low, "
+            "max(value) FILTER (weight > 0) OVER w AS high "
+            f"FROM walks WINDOW w AS (PARTITION BY {KEYS}, tree, depth, node)) WHERE low = high OR depth = most GROUP BY {KEYS}, value",
+    "isolated": f"SELECT *, stddev_pop(raw) OVER w AS raw_std, avg(raw) OVER w AS raw_mean, "
+                f"quantile_cont(raw, {1 - forest.contamination(3.0)}) OVER w AS raw_cut "
+                f"FROM (SELECT el.*, 2.0 ** (-(paths / {float(forest.TREES * forest.UNIT)}) / norm) AS raw FROM el JOIN ("
+                f"SELECT *, greatest(CASE WHEN drawn > 2 THEN 2 * (ln(drawn - 1) + {forest.EULER}) - 2 * (drawn - 1) / drawn "
+                f"WHEN drawn = 2 THEN 1.0 ELSE 0.0 END, 1e-12) AS norm FROM ends) USING ({KEYS}, value)) "
+                f"WINDOW w AS (PARTITION BY {KEYS})",
+}
+DEVIATION = "abs(r.raw - r.raw_mean) / CASE WHEN r.raw_std > 0 THEN r.raw_std ELSE 1.0 END"
+FOREST = scored_sql("SELECT * FROM isolated", f"greatest({DEVIATION}, 0.5)", "r.raw > r.raw_cut", "isolation_forest",
+                    severity_sql(DEVIATION, 1.5, 0.75))
+
+
+@check(with_shapes(f"SELECT {SHOWN} FROM ({FOREST})", "el", extra=FOREST_PARTS))
 def detect_isolation_forest(x: Fixtures) -> DataFrame:
     return _shown(detect(x.long_events(), "isolation_forest"))
 
 
-METHOD_SQL = {"zscore": zscore_sql("el", 3.0), "rolling_z": ROLLING, "ewma": EWMA, "iqr": IQR}
+METHOD_SQL = {"zscore": zscore_sql("el", 3.0), "rolling_z": ROLLING, "ewma": EWMA, "iqr": IQR, "isolation_forest": FOREST}
 
 
 @check(with_shapes(
     "SELECT m.method, count(a.severity) AS anomalies, count(DISTINCT a.machine_id) AS machines_flagged, "
     "count(*) FILTER (a.severity = 'HIGH') AS high, count(*) FILTER (a.severity = 'MEDIUM') AS medium, "
     "count(*) FILTER (a.severity = 'MONITOR') AS monitor "
-    "FROM (VALUES ('zscore'), ('rolling_z'), ('ewma'), ('iqr')) m(method) LEFT JOIN ("
+    "FROM (VALUES ('zscore'), ('rolling_z'), ('ewma'), ('iqr'), ('isolation_forest')) m(method) LEFT JOIN ("
     + " UNION ALL ".join(f"SELECT machine_id, severity, method FROM ({s})" for s in METHOD_SQL.values())
-    + ") a ON a.method = m.method GROUP BY m.method", "el"))
+    + ") a ON a.method = m.method GROUP BY m.method", "el", extra=FOREST_PARTS))
 def compare_methods(x: Fixtures) -> DataFrame:
     return compare(x.long_events(), list(METHOD_SQL))
 

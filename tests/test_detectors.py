@@ -142,9 +142,52 @@ def test_forest_properties(spark):
 
 def test_forest_score_is_the_mean_over_its_trees():
     values = np.sort(np.random.default_rng(5).normal(0, 1, 40))
-    edges, scores = forest.fit(values, np.random.default_rng(0))
-    assert len(scores) == len(edges) + 1 and np.all(np.diff(edges) >= 0)
-    assert np.all((0 < scores) & (scores < 1))
+    edges, paths = forest.fit(values)
+    assert len(paths) == len(edges) and edges[0] == -np.inf and np.all(np.diff(edges) >= 0)
     # the extremes are easier to isolate than the middle
-    raw = forest.score(values, edges, scores)
+    raw = forest.raw_score(forest.paths_of(values, edges, paths), len(values))
+    assert np.all((0 < raw) & (raw < 1))
     assert min(raw[0], raw[-1]) > raw[18:22].max()
+
+
+def walked(value, sample, share, limit):
+    """Path length of a value down one tree, in millionths, from the definition."""
+    node, depth, inside = 1, 0, sorted(sample)
+    while inside[0] < inside[-1] and depth < limit:
+        at = inside[0] + share(node) * (inside[-1] - inside[0])
+        at = at if at < inside[-1] else inside[0]
+        right = value > at
+        inside = [x for x in inside if (x > at) == right]
+        node, depth = 2 * node + right, depth + 1
+    return depth * forest.UNIT + int(np.rint(float(forest.mean_path(len(inside))) * forest.UNIT))
+
+
+@pytest.mark.parametrize("n", [5, 40, 300])
+def test_forest_equals_a_walk_down_every_tree(n):
+    random = np.random.default_rng(n)
+    pool = np.round(random.normal(0, 1, n), 1)  # ties
+    edges, paths = forest.fit(pool)
+    size = min(forest.SAMPLE, n)
+    limit = int(np.ceil(np.log2(size)))
+    for value in [*random.choice(pool, 4), 0.033, -50.0, 50.0]:
+        want = sum(walked(value, [pool[(t * size + j) % n] for j in range(size)],
+                          lambda node, t=t: forest.fraction_of(f"{forest.SEED}:{t}:{node}"), limit) for t in range(forest.TREES))
+        assert forest.paths_of(np.array([value]), edges, paths)[0] == want
+
+
+def test_side_by_side_equals_one_by_one(spark):
+    values = np.random.default_rng(8).normal(0, 1, 300)
+    values[::60] += 9
+    values[7] = np.nan
+    frame = series(spark, values).unionByName(series(spark, spike(), 2)).unionByName(series(spark, [1.0] * 50, 3))
+    frame = frame.withColumn("dataset_id", F.lit(1).cast("long"))
+    frame = spark.createDataFrame(frame.collect(), frame.schema)
+    methods = list(detectors.REGISTRY)
+    both = detectors.side_by_side(frame, methods, 2.5, 8)
+    plan = both._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Union") == 1  # rows and breakpoints, not one branch for each method
+    def rows(df):
+        return sorted((r["method"], r["machine_id"], r["row_id"], round(r["z_score"], 9), r["severity"], r["is_trending"]) for r in df.collect())
+    found = rows(both)
+    assert {x[0] for x in found} == set(methods) == {"zscore", "rolling_z", "ewma", "iqr", "isolation_forest"}
+    assert found == sorted(x for m in methods for x in rows(detect(frame, m, 2.5, 8)))
