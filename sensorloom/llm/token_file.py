@@ -35,9 +35,11 @@ from sensorloom.llm.tokens import encoder
 END_ID = 1
 
 #: ids of a block, and bytes of text of a file, about
-BLOCK_IDS = 2_000_000
+BLOCK_IDS = 500_000
 FILE_BYTES = 16 << 20
 SAMPLE = 256
+#: documents of a block that are decoded at a time
+RUN_DOCUMENTS = 1024
 _HEAD = struct.Struct("<4sIIIIBqIIQ")
 _SEQUENCE = struct.Struct("<IBQ")
 
@@ -101,9 +103,17 @@ class EliasFano:
         position = (byte << 3) + ((here & -here).bit_length() - 1)
         return ((position - i) << self.low_bits) + int(self._lows(np.array([i]))[0])
 
-    def all(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[:self.count]
-        at = np.arange(self.count)
+    def values(self, start: int, stop: int) -> np.ndarray:
+        """Values ``start`` to ``stop`` - 1: the samples before and after them bound what is decoded."""
+        if start >= stop:
+            return np.empty(0, np.int64)
+        before, after = start // SAMPLE, -(-stop // SAMPLE)
+        first = int(self.samples[before])
+        end = int(self.samples[after]) // 8 + 1 if after < len(self.samples) else len(self.high)
+        bits = np.unpackbits(self.high[first >> 3:end], bitorder="little")
+        bits[:first & 7] = 0
+        ones = np.flatnonzero(bits)[start - before * SAMPLE:stop - before * SAMPLE] + (first >> 3 << 3)
+        at = np.arange(start, stop)
         return ((ones - at) << self.low_bits) + self._lows(at)
 
 
@@ -119,8 +129,36 @@ def write_block(file: int, block: int, doc_ids: list[int | None], tokens: list[b
     return b"".join([head, first, second, ids.astype(f"<u{width}").tobytes()])
 
 
-def read_blocks(data: bytes) -> Iterator[tuple[int, int, list[int | None], np.ndarray, np.ndarray]]:
-    """(file, block, doc_ids, starts with the end, ids) of every block of a file."""
+class Block:
+    """A block as it lies in a file: documents are found by their number, without a table of all of them."""
+
+    def __init__(self, file: int, block: int, documents: int, unknown: int, least: int, known: EliasFano, ends: EliasFano,
+                 ids: np.ndarray):
+        self.file, self.block, self.documents, self.unknown, self.least = file, block, documents, unknown, least
+        self.known, self.ends, self.ids = known, ends, ids
+
+    def doc_id(self, i: int) -> int | None:
+        return None if i < self.unknown else self.known.select(i - self.unknown) + self.least
+
+    def span(self, i: int) -> tuple[int, int]:
+        """Where the ids of document ``i`` begin and end."""
+        return self.ends.select(i - 1) if i else 0, self.ends.select(i)
+
+    def document(self, i: int) -> np.ndarray:
+        begin, end = self.span(i)
+        return self.ids[begin:end]
+
+    def runs(self, most: int = RUN_DOCUMENTS) -> Iterator[tuple[int, list[int | None], np.ndarray]]:
+        """(first number, doc_ids, starts with the end) of the documents, some at a time."""
+        for i in range(0, self.documents, most):
+            j = min(i + most, self.documents)
+            a, b = max(i - self.unknown, 0), max(j - self.unknown, 0)
+            names = [None] * (max(self.unknown - i, 0) if j > self.unknown else j - i) + (self.known.values(a, b) + self.least).tolist()
+            yield i, names, np.concatenate([[self.ends.select(i - 1) if i else 0], self.ends.values(i, j)]).astype(np.int64)
+
+
+def read_blocks(data: bytes) -> Iterator[Block]:
+    """Every block of a file."""
     at = 0
     while at < len(data):
         mark, file, block, documents, unknown, width, least, a, b, n = _HEAD.unpack_from(data, at)
@@ -128,12 +166,10 @@ def read_blocks(data: bytes) -> Iterator[tuple[int, int, list[int | None], np.nd
         end = body + a + b + n * width
         if mark != b"TOK1" or data[end:end + 1] != b"\n":
             raise ValueError(f"damaged block at byte {at}")
-        known = EliasFano.from_bytes(data[body:body + a]).all() + least
-        ends = EliasFano.from_bytes(data[body + a:body + a + b]).all()
-        if len(known) + unknown != documents or len(ends) != documents or (documents and ends[-1] != n):
+        known, ends = EliasFano.from_bytes(data[body:body + a]), EliasFano.from_bytes(data[body + a:body + a + b])
+        if known.count + unknown != documents or ends.count != documents or (documents and ends.select(documents - 1) != n):
             raise ValueError(f"boundaries do not match the ids in the block at byte {at}")
-        ids = np.frombuffer(data, f"<u{width}", n, body + a + b)
-        yield file, block, [None] * unknown + known.tolist(), np.concatenate([[0], ends]).astype(np.int64), ids
+        yield Block(file, block, documents, unknown, least, known, ends, np.frombuffer(data, f"<u{width}", n, body + a + b))
         at = end + 1
 
 
@@ -181,13 +217,15 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
         names = ["file", "block", "at", "doc_id", "local_start", "n_tokens", "ids"]
         for batch in batches:
             for content in batch.column(0):
-                for file, block, doc_ids, starts, ids in read_blocks(content.as_py()):
-                    data = memoryview(ids.astype("<u4").tobytes())
-                    n = len(doc_ids)
-                    yield pa.record_batch([
-                        pa.array(np.full(n, file)), pa.array(np.full(n, block)), pa.array(np.arange(n)), pa.array(doc_ids, pa.int64()),
-                        pa.array(starts[:-1]), pa.array(np.diff(starts)),
-                        pa.array([data[4 * a:4 * b] for a, b in zip(starts[:-1], starts[1:], strict=True)], pa.binary())], names)
+                for block in read_blocks(content.as_py()):
+                    for first, doc_ids, starts in block.runs():
+                        n, begin = len(doc_ids), int(starts[0])
+                        data = memoryview(block.ids[begin:int(starts[-1])].astype("<u4").tobytes())
+                        bounds = (4 * (starts - begin)).tolist()
+                        yield pa.record_batch([
+                            pa.array(np.full(n, block.file)), pa.array(np.full(n, block.block)), pa.array(np.arange(first, first + n)),
+                            pa.array(doc_ids, pa.int64()), pa.array(starts[:-1]), pa.array(np.diff(starts)),
+                            pa.array([data[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], names)
     files = spark.read.format("binaryFile").load(folder).select("content")
     return files.mapInArrow(parse, "file long, block long, at long, doc_id long, local_start long, n_tokens long, ids binary")
 

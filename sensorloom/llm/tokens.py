@@ -13,8 +13,10 @@ import sys
 from array import array
 from collections.abc import Iterable, Iterator
 
+import numpy as np
+
 #: most pieces that a worker remembers (about 220 bytes each), and the longest remembered piece
-REMEMBERED = 800_000
+REMEMBERED = 400_000
 LONGEST = 48
 #: characters of text cut into pieces at a time
 SPAN_CHARS = 1_000_000
@@ -29,6 +31,12 @@ _RARE_ASCII = _RARE[:4]
 _MARKS = ".,!?;:"
 
 
+#: fixed by the vocabularies: how they write a blank before a word, and the end of a word
+_BLANK, _WORD_END = "\u0120", "</w>"
+#: words encoded in one call
+JOINED = 64
+
+
 def _even(text: str) -> bool:
     """No white space but blanks and line feeds, none next to another and none at the end: each blank is a cut of its own."""
     return not (any(c in text for c in (_RARE_ASCII if text.isascii() else _RARE))
@@ -51,6 +59,11 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.marks = {m: _packed(self.tokenizer.encode(m, add_special_tokens=False).ids) for m in _MARKS}
+        #: tokens that begin a word after a blank, and tokens that end a word; a vocabulary has one kind or the other
+        vocabulary = self.tokenizer.get_vocab()
+        self.begins, self.ends = np.zeros(max(vocabulary.values()) + 1, bool), np.zeros(max(vocabulary.values()) + 1, bool)
+        self.begins[[i for t, i in vocabulary.items() if t.startswith(_BLANK)]] = True
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(_WORD_END)]] = True
         #: whether the vocabulary has no capitals
         self.folds = self.tokenizer.encode("A").ids == self.tokenizer.encode("a").ids
         #: pieces as they stand in a text, and pieces without the blank before them
@@ -89,28 +102,47 @@ class Encoder:
 
     def _learn(self, table: dict[str, bytes], pieces: set[str], before: str) -> list[tuple[dict, str]]:
         """Adds the missing pieces to ``table``; returns those that it must not keep."""
-        new, whole = pieces.difference(table), []
+        new = pieces.difference(table)
         if not new:
             return []
         room = REMEMBERED - len(self.known[0]) - len(self.known[1])
-        for p in new:
-            # a mark after a known word adds its own id; capitals change nothing where the vocabulary has none
-            known = None
-            if p[-1:] in self.marks and p[-2:-1].isalpha():
-                known = table.get(p[:-1])
-                if known is not None:
-                    known += self.marks[p[-1]]
-            elif self.folds and p.isascii() and p.isalpha():
-                known = table.get(p.lower())
-            if known is None:
-                whole.append(p)
-            else:
-                table[p] = known
+        # a mark after a word adds its own id; capitals change nothing where the vocabulary has none
+        stems = {p: stem for p in new if (stem := self._stem(p)) is not None}
+        new |= set(stems.values()).difference(table)
+        whole = [p for p in new if p not in stems]
+        if before:
+            # words of letters are encoded many to a call, which saves most of its cost
+            self._learn_joined(table, [p for p in whole if p.isalpha()], before)
+            whole = [p for p in whole if p not in table]
         found = self.tokenizer.encode_batch_fast([before + p for p in whole], add_special_tokens=False)
         table.update((p, _packed(e.ids)) for p, e in zip(whole, found, strict=True))
+        for p, stem in sorted(stems.items(), key=lambda x: x[0][-1:] in self.marks):  # a marked word's stem may have one
+            table[p] = table[stem] + (self.marks[p[-1]] if len(stem) < len(p) else b"")
         # frequent pieces are met early, so a full table stays as it is
         return [(table, p) for i, p in enumerate(new) if i >= room or len(p) > LONGEST]
 
+    def _stem(self, piece: str) -> str | None:
+        """The word whose ids make up those of a piece, but for a mark at its end."""
+        word = piece[:-1] if piece[-1:] in self.marks and piece[-2:-1].isalpha() else piece
+        if self.folds and word.isascii() and word.isalpha():
+            word = word.lower()
+        return word if word != piece else None
+
+    def _learn_joined(self, table: dict[str, bytes], words: list[str], before: str) -> None:
+        """Encode words side by side and part their ids at the tokens that begin or end a word; where the parts
+        are not as many as the words, none of them is learned here."""
+        runs = [words[i:i + JOINED] for i in range(0, len(words), JOINED)]
+        found = self.tokenizer.encode_batch_fast([before + before.join(run) for run in runs], add_special_tokens=False)
+        for run, e in zip(runs, found, strict=True):
+            ids = np.array(e.ids, "<u4")
+            if self.ends.any():
+                bounds = [0, *(4 * np.flatnonzero(self.ends[ids]) + 4).tolist()]
+            else:
+                bounds = [*(4 * np.flatnonzero(self.begins[ids])).tolist(), 4 * len(ids)]
+            if len(bounds) == len(run) + 1 and bounds[0] == 0 and bounds[-1] == 4 * len(ids):
+                raw = ids.tobytes()
+                table.update((p, raw[a:b]) for p, a, b in zip(run, bounds[:-1], bounds[1:], strict=True))
+
 
 _WORKER: dict[str, Encoder] = {}
 

@@ -200,16 +200,35 @@ def test_token_files_of_odd_rows_in_small_blocks(spark, odd_docs, no_docs, tmp_p
 def test_elias_fano(values):
     coded = token_file.EliasFano.encode(np.array(values, np.int64))
     back = token_file.EliasFano.from_bytes(coded.to_bytes())
-    assert back.all().tolist() == values and [back.select(i) for i in range(len(values))] == values
+    assert back.values(0, len(values)).tolist() == values and [back.select(i) for i in range(len(values))] == values
     if len(values) > 600 and max(values) < 2**20:
         assert len(coded.to_bytes()) < len(values) * 4
+    for start in range(0, len(values), 97):
+        for stop in (start, start + 1, start + 255, start + 256, start + 700):
+            assert back.values(start, min(stop, len(values))).tolist() == values[start:stop]
     with pytest.raises(IndexError):
         back.select(len(values))
 
 
+def test_documents_of_a_block_are_found_by_number():
+    ids = [None, None, *range(5, 900, 3)]
+    tokens = [np.arange(i % 7 + 1, dtype="<u4").tobytes() for i in range(len(ids))]
+    (block,) = token_file.read_blocks(token_file.write_block(3, 4, ids, tokens) + b"\n")
+    assert (block.file, block.block, block.documents) == (3, 4, len(ids))
+    for i in (0, 1, 2, 150, len(ids) - 1):
+        assert block.doc_id(i) == ids[i] and block.document(i).astype("<u4").tobytes() == tokens[i]
+    for most in (1, 2, 64, 10_000):
+        names, starts = [], []
+        for first, some, bounds in block.runs(most):
+            assert first == len(names) and len(bounds) == len(some) + 1
+            names += some
+            starts += bounds[:-1].tolist()
+        assert names == ids and starts == [block.span(i)[0] for i in range(len(ids))]
+
+
 def test_damaged_token_block_is_refused():
     data = token_file.write_block(0, 0, [1, 2], [b"\1\0\0\0", b"\2\0\0\0"]) + b"\n"
-    assert [x[2] for x in token_file.read_blocks(data)] == [[1, 2]]
+    assert [[x.doc_id(i) for i in range(x.documents)] for x in token_file.read_blocks(data)] == [[1, 2]]
     with pytest.raises(ValueError):
         list(token_file.read_blocks(data[:-2] + b"x\n"[:1]))
 
