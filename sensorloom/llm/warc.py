@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorloom.llm.common import lookup, new_folder, stored
+from sensorloom.llm.common import lookup, new_folder, small_batches, stored
 
 #: fixed by the zstandard and WARC-zstd formats
 FRAME_MAGIC = 0xFD2FB528
@@ -33,7 +33,9 @@ SAMPLE_BYTES = 8192
 DICTIONARY_BYTES = 32 << 10
 LEVEL = 3
 #: bytes of payload in an archive, about
-FILE_BYTES = 16 << 20
+FILE_BYTES = 8 << 20
+#: payload that a task holds before it passes records on
+HELD_BYTES = 2 << 20
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -174,10 +176,9 @@ def write_archives(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES)
                     headers.append(("WARC-Refers-To", f"<urn:page:{refers_to}>"))
                 body = payload if refers_to is None else b""
                 headers.append(("WARC-Block-Digest", f"sha256:{hashlib.sha256(body).hexdigest()}"))
-                frame = packer.compress(record(headers, body))
-                out.append(frame)
-                held += len(frame)
-                if held > 1 << 23:
+                out.append(packer.compress(record(headers, body)))
+                held += len(payload)
+                if held > HELD_BYTES:
                     yield pa.record_batch([pa.array(out, pa.binary())], ["frame"])
                     out, held = [], 0
             if out:
@@ -185,8 +186,9 @@ def write_archives(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES)
     rows = page_roles(pages).select("page_id", "url", "payload", "digest", "bytes", "refers_to")
     total = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
     dealt = rows.repartition(-(-total // file_bytes) or 1, F.xxhash64("page_id", "digest"))
-    (dealt.mapInArrow(frames_of, "frame binary").select(F.col("frame").cast("string").alias("value"))
-     .write.option("lineSep", SEPARATOR).text(folder))
+    with small_batches(pages.sparkSession):
+        (dealt.mapInArrow(frames_of, "frame binary").select(F.col("frame").cast("string").alias("value"))
+         .write.option("lineSep", SEPARATOR).text(folder))
 
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
@@ -203,7 +205,7 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
                 for at, headers, payload, error in records(content.as_py()):
                     rows.append((path.as_py(), at, list(headers.items()), payload, error))
                     held += len(payload)
-                    if held > 1 << 23:
+                    if held > HELD_BYTES:
                         yield batch_of(rows)
                         rows, held = [], 0
                 if rows:
@@ -235,4 +237,5 @@ def page_records(spark: SparkSession, folder: str) -> DataFrame:
 def archive_round_trip(pages: DataFrame) -> DataFrame:
     folder = new_folder(pages.sparkSession, "archives")
     write_archives(pages, folder)
-    return page_records(pages.sparkSession, folder)
+    with small_batches(pages.sparkSession):
+        return stored(page_records(pages.sparkSession, folder), "page-records")
