@@ -35,8 +35,8 @@ def windows(words: Column) -> Column:
                     lambda w, i: F.concat_ws(" ", w, words[i + 1], words[i + 2])))
 
 
-def repeated_words(grams: Column) -> Column:
-    """Number of words inside windows that occur twice or more."""
+def repeated_words(words: Column) -> Column:
+    """Number of words inside 3-word windows that occur twice or more."""
     def covered(places: Column) -> Column:
         start = F.struct(F.lit(-3).alias("last"), F.lit(0).alias("total"))
         return F.aggregate(places, start, lambda a, p: F.struct(
@@ -53,7 +53,14 @@ def repeated_words(grams: Column) -> Column:
         ordered = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
         return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(
             covered(let(ordered, places)))
-    return let(F.transform(grams, lambda g: F.xxhash64(g)), count).cast("long")
+    hashes = F.when(F.size(words) < 3, F.array().cast("array<bigint>")).otherwise(F.transform(
+        F.slice(words, 1, F.greatest(F.size(words) - 2, F.lit(0))), lambda w, i: F.xxhash64(w, words[i + 1], words[i + 2])))
+    return let(hashes, count).cast("long")
+
+
+def digest(text: Column) -> Column:
+    """What documents are counted by: the first half of an MD5 digest, which SQL has too."""
+    return F.substring(F.md5(text.cast("binary")), 1, 16)
 
 
 def base_columns(docs: DataFrame) -> DataFrame:
@@ -66,8 +73,8 @@ def base_columns(docs: DataFrame) -> DataFrame:
     rows = rows.withColumns({"words": words_of(text), "lines": lines}).select(
         "row", "lines", F.size("words").cast("long").alias("n_words"),
         (F.char_length(text) - spaces).cast("long").alias("word_chars"), symbols.cast("long").alias("n_symbols"),
-        repeated_words(windows(F.col("words"))).alias("n_repeat_words"),
-        F.xxhash64(F.array_join("words", " ")).alias("whole"))
+        repeated_words(F.col("words")).alias("n_repeat_words"),
+        digest(F.array_join("words", " ")).alias("whole"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     return rows.select(
         "row", "n_words", "word_chars", "n_symbols",
@@ -88,10 +95,11 @@ def row_key(prefix: str, with_source: bool = True) -> Column:
 
 def _narrow(stats: DataFrame) -> DataFrame:
     """One row per document: its key, host, hash of all words, and (hash, words, least window hash) of its lines."""
-    parts = F.transform("lines", lambda x: F.struct(
-        F.xxhash64(normal_line(x)).alias("line"), F.size(F.split(normal_line(x), " ")).alias("words"),
-        let(words_of(x), lambda w: F.coalesce(
-            F.array_min(F.transform(windows(w), lambda g: F.xxhash64(g))), F.xxhash64(F.array_join(w, " ")))).alias("window")))
+    def least_window(line: Column) -> Column:
+        return let(F.split(line, " "), lambda w: F.coalesce(F.array_min(F.transform(windows(w), digest)), digest(line)))
+
+    parts = F.transform("lines", lambda x: let(normal_line(x), lambda line: F.struct(
+        F.xxhash64(line).alias("line"), F.size(F.split(line, " ")).alias("words"), least_window(line).alias("window"))))
     return stats.select(
         *[c for c in stats.columns if c not in ("row", "lines")], F.col("row.doc_id").alias("doc_id"),
         F.coalesce("row.source", F.lit("")).alias("host"),

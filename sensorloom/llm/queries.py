@@ -33,25 +33,31 @@ CONTENT_SORT_SQL = r"""
         FROM documents)
   WINDOW w AS (PARTITION BY body ORDER BY length(text) DESC, doc_id)"""
 
-LINE_RULES_SQL = rf"""
+def line_rules_sql(least: int = line_rules.LEAST_DOCUMENTS, share: float = line_rules.SHARE_OF_HOST) -> str:
+    """The rule of ``line_rules``; lines that many documents hold supply no sketch."""
+    return rf"""
   WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
+  whole AS (SELECT doc_id, host, substr(md5(array_to_string(w, ' ')), 1, 16) AS whole FROM d),
   g AS (SELECT doc_id, i, concat_ws(' ', w[i], w[i + 1], w[i + 2]) AS gram
         FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
   twins AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, gram) > 1),
   repeated AS (SELECT doc_id, count(DISTINCT spot) AS n FROM (
                  SELECT doc_id, unnest([i, i + 1, i + 2]) AS spot FROM twins) GROUP BY doc_id),
-  sketches AS (SELECT d.doc_id, host, coalesce(s, md5(array_to_string(w, ' '))) AS sketch
-               FROM d LEFT JOIN (SELECT doc_id, min(md5(gram)) AS s FROM g GROUP BY doc_id) m USING (doc_id)),
   raw AS (SELECT doc_id, host, unnest(string_split(text, chr(10))) AS body FROM d),
-  lines AS (SELECT doc_id, host, body, lower(trim(regexp_replace(body, '[\x20\x09-\x0D]+', ' ', 'g'), ' ')) AS line
-            FROM raw WHERE regexp_matches(body, '[^\x20\x09-\x0D]')),
+  lines AS (SELECT *, string_split(line, ' ') AS lw FROM (
+              SELECT doc_id, host, body, lower(trim(regexp_replace(body, '[\x20\x09-\x0D]+', ' ', 'g'), ' ')) AS line
+              FROM raw WHERE regexp_matches(body, '[^\x20\x09-\x0D]'))),
+  windows AS (SELECT host, line, min(substr(md5(CASE WHEN len(lw) < 3 THEN line ELSE concat_ws(' ', lw[i], lw[i + 1], lw[i + 2]) END), 1, 16))
+                AS least FROM (SELECT *, unnest(range(1, greatest(len(lw) - 1, 2))) AS i FROM (SELECT DISTINCT host, line, lw FROM lines))
+              GROUP BY host, line),
+  often AS (SELECT host, line FROM (SELECT DISTINCT doc_id, host, line FROM lines) GROUP BY host, line HAVING count(*) > {least}),
+  sketches AS (SELECT doc_id, host, coalesce(min(least) FILTER (often.line IS NULL), any_value(whole)) AS sketch
+               FROM whole LEFT JOIN lines USING (doc_id, host) LEFT JOIN windows USING (host, line) LEFT JOIN often USING (host, line)
+               GROUP BY doc_id, host),
   hosts AS (SELECT host, count(DISTINCT sketch) AS n FROM sketches GROUP BY host),
-  common AS (SELECT host, line FROM lines JOIN sketches USING (doc_id, host) JOIN hosts USING (host)
-             GROUP BY host, line, hosts.n
-             HAVING count(DISTINCT sketch) > {line_rules.LEAST_DOCUMENTS}
-                AND count(DISTINCT sketch) > {line_rules.SHARE_OF_HOST} * hosts.n),
-  removed AS (SELECT doc_id, sum(len(string_split(line, ' '))) AS n FROM lines JOIN common USING (host, line)
-              GROUP BY doc_id),
+  common AS (SELECT host, line FROM lines JOIN often USING (host, line) JOIN sketches USING (doc_id, host) JOIN hosts USING (host)
+             GROUP BY host, line, hosts.n HAVING count(DISTINCT sketch) > {least} AND count(DISTINCT sketch) > {share} * hosts.n),
+  removed AS (SELECT doc_id, sum(len(lw)) AS n FROM lines JOIN common USING (host, line) GROUP BY doc_id),
   dups AS (SELECT doc_id, count(*) - count(DISTINCT body) AS n FROM lines GROUP BY doc_id),
   base AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words,
              CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
@@ -71,7 +77,7 @@ def op7_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
-@query(LINE_RULES_SQL)
+@query(line_rules_sql())
 def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = line_rules.judged(table(spark, sf_dir, "documents"))
     return judged.drop("key", "removed_words")

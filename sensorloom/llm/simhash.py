@@ -32,6 +32,8 @@ COMPARISONS = 20_000
 #: share of all pairs that lie in near cells at radius 2, by number of parts (random fingerprints)
 NEAR_SHARE = {1: 0.34, 2: 0.12, 4: 0.014, 8: 0.00025}
 PART_BITS = 7
+#: linked pairs that a task gathers before it folds them into its forest
+FOLD = 1 << 19
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -56,13 +58,15 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fingerprint long) of every document; a null text is an empty one."""
+    """(doc_id, text_hash, fingerprint long) of every document; a null text is an empty one."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.fromiter((fingerprint(x.as_py(), shingle) for x in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.record_batch([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fingerprint"])
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fingerprint long")
+            found = np.fromiter((fingerprint(x.as_py(), shingle) for x in batch.column(2)), np.uint64, batch.num_rows)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(found.view(np.int64))],
+                                  ["doc_id", "text_hash", "fingerprint"])
+    text = text_or_empty()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, fingerprint long")
 
 
 def parts_for(distinct: int, radius: int) -> int:
@@ -137,14 +141,26 @@ def _compare(radius: int):
         for batch in batches:
             for left, right in zip(batch.column(0), batch.column(1), strict=True):
                 a, b = (x.values.field("fingerprint").to_numpy().view(np.uint64) for x in (left, right))
-                i, j = linked(a, b, radius)
-                apart = a[i] != b[j]
-                if apart.any():
-                    x, y = forest(a[i[apart]], b[j[apart]])
+                x, y = folded(a, b, linked_blocks(a, b, radius))
+                if len(x):
                     yield pa.record_batch([pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], ["a", "b"])
     return run
 
 
+def folded(a: np.ndarray, b: np.ndarray, blocks: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The forest of all linked pairs; a crowd's pairs are folded into it before they add up."""
+    x, y, held = [], [], 0
+    for i, j in blocks:
+        apart = a[i] != b[j]
+        x.append(a[i[apart]])
+        y.append(b[j[apart]])
+        held += len(x[-1])
+        if held > FOLD:
+            left, right = forest(np.concatenate(x), np.concatenate(y))
+            x, y, held = [left], [right], 0
+    return forest(np.concatenate(x), np.concatenate(y)) if held or len(x) else (a[:0], b[:0])
+
+
 def _met(held: DataFrame, radius: int, tile: int, parts: int) -> DataFrame:
     """Pairs of tiles that may hold links, as lists ``left`` and ``right`` of the rows of ``held``."""
     cells = held.withColumn("cell", cell_of(F.col("fingerprint"), parts))
@@ -167,6 +183,16 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE, parts: in
     return _met(distinct.select("fingerprint"), radius, tile, parts).mapInArrow(_compare(radius), "a long, b long")
 
 
+def grouped(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, tile: int = TILE,
+            parts: int | None = None) -> DataFrame:
+    """(doc_id, text_hash, fingerprint, component) of every document; a component is named by its least fingerprint."""
+    marks = stored(fingerprints(docs.select("doc_id", "text"), shingle), "fingerprints")
+    distinct = stored(marks.select("fingerprint").distinct(), "distinct-fingerprints")
+    found = stored(components(links(distinct, radius, tile, parts)), "components")
+    named = lookup(marks, found.withColumnRenamed("node", "fingerprint"), ["fingerprint"])
+    return named.withColumn("component", F.coalesce("component", "fingerprint"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, tile: int = TILE,
                     parts: int | None = None) -> DataFrame:
     """(doc_id, fingerprint long, component_id) of every document, repeated rows too.
@@ -175,206 +201,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     only where a component holds no other. Texts without words share the fingerprint zero, which links
     like any other. An empty table gives no rows.
     """
-    marks = stored(fingerprints(docs.select("doc_id", "text"), shingle), "fingerprints")
-    distinct = stored(marks.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
-    found = stored(components(links(distinct, radius, tile, parts)), "components")
-    return _named(marks, distinct, found)
-
-
-def _named(marks: DataFrame, distinct: DataFrame, found: DataFrame) -> DataFrame:
-    named = distinct.join(found.withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
-    named = named.select("fingerprint", "first_id", F.coalesce("component", "fingerprint").alias("component"))
-    least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    final = stored(named.join(least, "component").select("fingerprint", "component_id"), "component-ids")
-    return lookup(marks, final, ["fingerprint"])
-
-
-# ---- near copies by fingerprint and an exact check -------------------------------------------------
-
-#: the pipeline's near copies: word shingles of this length agree in this share of their union
-COPY_WORDS = 5
-COPY_SIMILARITY = 0.8
-#: fingerprints of such copies differ in about 8 bits; this radius leaves few of them out
-COPY_RADIUS = 12
-#: pairs that a task gathers before they are folded into its forests, and forests of one round at most
-FOLD = 1 << 18
-FORESTS = 64
-
-
-def shingle_set(text: bytes, words: int = COPY_WORDS) -> np.ndarray:
-    """Distinct XXH64 of the word shingles of a text, its A-Z in lower case; shorter texts are one shingle."""
-    w = text.translate(_LOWER).split()
-    if not w:
-        return np.empty(0, np.uint64)
-    last = max(1, len(w) - words + 1)
-    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(w[i:i + words]), SEED) for i in range(last)], np.uint64))
-
-
-def _marks(docs: DataFrame, shingle: int, words: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [x.as_py() for x in batch.column(1)]
-            found = np.fromiter((fingerprint(t, shingle) for t in texts), np.uint64, len(texts))
-            sizes = np.fromiter((len(shingle_set(t, words)) for t in texts), np.int64, len(texts))
-            yield pa.record_batch([batch.column(0), pa.array(found.view(np.int64)), pa.array(sizes)],
-                                  ["doc_id", "fingerprint", "shingles"])
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fingerprint long, shingles long")
-
-
-def _sets(docs: DataFrame, chosen: DataFrame, words: int) -> DataFrame:
-    """(fingerprint, shingle set) of the documents (doc_id, fingerprint) in ``chosen``."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                found = shingle_set(batch.column(1)[i].as_py(), words).view(np.int64)
-                yield pa.record_batch([batch.column(0).slice(i, 1), pa.array([found], pa.list_(pa.int64()))],
-                                      ["fingerprint", "held"])
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("text"))
-    rows = lookup(rows, chosen, ["doc_id"], "inner").select("fingerprint", "text")
-    return rows.mapInArrow(run, "fingerprint long, held array<long>").groupBy("fingerprint").agg(F.min("held").alias("held"))
-
-
-def _candidates(radius: int, similarity: float, forests: int):
-    """Nearest pairs of a tile pair that connect what all of its candidates connect, so many times over.
-
-    Candidates have near fingerprints, set sizes that allow the similarity and different labels, and have
-    not been tried. Never more than a block of them is held besides the forests.
-    """
-    def columns(x) -> tuple[np.ndarray, ...]:
-        return tuple(x.values.field(c).to_numpy() for c in ("fingerprint", "shingles", "label"))
-
-    def tried(a: np.ndarray, b: np.ndarray, held) -> np.ndarray:
-        """Numbers i * len(b) + j of the pairs that were tried, in order."""
-        lists, order = held.values.field("tried"), np.argsort(b)
-        owner, other = np.repeat(np.arange(len(a)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()
-        at = np.minimum(np.searchsorted(b, other, sorter=order), len(b) - 1)
-        there = b[order[at]] == other
-        return np.sort(owner[there] * len(b) + order[at[there]])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for left, right in zip(batch.column(0), batch.column(1), strict=True):
-                (a, size_a, label_a), (b, size_b, label_b) = columns(left), columns(right)
-                before = tried(a, b, left)
-
-                def fine() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-                    for i, j in linked_blocks(a.view(np.uint64), b.view(np.uint64), radius, FOLD):
-                        small, large = np.minimum(size_a[i], size_b[j]), np.maximum(size_a[i], size_b[j])
-                        ok = (label_a[i] != label_b[j]) & (small >= similarity * large) & ((a[i] < b[j]) | (b[0] != a[0]))
-                        if len(before):
-                            code = i * len(b) + j
-                            ok &= before[np.minimum(np.searchsorted(before, code), len(before) - 1)] != code
-                        yield i[ok], j[ok]
-                i, j = _nearest(a, b, fine(), forests)
-                if len(i):
-                    yield pa.record_batch([pa.array(a[i]), pa.array(b[j])], ["a", "b"])
-    return run
-
-
-def _spanning(x: np.ndarray, y: np.ndarray, distance: np.ndarray, nodes: int) -> np.ndarray:
-    """Which pairs make the spanning forest of least distances; of equal ones the first counts as nearer.
-
-    In each round every component takes its nearest pair to another.
-    """
-    order = np.argsort(distance, kind="stable")
-    kept, label = np.zeros(len(x), bool), np.arange(nodes)
-    rank, x, y = np.arange(len(x)), x[order], y[order]
-    while True:
-        u, v = label[x], label[y]
-        apart = u != v
-        if not apart.any():
-            return kept
-        rank, x, y, u, v = (c[apart] for c in (rank, x, y, u, v))
-        # of several values given to a place the last stays, here the least rank
-        near, far = np.full(nodes, len(order)), np.full(nodes, len(order))
-        near[u[::-1]], far[v[::-1]] = rank[::-1], rank[::-1]
-        best = np.minimum(near, far)
-        roots = np.flatnonzero(best < len(order))
-        kept[order[best[roots]]] = True
-        at = np.searchsorted(rank, best[roots])
-        parent = np.arange(nodes)
-        parent[roots] = u[at] + v[at] - roots
-        both = roots[(parent[parent[roots]] == roots) & (roots < parent[roots])]
-        parent[both] = both
-        while not np.array_equal(parent, parent[parent]):
-            parent = parent[parent]
-        label = parent[label]
-
-
-def _nearest(a: np.ndarray, b: np.ndarray, blocks: Iterator[tuple[np.ndarray, np.ndarray]],
-             forests: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the pairs of ``forests`` spanning forests by distance, each of the pairs that those before it left."""
-    values, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    none = np.empty(0, np.int64)
-    held = [(none, none)] * forests
-
-    def fold(i: np.ndarray, j: np.ndarray) -> None:
-        for k, (x, y) in enumerate(held):
-            if not len(i):
-                return
-            i, j = np.concatenate([x, i]), np.concatenate([y, j])
-            kept = _spanning(at[i], at[len(a) + j], np.bitwise_count(a[i].view(np.uint64) ^ b[j].view(np.uint64)), len(values))
-            held[k] = i[kept], j[kept]
-            i, j = i[~kept], j[~kept]
-    waiting: list[tuple[np.ndarray, np.ndarray]] = []
-    for block in blocks:
-        waiting.append(block)
-        if sum(len(i) for i, _ in waiting) >= FOLD:
-            fold(*(np.concatenate(c) for c in zip(*waiting, strict=True)))
-            waiting = []
-    if waiting:
-        fold(*(np.concatenate(c) for c in zip(*waiting, strict=True)))
-    return tuple(np.concatenate(c) for c in zip(*held, strict=True))
-
-
-def near_copies(docs: DataFrame, shingle: int = SHINGLE, radius: int = COPY_RADIUS, words: int = COPY_WORDS,
-                similarity: float = COPY_SIMILARITY, tile: int = TILE) -> DataFrame:
-    """(doc_id, fingerprint, component_id) like ``near_duplicates``, but links need a similar text too.
-
-    Fingerprints within ``radius`` are candidates, and a candidate is a link when the Jaccard similarity of
-    the texts' word shingles is enough. First the nearest candidates that connect all candidates are
-    checked. Only where one of them fails can candidates remain between different components; the nearest of those that
-    were not tried are checked next, and so on until none is left between components, so no candidate that
-    could link two components is passed over while a crowd of copies is never checked pair by pair. Texts
-    with the same fingerprint count as linked.
-    """
-    given = docs.select("doc_id", "text")
-    marks = stored(_marks(given, shingle, words), "fingerprints")
-    distinct = stored(marks.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id"), F.min_by("shingles", "doc_id").alias("shingles"))
-                      .fillna(0, ["shingles"]).withColumn("label", F.col("fingerprint")), "distinct-fingerprints")
-    parts = parts_for(distinct.count(), radius)
-
-    def checked(held: DataFrame, forests: int) -> DataFrame:
-        met = _met(held.select("fingerprint", "shingles", "label", "tried"), radius, tile, parts)
-        pairs = stored(met.mapInArrow(_candidates(radius, similarity, forests), "a long, b long").distinct(), "candidates")
-        ends = pairs.select(F.col("a").alias("fingerprint")).union(pairs.select("b")).distinct()
-        chosen = stored(distinct.join(ends, "fingerprint").select("fingerprint", F.col("first_id").alias("doc_id")), "chosen")
-        sets = stored(_sets(given, chosen, words), "shingle-sets")
-        one = sets.select(F.col("fingerprint").alias("a"), F.col("held").alias("x"))
-        two = sets.select(F.col("fingerprint").alias("b"), F.col("held").alias("y"))
-        both = F.size(F.array_intersect("x", "y"))
-        alike = both >= similarity * (F.size("x") + F.size("y") - both)
-        return stored(pairs.join(one, "a").join(two, "b").select("a", "b", (alike & (both > 0)).alias("alike")), "checked")
-
-    nothing = F.array().cast("array<long>")
-    latest = tests = checked(distinct.withColumn("tried", nothing), 1)
-    found = stored(components(tests.filter("alike").select("a", "b")), "components")
-    forests = 1
-    while not (failed := latest.filter(~F.col("alike"))).isEmpty():
-        labelled = (distinct.drop("label").join(found.select(F.col("node").alias("fingerprint"), "component"), "fingerprint", "left")
-                    .withColumn("label", F.coalesce("component", "fingerprint")).drop("component"))
-        ends = failed.select(F.col("a").alias("fingerprint")).union(failed.select("b")).distinct()
-        open_labels = labelled.join(ends, "fingerprint").select("label").distinct()
-        apart = tests.filter(~F.col("alike")).select(F.col("a").alias("fingerprint"), "b")
-        tried = apart.union(apart.select("b", "fingerprint")).groupBy("fingerprint").agg(F.collect_list("b").alias("tried"))
-        held = labelled.join(open_labels, "label").join(tried, "fingerprint", "left").withColumn("tried", F.coalesce("tried", nothing))
-        latest = checked(stored(held, "open"), forests)
-        if not latest.isEmpty():
-            tests = stored(tests.union(latest), "tests")
-            found = stored(components(tests.filter("alike").select("a", "b")), "components")
-        forests = min(2 * forests, FORESTS)
-    return _named(marks.select("doc_id", "fingerprint"), distinct.select("fingerprint", "first_id"), found)
+    named = stored(grouped(docs, shingle, radius, tile, parts), "grouped")
+    least = stored(named.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component-ids")
+    return lookup(named, least, ["component"]).select("doc_id", "fingerprint", "component_id")
 
 
 def hex_digits(fingerprint: Column) -> Column:
@@ -382,14 +211,19 @@ def hex_digits(fingerprint: Column) -> Column:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The row with the smallest doc_id of every group of near copies, with all its columns.
+    """One document of every group of near duplicates, with all its columns: that with the smallest doc_id.
 
-    Rows with a null doc_id stay only where their component has no other; equal rows stay together,
-    as exact duplicates are another operator's business.
+    Null ids come last, and of rows that share an id one text stays; rows equal in both stay together, as exact
+    duplicates are another operator's business. A null text is an empty one, texts without words are one
+    group, and an empty table gives no rows. No name of a column of ``docs`` can clash.
     """
-    found = near_copies(docs)
-    stay = stored(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-                  .select(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")).alias("key")).distinct(), "stay")
+    named = grouped(docs)
+    first = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first"))
+
+    def key(doc_id: Column, text_hash: Column) -> Column:
+        return F.concat_ws(":", F.coalesce(doc_id.cast("long").cast("string"), F.lit("-")), text_hash.cast("string"))
+
+    stay = stored(first.select(key(F.col("first.doc_id"), F.col("first.text_hash")).alias("key")), "stay")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    rows = rows.withColumn("key", F.coalesce(F.col("row.doc_id").cast("string"), F.lit("-")))
+    rows = rows.withColumn("key", key(F.col("row.doc_id"), F.xxhash64(text_or_empty("row.text"))))
     return lookup(rows, stay, ["key"], "left_semi").select("row.*")

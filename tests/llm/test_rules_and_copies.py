@@ -5,8 +5,8 @@ import hashlib
 import re
 import tracemalloc
 
+import duckdb
 import numpy as np
-import pyarrow as pa
 import pytest
 import xxhash
 from conftest import DATA
@@ -15,7 +15,7 @@ from oracle import connect, differences
 
 from sensorloom.llm import content_sort, line_rules, simhash
 from sensorloom.llm.components import components
-from sensorloom.llm.queries import ORACLES, QUERIES
+from sensorloom.llm.queries import ORACLES, QUERIES, line_rules_sql
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -30,6 +30,29 @@ def test_query_equals_sql(spark, name):
     assert differences(QUERIES[name](spark, DATA), connect(DATA), ORACLES[name]) == []
 
 
+@pytest.mark.parametrize("least", [2, 5, 30])
+def test_line_rule_equals_its_sql_where_it_rejects(spark, docs, least):
+    """The given table and documents that share 17 of their 20 lines, some of them near copies."""
+    rng = np.random.default_rng(11)
+
+    def line():
+        return " ".join(f"w{int(k)}" for k in rng.integers(0, 4000, 9))
+    shared = [line() for _ in range(17)]
+    rows = [(10**6 + i, "\n".join([*shared, *[line() for _ in range(3)]]), "site") for i in range(120)]
+    copied = [line() for _ in range(20)]
+    rows += [(2 * 10**6 + i, "\n".join([*copied[:-1], copied[-1] + (f" {i}" if i % 40 == 0 else "")]), "copies") for i in range(80)]
+    rows += [(3 * 10**6 + i, text, source) for i, (text, source) in enumerate([(None, "site"), ("", None), ("one\n\ntwo", "site")])]
+    table = docs.select("doc_id", "text", "source").unionByName(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    found = line_rules.judged(table, least).drop("key", "removed_words")
+    con = duckdb.connect()
+    given = table.toPandas()
+    con.register("documents", given)
+    assert differences(found, con, line_rules_sql(least)) == []
+    verdicts = {r["doc_id"]: r["kept"] for r in found.filter("doc_id >= 1000000 and doc_id < 3000000").collect()}
+    assert not any(kept for i, kept in verdicts.items() if i < 2 * 10**6)
+    assert least < 30 or all(kept for i, kept in verdicts.items() if i >= 2 * 10**6)
+
+
 def rows_of(frame):
     return [r.asDict() for r in frame.collect()]
 
@@ -180,57 +203,29 @@ def test_components_of_chains_and_stars(spark):
     assert found == {n: c for n, c in closure(edges, nodes).items()}
 
 
-def test_near_copies_need_similar_texts(spark):
+def test_one_document_of_each_group_stays(spark):
     rng = np.random.default_rng(3)
-
-    def text(n):
-        return [f"w{int(k)}" for k in rng.integers(0, 5000, n)]
-    rows, base = [], text(300)
-    rows.append((1, " ".join(base)))
-    for i in range(30):  # each copy has three other words
-        copy = list(base)
-        for k in rng.choice(300, 3, replace=False):
-            copy[k] = f"new{i}x{int(k)}"
-        rows.append((10 + i, " ".join(copy)))
-    shared = text(170)
-    rows += [(100 + i, " ".join(shared + text(130))) for i in range(12)]  # a passage in common is no copy
-    rows += [(200 + i, " ".join(text(200))) for i in range(20)]
-    sets = {i: set(simhash.shingle_set(t.encode()).tolist()) for i, t in rows}
-    marks = {i: fingerprint(t) for i, t in rows}
-    real = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
-            and (marks[a] ^ marks[b]).bit_count() <= simhash.COPY_RADIUS]
-    want = closure(real, sets)
+    base = [f"w{int(k)}" for k in rng.integers(0, 5000, 900)]
+    rows = [(1, " ".join(base)), (2, " ".join(base)), (None, " ".join(base)), (None, "quite another text of its own")]
+    for i in range(30):  # some stay within two bits, some do not
+        rows.append((10 + i, " ".join([*base[:-1 - i % 4], f"new{i}"])))
+    rows += [(200 + i, " ".join(f"w{int(k)}" for k in rng.integers(0, 5000, 40))) for i in range(20)]
+    marks = [fingerprint(t) for _, t in rows]
+    real = [(a, b) for a in range(len(rows)) for b in range(a) if (marks[a] ^ marks[b]).bit_count() <= simhash.RADIUS]
+    groups = collections.defaultdict(list)
+    for i, c in closure(real, range(len(rows))).items():
+        groups[c].append(rows[i][0])
+    want = [min((x for x in g if x is not None), default=None) for g in groups.values()]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    found = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs, tile=7).collect()}
-    assert found == want and len(set(want.values())) == 33
-    assert sorted(r["doc_id"] for r in simhash.one_of_each(docs).collect()) == sorted(set(want.values()))
-
-
-def test_a_crowd_of_candidates_is_folded_by_block():
-    rng = np.random.default_rng(8)
-    crowd = np.unique([sum(1 << int(k) for k in rng.choice(60, 5, replace=False)) for _ in range(3000)])
-    row = [{"fingerprint": int(v), "shingles": 10, "label": int(v), "tried": []} for v in crowd]
-    kind = pa.list_(pa.struct([("fingerprint", pa.int64()), ("shingles", pa.int64()), ("label", pa.int64()),
-                               ("tried", pa.list_(pa.int64()))]))
-    batch = pa.record_batch([pa.array([row], kind), pa.array([row], kind)], ["left", "right"])
+    kept = [r["doc_id"] for r in simhash.one_of_each(docs).collect()]
+    assert sorted(map(str, kept)) == sorted(map(str, want)) and 22 <= len(kept) < len(rows) - 10
+
+
+def test_a_crowd_within_the_radius_is_folded_by_block():
+    singles = np.array([0] + [1 << k for k in range(60)], np.uint64)
+    crowd = np.unique((singles[:, None] | singles[None, :]).ravel())  # all within 2 bits of 0, 4 of each other
     tracemalloc.start()
-    out = pa.Table.from_batches(simhash._candidates(12, 0.8, 2)([batch]))
+    x, y = simhash.folded(crowd, crowd, simhash.linked_blocks(crowd, crowd, 2, 1 << 14))
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
-    assert out.num_rows == 2 * (len(crowd) - 1) and peak < 100 << 20  # all pairs would be 9 million
-    edges = list(zip(*(out[c].to_pylist() for c in "ab"), strict=True))
-    assert len(set(edges)) == len(edges)
-    for forest in (edges[:len(crowd) - 1], edges[len(crowd) - 1:]):
-        assert len(set(closure(forest, crowd.tolist()).values())) == 1
-
-
-def test_spanning_forest_has_the_least_distances():
-    rng = np.random.default_rng(4)
-    x, y, far = rng.integers(0, 40, 300), rng.integers(0, 40, 300), rng.integers(0, 13, 300)
-    root, want = list(range(40)), 0
-    for k in np.argsort(far, kind="stable"):
-        p, q = root[x[k]], root[y[k]]
-        if p != q:
-            root, want = [q if r == p else r for r in root], want + far[k]
-    kept = simhash._spanning(x, y, far, 40)
-    assert far[kept].sum() == want and kept.sum() == 40 - len(set(root))
+    assert len(x) == len(crowd) - 1 and set(y.tolist()) == {0} and peak < 64 << 20
