@@ -14,22 +14,27 @@ from sensorloom.llm.common import stored, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep; a null text fails them, equal rows are judged alike."""
     return line_rules.passing(docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each text that is equal without white space: the longest, then the smallest id, nulls last."""
     return content_sort.without_copies(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group whose fingerprints (3-word shingles) link at 2 or fewer differing bits."""
     return simhash.one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix as documents: a row for each pass over a document that takes words of it; empty texts are not taken."""
     return mixing.mixed_documents(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a sequence of at most 1,024 tokens; a null text is empty."""
     return packing.packed_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
