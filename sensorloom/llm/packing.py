@@ -3,8 +3,8 @@
 The plan is made from the number of pieces of each length, at most one number per length up to the
 capacity, whatever the number of documents. Branch and bound fills bins around the longest piece left:
 it enumerates fillings that no other filling dominates, prunes by the waste that a better plan could
-still afford, and starts from a best-fit plan as the incumbent. A filling is used as often at once as
-the counts allow. Executors then deal the pieces of a length, numbered by a running total, to the
+still afford, and finishes every node by best fit, which gives the incumbents. A filling is used as often at once as
+the counts allow before it is used less often. Executors then deal the pieces of a length, numbered by a running total, to the
 places that the plan has for that length.
 """
 
@@ -27,9 +27,8 @@ from sensorloom.llm.tokens import encoder
 CAPACITY = 1024
 END_ID = 2
 
-#: fillings tried around one longest piece, and bins completed by the search, before the incumbent is taken
-FILLINGS = 12
-STEPS = 1_500
+#: pieces set into fillings and bins completed by the search before the incumbent is taken
+STEPS = 30_000
 
 #: a bin's contents, as (length, how often), and how many bins are like it
 Plan = list[tuple[tuple[tuple[int, int], ...], int]]
@@ -71,120 +70,182 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def lower_bound(counts: np.ndarray, capacity: int) -> int:
     """Bins that any plan needs: by total length, and by Martello and Toth's bound over every threshold."""
-    sizes = np.arange(capacity + 1)
-    total = int((counts * sizes).sum())
-    best = -(-total // capacity)
-    number, length = np.cumsum(counts), np.cumsum(counts * sizes)
-    for k in range(capacity // 2 + 1):
-        large = int(number[capacity] - number[capacity - k])
-        middle = int(number[capacity - k] - number[capacity // 2])
-        room = middle * capacity - int(length[capacity - k] - length[capacity // 2])
-        small = int(length[capacity // 2] - (length[k - 1] if k else 0))
-        best = max(best, large + middle + max(0, -(-(small - room) // capacity)))
-    return best
+    half = capacity // 2
+    number, length = np.cumsum(counts), np.cumsum(counts * np.arange(capacity + 1))
+    k = np.arange(half + 1)
+    large = number[capacity] - number[capacity - k]
+    middle = number[capacity - k] - number[half]
+    room = middle * capacity - (length[capacity - k] - length[half])
+    small = length[half] - np.where(k > 0, length[np.maximum(k - 1, 0)], 0)
+    return max(-(-int(length[capacity]) // capacity), int((large + middle + np.maximum(0, -((room - small) // capacity))).max()))
 
 
 def best_fit(counts: np.ndarray, capacity: int) -> Plan:
     """Longest first, each piece into the fullest bin that takes it; equal bins and equal pieces go together."""
-    open_bins: dict[int, list[list]] = {}
-    done: Plan = []
-    for size in range(capacity, 0, -1):
+    open_bins: dict[int, list[tuple]] = {}
+    rooms = 0  # bit r: some bin has room r
+
+    def put(room: int, content: tuple, n: int) -> None:
+        nonlocal rooms
+        open_bins.setdefault(room, []).append((content, n))
+        rooms |= 1 << room
+
+    for size in np.flatnonzero(counts)[::-1].tolist():
         left = int(counts[size])
         while left:
-            room = next((r for r in range(size, capacity) if open_bins.get(r)), None)
-            if room is None:
+            fitting = rooms >> size << size
+            if not fitting:
                 fit = capacity // size
                 whole, rest = divmod(left, fit)
                 for held, n in ((fit, whole), (rest, 1)):
                     if held and n:
-                        open_bins.setdefault(capacity - held * size, []).append([Counter({size: held}), n])
+                        put(capacity - held * size, ((size, held),), n)
                 break
+            room = (fitting & -fitting).bit_length() - 1
             # as many into each bin of this room as fit, so that few kinds of bins arise
             content, n = open_bins[room].pop()
             fit = min(room // size, left)
             used = min(n, left // fit)
             if used < n:
-                open_bins[room].append([content, n - used])
-            open_bins.setdefault(room - fit * size, []).append([content + Counter({size: fit}), used])
+                open_bins[room].append((content, n - used))
+            elif not open_bins[room]:
+                rooms ^= 1 << room
+            longest, held = content[-1]
+            grown = (*content[:-1], (size, held + fit)) if longest == size else (*content, (size, fit))
+            put(room - fit * size, grown, used)
             left -= used * fit
-    for bins in open_bins.values():
-        done += [(tuple(sorted(c.items(), reverse=True)), n) for c, n in bins]
-    return done
+    return [entry for bins in open_bins.values() for entry in bins]
+
 
+def reachable(counts: np.ndarray, capacity: int) -> list[int]:
+    """For each length, the sums up to ``capacity`` that the lengths up to it can make, as bits; counts are ignored."""
+    full, sums, upto = (2 << capacity) - 1, 1, []
+    for size in range(capacity + 1):
+        if size and counts[size]:
+            step = size
+            while step <= capacity:  # any number of pieces of this length, by doubling
+                sums |= sums << step & full
+                step *= 2
+        upto.append(sums)
+    return upto
 
-def fillings(counts: np.ndarray, room: int, most_waste: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room`` by up to three pieces, least waste first, longest pieces first.
 
-    One piece dominates a shorter one, and pieces dominate those that fit in their place, so each
-    filling ends with the longest piece that still fits. ``most_waste`` prunes the rest.
+def dominated(filling: tuple[int, ...], left: list[int], there: int, waste: int) -> bool:
+    """Whether a piece that is left could take the place of some pieces of ``filling``, or of none, for a better one.
+
+    Such a piece is at least as long as what it replaces and fits: whatever plan uses ``filling`` is no
+    worse when the replaced pieces go where that piece was. One for an equal one changes nothing.
     """
-    there = np.flatnonzero(counts[:room + 1])
-    there = there[there > 0]
-    if not len(there):
-        return [()] if room <= most_waste else []
-    # longest available length up to each room
-    upto = np.zeros(room + 1, np.int64)
-    upto[there] = there
-    upto = np.maximum.accumulate(upto)
-    found: list[tuple[int, ...]] = [(int(upto[room]),)]
-    first = there[there > 0][::-1]
-    second = np.minimum(upto[room - first], first)
-    enough = (second > 0) & ((second < first) | (counts[first] > 1))
-    found += [(int(a), int(b)) for a, b in zip(first[enough], second[enough], strict=True)]
-    found = sorted((f for f in found if room - sum(f) <= most_waste), key=lambda f: (sum(f), f), reverse=True)
-    if found and sum(found[0]) == room:
-        return found[:FILLINGS]
-    triples = []
-    for a in first[:64]:
-        rest = first[first <= a][:256]
-        rest = rest[rest <= room - a]
-        third = np.minimum(upto[room - a - rest], rest)
-        ok = third > 0
-        for b, c in zip(rest[ok], third[ok], strict=True):
-            need = Counter((int(a), int(b), int(c)))
-            if all(counts[s] >= n for s, n in need.items()) and room - a - b - c <= most_waste:
-                triples.append((int(a), int(b), int(c)))
-    return sorted(found + triples, key=lambda f: (sum(f), f), reverse=True)[:FILLINGS]
+    spare = there
+    for size in set(filling):
+        if left[size] <= filling.count(size):
+            spare &= ~(1 << size)
+    ones, more = 0, 0  # sums of one piece, of two or more
+    for size in filling:
+        more |= (more | ones) << size
+        ones |= 1 << size
+    within = ones << 1 | 1 << 1 if waste else 0  # longer by 1 to ``waste``
+    width = 1
+    while within and width < waste:
+        step = min(width, waste - width)
+        within |= within << step
+        width += step
+    reach, width = more, 0  # longer by 0 to ``waste``
+    while reach and width < waste:
+        step = min(width + 1, waste - width)
+        reach |= reach << step
+        width += step
+    return bool((within | reach) & spare)
+
+
+class Budget:
+    """Steps that a search has left: one for each piece set into a filling, one for each bin completed."""
+
+    def __init__(self, steps: int):
+        self.left = steps
+
+    def spend(self) -> bool:
+        self.left -= 1
+        return self.left >= 0
+
+
+def exact(left: list[int], there: int, target: int, longest: int, upto: list[int], budget: Budget) -> Iterator[tuple[int, ...]]:
+    """Every filling of pieces no longer than ``longest`` that sums to ``target``, longest pieces first."""
+    if not target:
+        yield ()
+        return
+    size = min(longest, target)
+    while size := (there & ((2 << size) - 1) & ~1).bit_length() - 1:
+        if size < 0 or not upto[size] >> target & 1:
+            return  # shorter lengths reach no more sums
+        if left[size] and upto[size] >> (target - size) & 1:
+            if not budget.spend():
+                return
+            left[size] -= 1
+            for rest in exact(left, there, target - size, size, upto, budget):
+                yield (size, *rest)
+            left[size] += 1
+        size -= 1
+
+
+def fillings(counts: np.ndarray, room: int, most_waste: int, upto: list[int], budget: Budget) -> Iterator[tuple[int, ...]]:
+    """Undominated fillings of ``room`` by any number of pieces, least waste first, then longest pieces first."""
+    left = counts.tolist()
+    there = sum(1 << s for s in np.flatnonzero(counts).tolist())
+    for waste in range(min(most_waste, room) + 1):
+        whole = left[:]
+        for filling in exact(whole, there, room - waste, room - waste, upto, budget):
+            if not dominated(filling, left, there, waste):
+                yield filling
 
 
 def completed(counts: np.ndarray, capacity: int, steps: int = STEPS) -> Plan:
-    """The plan with the fewest bins that the search finds; the best-fit plan if it finds none better."""
+    """The plan with the fewest bins that the search finds within its steps; never more bins than best fit takes.
+
+    Depth first. A node's bins are settled; its branches are the undominated fillings around the longest
+    piece left, each used as often as the counts and the waste bound allow, then half as often, down to
+    once. Every node is finished by best fit, and the fewest bins so far prune what follows.
+    """
     incumbent = best_fit(counts, capacity)
     least, bins = lower_bound(counts, capacity), sum(n for _, n in incumbent)
     total = int((counts * np.arange(capacity + 1)).sum())
-    budget = steps
-    # a node: counts left, bins so far, waste so far, plan so far (as a linked list)
-    stack = [(counts.copy(), 0, 0, None)]
-    while stack and bins > least and budget > 0:
-        left, used, waste, trail = stack.pop()
-        budget -= 1
-        allowed = (bins - 1) * capacity - total - waste
-        if allowed < 0:
-            continue
-        largest = int(np.flatnonzero(left)[-1]) if left.any() else 0
-        if not largest:
-            if used < bins:
-                bins, incumbent = used, []
-                while trail:
-                    incumbent.append(trail[0])
-                    trail = trail[1]
+    upto, budget = reachable(counts, capacity), Budget(steps)
+
+    def branches(left: np.ndarray, used: int, waste: int, trail: tuple | None) -> Iterator[tuple]:
+        largest = int(np.flatnonzero(left)[-1])
+        others = left.copy()
+        others[largest] -= 1
+        for option in fillings(others, capacity - largest, (bins - 1) * capacity - total - waste, upto, budget):
+            allowed = (bins - 1) * capacity - total - waste  # less than before if a better plan came up meanwhile
+            content = tuple(sorted(Counter((largest, *option)).items(), reverse=True))
+            free = capacity - largest - sum(option)
+            times = min(int(left[s]) // n for s, n in content)
+            if free:
+                times = min(times, allowed // free)
+            while times > 0:
+                after = left.copy()
+                for s, n in content:
+                    after[s] -= n * times
+                yield after, used + times, waste + free * times, ((content, times), trail)
+                times //= 2
+
+    stack = [branches(counts, 0, 0, None)] if counts.any() else []
+    while stack and bins > least and budget.left > 0:
+        node = next(stack[-1], None)
+        if node is None:
+            stack.pop()
             continue
-        if used + lower_bound(left, capacity) >= bins:
+        left, used, waste, trail = node
+        if not budget.spend() or used + lower_bound(left, capacity) >= bins:
             continue
-        left[largest] -= 1
-        options = fillings(left, capacity - largest, allowed)
-        left[largest] += 1
-        for option in reversed(options):
-            need = Counter((largest, *option))
-            free = capacity - sum(s * n for s, n in need.items())
-            times = min(int(left[s]) // n for s, n in need.items())
-            if free:
-                times = min(times, max(1, allowed // free))
-            after = left.copy()
-            for s, n in need.items():
-                after[s] -= n * times
-            entry = (tuple(sorted(need.items(), reverse=True)), times)
-            stack.append((after, used + times, waste + free * times, (entry, trail)))
+        rest = best_fit(left, capacity)
+        if (found := used + sum(n for _, n in rest)) < bins:
+            bins, incumbent, at = found, rest, trail
+            while at:
+                incumbent.append(at[0])
+                at = at[1]
+        if left.any():
+            stack.append(branches(left, used, waste, trail))
     return incumbent
 
 

@@ -2,6 +2,7 @@
 
 import collections
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -94,6 +95,64 @@ def test_search_beats_best_fit_where_it_is_blind():
     assert sum(t for _, t in packing.completed(counts, 10)) == 2
 
 
+@pytest.mark.parametrize("seed", range(8))
+def test_search_finds_planted_plans_that_best_fit_misses(seed):
+    """Thirty full bins of four to six pieces: the optimum is thirty, best fit opens more."""
+    rng, sizes = np.random.default_rng(seed), []
+    for _ in range(30):
+        cuts = np.sort(rng.choice(np.arange(1, 1000), rng.integers(3, 6), replace=False))
+        sizes += np.diff([0, *cuts, 1000]).tolist()
+    counts = np.bincount(sizes, minlength=1001)
+    assert sum(t for _, t in packing.best_fit(counts, 1000)) > 30
+    plan = packing.completed(counts, 1000)
+    assert sum(t for _, t in plan) == 30
+    held = Counter()
+    for content, times in plan:
+        for s, k in content:
+            held[s] += k * times
+    assert held == Counter(sizes)
+
+
+def fewest_bins(sizes, capacity):
+    """The optimum by trying every bin for every piece."""
+    best = len(sizes)
+
+    def place(i, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(sizes):
+            best = len(rooms)
+            return
+        for room in set(rooms):
+            if room >= sizes[i]:
+                after = list(rooms)
+                after.remove(room)
+                place(i + 1, [*after, room - sizes[i]])
+        place(i + 1, [*rooms, capacity - sizes[i]])
+
+    place(0, [])
+    return best
+
+
+def test_search_is_exact_on_small_sets():
+    """Dominance and waste bounds lose no optimum: every set of up to nine pieces, ties included, against all plans."""
+    rng = np.random.default_rng(3)
+    for _ in range(150):
+        sizes = sorted(rng.integers(1, 21, rng.integers(1, 10)).tolist(), reverse=True)
+        counts = np.bincount(sizes, minlength=21)
+        assert sum(t for _, t in packing.completed(counts, 20)) == fewest_bins(sizes, 20)
+
+
+def test_dominated_fillings():
+    left = np.bincount([3, 4, 5, 7, 7], minlength=11).tolist()
+    there = sum(1 << s for s in (3, 4, 5, 7))
+    assert packing.dominated((3, 4), left, there, 0)  # 7 takes the place of both
+    assert packing.dominated((3,), left, there, 1)  # 4 fits
+    assert not packing.dominated((7,), left, there, 0) and not packing.dominated((7,), left, there, 2)
+    assert packing.dominated((7,), left, there, 3)  # 3 fits beside it
+
+
 def test_sequences_hold_the_ids(spark):
     docs = spark.createDataFrame([(i, "word " * (300 * i)) for i in range(1, 6)], "doc_id long, text string")
     cut = packing.pieces(docs, BYTES).withColumn("ids_crc32", F.crc32("ids"))
