@@ -2,48 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sensorloom.operators.cells import HITS, Cells, by_width, lay_out, nearest_in_batch, search, vectors_of
 from sensorloom.operators.chunks import strip
 from sensorloom.operators.fleet import anomalous_parameters, join_lines
 from sensorloom.operators.ordered import last_rows
-from sensorloom.scale import DEFAULT, Scale
+from sensorloom.scale import shared_root
 from sensorloom.schema import RETRIEVE_K, SNIPPET_CHARS
 
-#: most query vectors sent to every task; more are spread over a grid of blocks
+#: most query vectors sent to every task; more are searched by cells
 QUERY_BLOCK = 10_000
 CHUNK_BLOCK = 50_000
-HITS = "query_id long, id {id}, distance double"
-
-
-def nearest_in_batch(query_ids, queries: np.ndarray, ids, vectors: np.ndarray, k: int) -> pd.DataFrame:
-    """The ``k`` nearest rows of one batch to each query by squared distance, ties by id.
-
-    One matrix product gives distances good to rounding error; rows within that error of the k-th
-    are then measured exactly, so the result is that of the plain formula.
-    """
-    asked, found, measured = [], [], []
-    lengths, error = (vectors ** 2).sum(axis=1), 1e-9 * (1.0 + np.abs(vectors).max() + np.abs(queries).max()) ** 2
-    for start in range(0, len(queries), 256):
-        block = queries[start:start + 256]
-        rough = lengths - 2.0 * (block @ vectors.T) + (block ** 2).sum(axis=1)[:, None]
-        edges = np.partition(rough, k - 1, axis=1)[:, k - 1] if rough.shape[1] > k else np.full(len(block), np.inf)
-        for query_id, query, row, edge in zip(query_ids[start:start + 256], block, rough, edges):
-            near = np.flatnonzero(row <= edge + error * vectors.shape[1])
-            distance = ((vectors[near] - query) ** 2).sum(axis=1)
-            best = np.lexsort((ids[near], distance))[:k]
-            asked.append(np.full(len(best), query_id))
-            found.append(ids[near][best])
-            measured.append(distance[best])
-    return pd.DataFrame({"query_id": np.concatenate(asked), "id": np.concatenate(found),
-                         "distance": np.concatenate(measured)})
-
-
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.stack(column.to_numpy()).astype("float64")
 
 
 def nearest(queries: DataFrame, chunks: DataFrame, k: int = RETRIEVE_K) -> DataFrame:
@@ -55,67 +30,49 @@ def _nearest(queries: DataFrame, chunks: DataFrame, k: int) -> tuple[DataFrame,
     """The hits, and whether there are at most ``k * QUERY_BLOCK`` of them.
 
     Each task reduces its chunks to ``k`` per query before anything is shuffled, so neither pairs
-    nor vectors move. A query set too large to send to every task is cut into blocks instead, and
-    every block of chunks meets every block of queries.
+    nor vectors move. A query set too large to send to every task is searched by cells instead. A query
+    is near to the vectors of its own width only.
     """
     # a row without a vector is nearest to nothing
-    vectors = chunks.select("id", F.col("embedding").cast("array<double>").alias("embedding")).filter(F.size("embedding") > 0)
-    asked = queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding")).filter(F.size("embedding") > 0)
+    vectors, asked = vectors_of(chunks, "id"), vectors_of(queries, "query_id")
     schema = HITS.format(id=dict(chunks.dtypes)["id"])
     few = asked.limit(QUERY_BLOCK + 1).collect()
     if not few:
         return chunks.sparkSession.createDataFrame([], schema + ", rank int"), True
-    if len(few) <= QUERY_BLOCK:
-        query_ids = [r["query_id"] for r in few]
-        matrix = np.array([r["embedding"] for r in few], dtype="float64")
-
-        def scan(batches):
-            best = None
-            for batch in batches:
-                if len(batch):
-                    hits = nearest_in_batch(query_ids, matrix, batch["id"].to_numpy(), _matrix(batch["embedding"]), k)
+    if len(few) > QUERY_BLOCK:
+        folder = f"{shared_root(chunks.sparkSession)}/cells-{uuid.uuid4().hex[:12]}"
+        return search(queries, lay_out(chunks, folder, block_rows=CHUNK_BLOCK), k, QUERY_BLOCK), False
+    given = pd.DataFrame({"query_id": [r["query_id"] for r in few], "embedding": [np.array(r["embedding"], "float64") for r in few]})
+    own = {width: (part["query_id"].to_numpy(), found) for width, part, found in by_width(given)}
+
+    def scan(batches):
+        best = None
+        for batch in batches:
+            for width, part, found in by_width(batch):
+                if width in own:
+                    hits = nearest_in_batch(*own[width], part["id"].to_numpy(), found, k)
                     best = hits if best is None else _keep(pd.concat([best, hits], ignore_index=True), k)
-            if best is not None:
-                yield best
+        if best is not None:
+            yield best
 
-        partial = vectors.mapInPandas(scan, schema)
-    else:
-        partial = _grid(asked, vectors, k, schema)
-    hits = last_rows(partial, ["query_id"], k, [F.col("distance"), F.col("id")])
-    return hits, len(few) <= QUERY_BLOCK
+    hits = last_rows(vectors.mapInPandas(scan, schema), ["query_id"], k, [F.col("distance"), F.col("id")])
+    return hits, True
 
 
 def _keep(hits: pd.DataFrame, k: int) -> pd.DataFrame:
     return hits.sort_values(["query_id", "distance", "id"]).groupby("query_id").head(k)
 
 
-def _grid(queries: DataFrame, vectors: DataFrame, k: int, schema: str) -> DataFrame:
-    """Block against block: each group holds a bounded block of queries and one of chunks."""
-    rows = max(queries.count() // QUERY_BLOCK + 1, 1)
-    columns = max(vectors.count() // CHUNK_BLOCK + 1, 1)
-
-    def blocks(n: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-    left = queries.withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(rows))).withColumn("_c", blocks(columns))
-    right = vectors.withColumn("_c", F.pmod(F.xxhash64("id"), F.lit(columns))).withColumn("_q", blocks(rows))
-
-    def meet(asked: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        if not len(asked) or not len(found):
-            return pd.DataFrame({"query_id": [], "id": [], "distance": []})
-        return nearest_in_batch(asked["query_id"].to_numpy(), _matrix(asked["embedding"]),
-                                found["id"].to_numpy(), _matrix(found["embedding"]), k)
-
-    return left.groupBy("_q", "_c").cogroup(right.groupBy("_q", "_c")).applyInPandas(meet, schema)
-
-
 def relevance(distance: Column) -> Column:
     return F.round(1.0 / (1.0 + distance), 3)
 
 
-def retrieve(queries: DataFrame, chunks: DataFrame, k: int = RETRIEVE_K) -> DataFrame:
-    """Hits with source, page, section (null when blank), snippet and score; none when there are no chunks."""
-    hits, bounded = _nearest(queries, chunks, k)
+def retrieve(queries: DataFrame, chunks: DataFrame, k: int = RETRIEVE_K, cells: Cells | None = None) -> DataFrame:
+    """Hits with source, page, section (null when blank), snippet and score; none when there are no chunks.
+
+    Pass the ``cells`` that the chunks were laid out in to read only those that can hold a hit.
+    """
+    hits, bounded = _nearest(queries, chunks, k) if cells is None else (search(queries, cells, k), False)
     hits = F.broadcast(hits) if bounded else hits
     described = hits.join(chunks.select("id", "source", "page", "section", "text"), "id")
     return described.select(

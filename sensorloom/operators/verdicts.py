@@ -102,7 +102,7 @@ def recommend_batch(questions: DataFrame, machines: DataFrame, anomalies: DataFr
     rows = questions.join(own, "machine_id", "left")
     rows = rows.withColumn("digest", F.when(F.col("machine_id").isNull(), whole.scalar()).otherwise(
         F.coalesce("_own", F.lit(NO_ANOMALIES)))).drop("_own")
-    rows = _with_manuals(rows, chunks, k)
+    rows = _with_manuals(rows, questions, chunks, k)
     if messages is not None:
         rows = rows.join(_histories(messages), "session_id", "left")
     rule = verdict_rule(F.col("digest"))
@@ -111,11 +111,14 @@ def recommend_batch(questions: DataFrame, machines: DataFrame, anomalies: DataFr
         "citations", choose_citations(F.col("citations"), F.lit(None).cast(CITATIONS)))
 
 
-def _with_manuals(rows: DataFrame, chunks: DataFrame | None, k: int) -> DataFrame:
-    """Context text and citations of each question, at most ``k`` hits per question."""
+def _with_manuals(rows: DataFrame, questions: DataFrame, chunks: DataFrame | None, k: int) -> DataFrame:
+    """Context text and citations of each question, at most ``k`` hits per question.
+
+    Vectors are taken from the questions as given, so what was joined to ``rows`` is not computed for them.
+    """
     if chunks is None:
         return rows.withColumns({"context": F.lit(""), "citations": F.array().cast(CITATIONS)})
-    asked = rows.filter(F.col("embedding").isNotNull()).select(F.col("id").alias("query_id"), "embedding")
+    asked = questions.filter(F.col("embedding").isNotNull()).select(F.col("id").alias("query_id"), "embedding")
     citation = F.struct("source", "snippet", "page", "section", "score")
     ranked = F.sort_array(F.collect_list(F.struct("rank", context_block().alias("b"), citation.alias("c"))))
     found = retrieve(asked, chunks, k).groupBy(F.col("query_id").alias("id")).agg(ranked.alias("_hits")).select(

@@ -9,7 +9,7 @@ from sensorloom.functions.scoring import SAFE_VERDICT, VERDICT_RULES
 from sensorloom.functions.scoring import verdict_rule as rule_on
 from sensorloom.operators import chunks as chunk_ops
 from sensorloom.operators import fleet as fleet_ops
-from sensorloom.operators import retrieval, verdicts
+from sensorloom.operators import cells, retrieval, verdicts
 from sensorloom.plans.checks import check, rounded
 from sensorloom.plans.fixtures import Fixtures, with_shapes
 from sensorloom.schema import NO_ANOMALIES
@@ -164,6 +164,14 @@ def retrieve_topk(x: Fixtures) -> DataFrame:
     return rounded(retrieval.retrieve(x.centroids(), x.chunks(), 4), "distance")
 
 
+@check(with_shapes("SELECT query_id, rank::INTEGER AS rank, id, source, page, section, snippet, "
+                   "round(1.0 / (1.0 + distance), 3) AS score, round(distance, 6) AS distance "
+                   f"FROM ({hits_sql('qv', 10)})", "ch", "qv"))
+def retrieve_from_cells(x: Fixtures) -> DataFrame:
+    laid = cells.lay_out(x.chunks(), f"{x.folder()}/cells", centres=16)
+    return rounded(retrieval.retrieve(x.centroids(), x.chunks(), 10, laid), "distance")
+
+
 @check(with_shapes(f"SELECT query_id, string_agg({BLOCK}, chr(10) || chr(10) ORDER BY rank) AS context "
                    f"FROM ({hits_sql('qv', 4)}) GROUP BY query_id", "ch", "qv"))
 def format_context(x: Fixtures) -> DataFrame:
