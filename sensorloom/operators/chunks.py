@@ -16,6 +16,8 @@ BLANKS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003
 SENTENCE_GAP = r"(?<=[.!?])\s+"
 #: pages of one source ordered together when headings are carried
 PAGE_BLOCK = 10_000
+#: sentences of a text folded together
+SENTENCE_BLOCK = 256
 
 
 def strip(col: Column) -> Column:
@@ -101,9 +103,18 @@ def chunks_of(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP
         packed = F.struct(F.trim(F.concat(state["open"], F.lit(" "), piece)).alias("open"), state["done"].alias("done"))
         return F.when(fits, packed).otherwise(overflow(state, piece))
 
+    def fold(sentences: Column, opened: Column) -> Column:
+        return F.aggregate(sentences, F.struct(opened.alias("open"), none.alias("done")), add)
+
+    def add_block(state: Column, block: Column) -> Column:
+        return let(fold(block, state["open"]), lambda s: F.struct(
+            s["open"].alias("open"), F.concat(state["done"], s["done"]).alias("done")))
+
+    # every step of a fold copies its state, so the finished chunks of a long text join it once for a block only
+    blocks = let(F.split(flat, SENTENCE_GAP), lambda all_of: F.transform(
+        F.sequence(F.lit(1), F.size(all_of), F.lit(SENTENCE_BLOCK)), lambda i: F.slice(all_of, i, F.lit(SENTENCE_BLOCK))))
     start = F.struct(F.lit("").alias("open"), none.alias("done"))
-    packed = F.aggregate(F.split(flat, SENTENCE_GAP), start, add,
-                         lambda state: F.concat(state["done"], one(state["open"])))
+    packed = F.aggregate(blocks, start, add_block, lambda state: F.concat(state["done"], one(state["open"])))
     return F.when(F.length(flat) <= size, one(flat)).otherwise(packed)
 
 

@@ -1,5 +1,8 @@
 """Manuals, chunks, retrieval, prompts, replies and chats."""
 
+import re
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -47,6 +50,41 @@ def test_whole_text_is_covered(spark):
     assert text.endswith(found[-1][-40:])
 
 
+def plain_chunks(text, size, overlap):
+    """The rule with strings: sentences packed, an overflow opens with the overlap, the rest is cut."""
+    flat, done, opened = " ".join(text.split()), [], ""
+    if len(flat) <= size:
+        return [flat] if flat else []
+    for piece in re.split(r"(?<=[.!?])\s+", flat):
+        if len(opened) + len(piece) + 1 <= size:
+            opened = f"{opened} {piece}".strip(" ")
+            continue
+        full = f"{opened[-overlap:]} {piece}".strip(" ") if opened else piece
+        done += [opened] if opened else []
+        while len(full) > size:
+            done.append(full[:size])
+            full = full[size - overlap:]
+        opened = full
+    return done + ([opened] if opened else [])
+
+
+@pytest.mark.parametrize("sentences", [255, 256, 257, 1500])
+def test_blocks_of_sentences_change_nothing(spark, sentences):
+    rng = np.random.default_rng(sentences)
+    text = " ".join("w" * int(n) + " é." for n in rng.integers(1, 60, sentences))
+    assert split(spark, text, 80, 15) == plain_chunks(text, 80, 15)
+
+
+def test_time_of_a_long_page_grows_with_its_length(spark):
+    def seconds(n):
+        page = spark.createDataFrame([(" ".join(f"Pump {i} of the second row runs hot today." for i in range(n)),)], "t string")
+        began = time.perf_counter()
+        chunk_ops.chunk_text(page, "t").agg(F.count("chunk"), F.sum(F.length("chunk"))).collect()
+        return time.perf_counter() - began
+    seconds(20_000)
+    assert seconds(80_000) < 8 * max(seconds(20_000), 0.2)  # four times the text; a quadratic fold takes sixteen
+
+
 def test_segments_carry_headings_over_pages(spark):
     pages = [("m", 1, "preface\n1. Operating Limits\nkeep cool\n2.1 Relief Valve\nopen it\n"), ("m", 2, "  "),
              ("m", 3, "more on valves\n\n3. Motors\n"), ("m", 25_000, "tail"), ("n", 1, "other manual"),
