@@ -10,7 +10,7 @@ from sensorloom.operators.fleet import run_metrics
 from sensorloom.plans.upload import NOTHING_KEPT, process_rows, run_params
 from sensorloom.scale import DEFAULT, Scale, cut
 from sensorloom.schema import DEFAULT_THRESHOLD, DEFAULT_WINDOW
-from sensorloom.sources.csv import split_files
+from sensorloom.sources.csv import records, split_files
 from sensorloom.sources.store import Change, Store
 from sensorloom.sources.tables import run_rows, set_status
 
@@ -70,7 +70,9 @@ def process_batch(store: Store, lines: DataFrame, threshold: float = DEFAULT_THR
     """
     if batch is not None and store.change().marked(stream) >= batch:
         return
-    held = cut(lines.select("file", "value"))  # the files are read once
+    start = "start" if "start" in lines.columns else F.lit(0).cast("long").alias("start")
+    # the files are read once, and their records made once; a task meets the lines of a byte range in their order
+    held = cut(records(cut(lines.select("file", "value", start, F.monotonically_increasing_id().alias("at")))))
     # one name for each file of the batch
     names = sorted(r["file"] for r in held.select("file").distinct().collect())
     if names:
@@ -90,7 +92,7 @@ def ingest_stream(spark: SparkSession, in_dir: str, store: Store, checkpoint: st
                   scale: Scale = DEFAULT) -> StreamingQuery:
     """Process the CSV files of ``in_dir`` not seen before and stop; ``checkpoint`` remembers them."""
     lines = (spark.readStream.format("text").option("pathGlobFilter", "*.[cC][sS][vV]").load(in_dir)
-             .select("value", F.col("_metadata.file_path").alias("file")))
+             .select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")))
 
     def handle(batch: DataFrame, epoch: int) -> None:
         process_batch(store, batch, threshold, window, scale, epoch, checkpoint)

@@ -1,6 +1,8 @@
 """Reading, cleaning and featuring raw sensor rows."""
 
+import csv
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 from sensorloom.functions.cleaning import parse_ts, to_number
 from sensorloom.operators.features import clean, fill_gaps, transform
 from sensorloom.schema import PARAMETERS
-from sensorloom.sources.csv import read_sensor_csv, split_files
+from sensorloom.sources.csv import read_sensor_csv, records, scan_lines, split_files
 from sensorloom.sources.synth import synth_sensors
 
 HEADER = "timestamp,machine_id,temperature,pressure,vibration,rpm"
@@ -92,6 +94,46 @@ def test_many_files_keep_their_own_headers(spark):
     assert set(errors) == {"c", "d"} and "pressure, vibration, rpm" in errors["c"]
 
 
+def small_ranges(spark, path, size):
+    """The lines of ``path``, read in byte ranges of ``size``."""
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        lines = scan_lines(spark, path).withColumn("at", F.monotonically_increasing_id())
+        return spark.createDataFrame(lines.collect(), lines.schema)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+@pytest.mark.parametrize("size", [40, 300, 1 << 20])
+def test_quoted_line_breaks_across_ranges(spark, tmp_path, size):
+    """Records of many byte ranges equal those of the reader that takes a file in one task, and of Python's."""
+    rng, want = random.Random(size), []
+    for f in range(3):
+        notes = ["pl\n\nain", 'say ""\n"" x'.replace('""', '"'), "a,\nb", "", 'x"y', "\n", "é\nü,\n,", '"', "M,1", "long " * 30 + "\n"]
+        rows = [[f"2026-01-0{f + 1}T00:00:00", rng.choice(notes) + str(i), "60", rng.choice(notes), "1", "1500"] for i in range(60)]
+        with open(tmp_path / f"f{f}.csv", "w", newline="") as out:
+            writer = csv.writer(out, lineterminator="\n")
+            writer.writerows([HEADER.split(","), *rows])
+        want += [tuple(r) for r in rows]
+    lines = small_ranges(spark, str(tmp_path), size)
+    assert size > 1000 or lines.select("file", "start").distinct().count() > 20
+    raw, bad = split_files(records(lines))
+    found = [tuple("" if v is None else v for v in r) for r in raw.select(*HEADER.split(",")).collect()]
+    assert sorted(found) == sorted(want) and bad.isEmpty()
+    one_task = spark.read.csv(str(tmp_path), header=True, multiLine=True, escape='"', nullValue="\0", emptyValue="")
+    assert sorted(tuple(v or "" for v in r) for r in one_task.collect()) == sorted(found)
+
+
+def test_stray_quotes_join_no_lines(spark, tmp_path):
+    """A quote inside a bare value, or after a closed one, opens nothing; a quote that never ends takes the rest."""
+    text = 'a,5" pipe,b\n"x"y,1\n"one\ntwo"z,"three ""\nfour",5\nplain\n\nlast,"open\n1,2\n'
+    (tmp_path / "stray.csv").write_text(text)
+    for size in (8, 1 << 20):
+        found = sorted(r["value"] for r in records(small_ranges(spark, str(tmp_path), size)).collect())
+        assert found == sorted(['a,5" pipe,b', '"x"y,1', '"one\ntwo"z,"three ""\nfour",5', "plain", "", 'last,"open\n1,2'])
+
+
 def test_synthetic_readings(spark):
     rows = synth_sensors(spark)
     assert rows.count() == 960
