@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -92,9 +94,12 @@ def streamed(x: Fixtures):
     rows = x.wide_events().select(
         "dataset_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"),
         (F.col("dataset_id") * FILE_MACHINE + F.col("machine_id")).alias("machine_id"), *PARAMETERS)
-    exports.write_csv(rows.filter("dataset_id = 0").drop("dataset_id").coalesce(1), f"{folder}/in/a")
-    exports.write_csv(rows.filter("dataset_id = 1").drop("dataset_id").coalesce(1), f"{folder}/in/b")
-    exports.write_csv(rows.filter("dataset_id = 2").drop("dataset_id").coalesce(1), f"{folder}/in/c")
+
+    def write(dataset: int, name: str) -> None:
+        # one file each, written side by side from events that many tasks read
+        exports.write_csv(rows.filter(F.col("dataset_id") == dataset).drop("dataset_id").repartition(1), f"{folder}/in/{name}")
+    with ThreadPoolExecutor(3) as writers:
+        list(writers.map(write, range(3), "abc"))
     exports.write_csv(rows.limit(3).select("timestamp", "rpm").coalesce(1), f"{folder}/in/d")
     ingest_stream(x.spark, f"{folder}/in/*", store, f"{folder}/progress").awaitTermination()
     return store

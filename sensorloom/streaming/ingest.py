@@ -35,7 +35,8 @@ def _process_files(change: Change, lines: DataFrame, names: list[str], threshold
     try:
         raw, rejected = split_files(lines.join(F.broadcast(files), "file", "left_semi"))
         rejected = cut(rejected)
-        rows = raw.withColumn("dataset_id", dataset_key(F.col("file"))).drop("file")
+        # the cells are parsed once, for the machines, the series and the count of rows
+        rows = cut(raw.withColumn("dataset_id", dataset_key(F.col("file"))).drop("file"))
         ids = files.select(dataset_key(F.col("file")).alias("dataset_id"))
 
         def own(df: DataFrame) -> DataFrame:

@@ -146,3 +146,18 @@ def test_synthetic_readings(spark):
     assert 0 < blanks < 40
     again = synth_sensors(spark)
     assert rows.exceptAll(again).isEmpty()
+
+
+def test_lines_of_one_file_stay_in_many_tasks(spark):
+    """A large file is parsed by as many tasks as read it, however few files there are."""
+    lines = spark.range(0, 800, 1, 8).select(
+        F.lit("one").alias("file"), F.spark_partition_id().cast("long").alias("start"), F.col("id").alias("at"),
+        F.when(F.col("id") == 0, HEADER).otherwise(F.concat(F.lit("2026-01-01T00:00:00,M1,1,2,3,"), F.col("id"))).alias("value"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as if the sizes of the inputs were not known
+    try:
+        good, bad = split_files(records(lines))
+        found = good.groupBy(F.spark_partition_id().alias("task")).agg(F.count(F.lit(1)).alias("n")).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(found) == 8 and sum(r["n"] for r in found) == 799 and bad.isEmpty()
