@@ -179,7 +179,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[int, float], float]:
     """Weights and bias of the classifier. Labels are read from rows that are not held out, and so is its sample."""
     given = docs.select("doc_id", "text")
     voters = learned_voters(given, labels.select("doc_id", "toxic"))
-    counted = votes(given, voters, []).groupBy("pattern").count().collect()  # at most 2 ** voters rows
+    # every text is voted on once: the counts take all rows, the sample those that are not held out
+    rows = stored(votes(given.withColumn("held_out", held_out()), voters, ["doc_id", "held_out"]), "votes")
+    counted = rows.groupBy("pattern").count().collect()  # at most 2 ** voters rows
     if not counted:
         return {}, -4.0
     patterns, counts = (np.array([r[c] for r in counted]) for c in ("pattern", "count"))
@@ -189,8 +191,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[int, float], float]:
     belief = model.posterior(bits(patterns, voters.number))
     spark = docs.sparkSession
     believed = spark.createDataFrame([(int(p), float(b)) for p, b in zip(patterns, belief, strict=True)], "pattern long, belief double")
-    rows = stored(votes(given.filter(~held_out()), voters, ["doc_id"]), "votes")  # read once for each class
-    chosen = drawn(rows.join(F.broadcast(believed), "pattern")).groupBy("doc_id").agg(F.max("belief").alias("belief"))
+    learned = rows.filter(~F.col("held_out")).drop("held_out")
+    chosen = drawn(learned.join(F.broadcast(believed), "pattern")).groupBy("doc_id").agg(F.max("belief").alias("belief"))
     sample, belief = collected(with_features(given.join(F.broadcast(chosen), "doc_id"), ["doc_id", "belief"]), "belief")
     return classifier(sample, belief) if sample else ({}, -4.0)
 

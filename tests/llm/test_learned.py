@@ -147,3 +147,11 @@ def test_sparse_matrix_equals_dense():
     assert matrix.times(weights) == pytest.approx(dense @ weights)
     assert matrix.back(np.arange(5.0)) == pytest.approx(dense.T @ np.arange(5.0))
     assert "^stupi" in names("Stupidly") and "!###" in names("x### y")
+
+
+def test_toxicity_votes_on_each_text_once(spark, odd_docs, monkeypatch):
+    """The counts of all rows and the sample of those that are not held out come from one pass of the voters."""
+    passes, votes = [], toxicity.votes
+    monkeypatch.setattr(toxicity, "votes", lambda *args: passes.append(args) or votes(*args))
+    toxicity.fit(odd_docs, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int"))
+    assert len(passes) == 1
