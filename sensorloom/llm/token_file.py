@@ -38,6 +38,8 @@ END_ID = 1
 BLOCK_IDS = 500_000
 FILE_BYTES = 16 << 20
 SAMPLE = 256
+#: pieces that a worker remembers while it writes: the executor sorts its documents meanwhile, and both share its memory
+REMEMBERED = 300_000
 #: documents of a block that are decoded at a time
 RUN_DOCUMENTS = 1024
 _HEAD = struct.Struct("<4sIIIIBqIIQ")
@@ -194,7 +196,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, folder: str, end_id: int = EN
             return out
         for batch in batches:
             for name, ids in zip(batch.column(0).to_pylist(),
-                                 encoder(vocabulary).encode(x.as_py() for x in batch.column(1)), strict=True):
+                                 encoder(vocabulary, REMEMBERED).encode(x.as_py() for x in batch.column(1)), strict=True):
                 names.append(name)
                 tokens.append(ids + tail)
                 held += len(ids) // 4 + 1

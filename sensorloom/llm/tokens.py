@@ -1,6 +1,6 @@
 """Token ids of whole texts by the tokenizers library.
 
-A text is cut at white space, where no token of these vocabularies spans the cut, and the ids of a
+A text is cut at white space, line feeds between words included, where no token of these vocabularies spans the cut, and the ids of a
 piece are looked up in a bounded table that the worker keeps. Pieces not in the table are encoded by
 the library, so every id comes from it and equals that of encoding the text at once.
 """
@@ -16,7 +16,9 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 #: most pieces that a worker remembers (about 220 bytes each), and the longest remembered piece
-REMEMBERED = 400_000
+REMEMBERED = 700_000
+#: marks of pieces met before, a power of two; past half of its room a worker remembers only what it meets in a second span
+MET = 1 << 22
 LONGEST = 48
 #: characters of text cut into pieces at a time
 SPAN_CHARS = 1_000_000
@@ -53,7 +55,7 @@ def _packed(ids: list[int]) -> bytes:
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids; one per worker and vocabulary file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores belong to Spark's tasks
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
@@ -68,6 +70,9 @@ class Encoder:
         self.folds = self.tokenizer.encode("A").ids == self.tokenizer.encode("a").ids
         #: pieces as they stand in a text, and pieces without the blank before them
         self.known: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        self.remembered = REMEMBERED if remembered is None else remembered
+        self.met = bytearray(MET)
+        self.line_end = _packed(self.tokenizer.encode("\n", add_special_tokens=False).ids)
 
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         """The ids of each text. Texts are drawn a few at a time, so a batch is never held twice."""
@@ -83,19 +88,22 @@ class Encoder:
             yield from self._span(held)
 
     def _span(self, texts: list[str]) -> list[bytes]:
-        heads, tails = [], []
+        # the lines of an even text, each as its first piece and the pieces after blanks; the pieces of any other
+        parts: list[tuple[list[str], list[list[str]] | None]] = []
         for text in texts:
             if _even(text):
-                first, *rest = text.split(" ")
-                heads.append([first])
-                tails.append(rest)
+                lines = [line.split(" ") for line in text.split("\n")]
+                parts.append(([line.pop(0) for line in lines], lines))
             else:
-                heads.append(_PIECE.findall(text))
-                tails.append([])
+                parts.append((_PIECE.findall(text), None))
         plain, after = self.known
-        drop = [*self._learn(plain, set().union(*heads), ""), *self._learn(after, set().union(*tails), " ")]
-        out = [b"".join([*map(plain.__getitem__, head), *map(after.__getitem__, tail)])
-               for head, tail in zip(heads, tails, strict=True)]
+        drop = [*self._learn(plain, set().union(*(heads for heads, _ in parts)), ""),
+                *self._learn(after, set().union(*(rest for _, tails in parts for rest in tails or ())), " ")]
+        out = []
+        for heads, tails in parts:
+            first = map(plain.__getitem__, heads)
+            out.append(b"".join(first) if tails is None else self.line_end.join(
+                [head + b"".join(map(after.__getitem__, rest)) for head, rest in zip(first, tails, strict=True)]))
         for table, piece in drop:
             del table[piece]
         return out
@@ -105,7 +113,7 @@ class Encoder:
         new = pieces.difference(table)
         if not new:
             return []
-        room = REMEMBERED - len(self.known[0]) - len(self.known[1])
+        room = self.remembered - len(self.known[0]) - len(self.known[1])
         # a mark after a word adds its own id; capitals change nothing where the vocabulary has none
         stems = {p: stem for p in new if (stem := self._stem(p)) is not None}
         new |= set(stems.values()).difference(table)
@@ -118,8 +126,16 @@ class Encoder:
         table.update((p, _packed(e.ids)) for p, e in zip(whole, found, strict=True))
         for p, stem in sorted(stems.items(), key=lambda x: x[0][-1:] in self.marks):  # a marked word's stem may have one
             table[p] = table[stem] + (self.marks[p[-1]] if len(stem) < len(p) else b"")
-        # frequent pieces are met early, so a full table stays as it is
-        return [(table, p) for i, p in enumerate(new) if i >= room or len(p) > LONGEST]
+        # frequent pieces are met early; most of the others never come again, and a full table stays as it is
+        drop = []
+        for p in new:
+            at = hash(p) & (MET - 1)
+            if room > 0 and len(p) <= LONGEST and (2 * room > self.remembered or self.met[at]):
+                room -= 1
+            else:
+                drop.append((table, p))
+            self.met[at] = 1
+        return drop
 
     def _stem(self, piece: str) -> str | None:
         """The word whose ids make up those of a piece, but for a mark at its end."""
@@ -144,11 +160,11 @@ class Encoder:
                 table.update((p, raw[a:b]) for p, a, b in zip(run, bounds[:-1], bounds[1:], strict=True))
 
 
-_WORKER: dict[str, Encoder] = {}
+_WORKER: dict[tuple[str, int | None], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, remembered: int | None = None) -> Encoder:
     """The worker's encoder for a vocabulary file, which every executor has at this path."""
-    if path not in _WORKER:
-        _WORKER[path] = Encoder(path)
-    return _WORKER[path]
+    if (path, remembered) not in _WORKER:
+        _WORKER[path, remembered] = Encoder(path, remembered)
+    return _WORKER[path, remembered]

@@ -330,3 +330,14 @@ def test_reader_takes_foreign_archives_and_marks_damage():
     cut = list(warc.records(data[:-3]))
     assert [bool(r[3]) for r in cut] == [False, True, True, True]
     assert list(warc.records(b"")) == []
+
+
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_pieces_that_never_come_again_take_no_room(path):
+    """Words on both sides of a line feed are pieces of their own, and past half of the room only repeated ones stay."""
+    worker = Encoder(path, 100)
+    texts = [f"once{'x' * (i % 7)}{i}.\nNext word" for i in range(400)]
+    wanted = [np.array(e.ids, "<u4").tobytes() for e in worker.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [ids for text in texts for ids in worker.encode([text])] == wanted
+    assert sum(map(len, worker.known)) <= 60 and not any("\n" in piece for table in worker.known for piece in table)
+    assert "Next" in worker.known[0] and "word" in worker.known[1]
