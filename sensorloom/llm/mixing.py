@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensorloom.llm.common import let, running, stored, text_or_empty, words_of
@@ -159,16 +159,25 @@ class Mix:
         return cut.select("number", "start", "block", (begin - F.col("start")).alias("skip"), (end - begin).alias("words"))
 
 
+def _key(columns: list[str]) -> Column:
+    """What tells ``row`` from others, without its text: the other columns and a digest of the text."""
+    others = [F.col("row")[c].alias(f"c{i}") for i, c in enumerate(columns) if c != "text"]
+    return F.struct(*others, F.md5(text_or_empty("row.text").cast("binary")).alias("digest")).alias("key")
+
+
 def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = SEED,
-        keep_rows: bool = False) -> Mix:
-    """Draw the mix. A null text has no words, a null source is a source of its own, repeated rows count each."""
+        keep_keys: bool = False) -> Mix:
+    """Draw the mix. A null text has no words, a null source is a source of its own, repeated rows count each.
+
+    With ``keep_keys``, ``placed`` has the ``key`` of each row; texts are never stored.
+    """
     spark: SparkSession = docs.sparkSession
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     source = F.coalesce(F.concat(F.lit("="), F.col("row.source").cast("string")), F.lit(NULL_SOURCE))
     size = F.size(words_of(text_or_empty("row.text"))).cast("long")
     order = F.md5(text_or_empty("row.text").cast("binary"))
     sized = rows.select(source.alias("name"), size.alias("size"), order.alias("digest"), F.col("row.doc_id").alias("doc_id"),
-                        *(["row"] if keep_rows else []))
+                        *([_key(docs.columns)] if keep_keys else []))
     sized = stored(sized, "sized")
     totals = [(r["name"], r["size"]) for r in sized.groupBy("name").agg(F.sum("size").alias("size")).collect()]
     sources = source_table(totals, block_words)
@@ -211,13 +220,18 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots
 
     One row per document and pass over its source, with the words that the pass takes of it: the text
     itself where it takes the whole document, else the words of the taken blocks, joined by blanks.
-    Documents without words are not taken.
+    Documents without words are not taken. Pass a stored frame: its rows are read again and moved once, to meet their parts.
     """
-    drawn = mix(docs, block_words, shard_slots, seed, keep_rows=True)
+    drawn = mix(docs, block_words, shard_slots, seed, keep_keys=True)
     parts = (drawn.spans().join(drawn.slots.select("number", "block", "turn"), ["number", "block"])
              .groupBy("number", "start", "turn").agg(
                  F.sort_array(F.collect_list(F.struct("skip", "words"))).alias("parts"), F.sum("words").alias("taken")))
-    whole = drawn.placed.filter("size > 0").join(parts, ["number", "start"])
+    taken = drawn.placed.filter("size > 0").join(parts, ["number", "start"]).select("key", "size", "taken", "parts")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).select("row", _key(docs.columns))
+    if not drawn.placed.filter("size > 0").groupBy("key").count().filter("count > 1").isEmpty():
+        rows = rows.dropDuplicates(["key"])  # equal rows have parts each, and one row gives the text of all
+    # the parts grow with the rows, so they are not broadcast, at whatever size
+    whole = rows.hint("merge").join(taken, "key")
     # the words are split once for each row, not for each part
     some = let(words_of(text_or_empty("row.text")), lambda words: F.array_join(F.flatten(F.transform(
         "parts", lambda p: F.slice(words, (p["skip"] + 1).cast("int"), p["words"].cast("int")))), " "))

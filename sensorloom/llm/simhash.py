@@ -217,13 +217,16 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     duplicates are another operator's business. A null text is an empty one, texts without words are one
     group, and an empty table gives no rows. No name of a column of ``docs`` can clash.
     """
-    named = grouped(docs)
-    first = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first"))
-
     def key(doc_id: Column, text_hash: Column) -> Column:
         return F.concat_ws(":", F.coalesce(doc_id.cast("long").cast("string"), F.lit("-")), text_hash.cast("string"))
 
-    stay = stored(first.select(key(F.col("first.doc_id"), F.col("first.text_hash")).alias("key")), "stay")
+    named = stored(grouped(docs), "grouped").withColumn("key", key(F.col("doc_id"), F.col("text_hash")))
+    first = named.groupBy("component").agg(
+        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first"), F.count(F.lit(1)).alias("n"))
+    stays = key(F.col("first.doc_id"), F.col("first.text_hash")).alias("stays")
+    crowds = stored(first.filter("n > 1").select("component", stays), "crowds")
+    # those that go, as they are fewer than those that stay: whole rows are shuffled only where the keys are too many to broadcast
+    go = stored(lookup(named, crowds, ["component"], "inner").filter("key != stays").select("key").distinct(), "go")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     rows = rows.withColumn("key", key(F.col("row.doc_id"), F.xxhash64(text_or_empty("row.text"))))
-    return lookup(rows, stay, ["key"], "left_semi").select("row.*")
+    return lookup(rows, go, ["key"], "left_anti").select("row.*")

@@ -230,6 +230,24 @@ def test_mixing_odd_rows(odd_docs, no_docs):
     assert mixing.taken_words(mixing.mix(no_docs)).count() == 0 and mixing.mixed_documents(no_docs).count() == 0
 
 
+def test_mixing_stores_no_texts_and_equal_rows_have_parts_each(spark, monkeypatch):
+    rows = [(i, f"word{i} " * 9, "en", "ab"[i % 2], 1) for i in range(40)] + [(None, "x y z", None, "a", None)] * 3
+    rows += [(3, "word3 " * 9, "de", "b", 1), (3, "word3 " * 9, "en", "b", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    names, keep = [], mixing.stored
+    monkeypatch.setattr(mixing, "stored", lambda df, name: names.append((name, df.schema.simpleString())) or keep(df, name))
+    got = mixing.mixed_documents(docs, block_words=4, shard_slots=50).collect()
+    assert not [kind for _, kind in names if "text" in kind or "row" in kind]
+    want = collections.Counter()
+    for r in mixing.taken_words(mixing.mix(docs, block_words=4, shard_slots=50)).collect():
+        want[r["doc_id"]] += r["taken"]
+    found = collections.Counter()
+    for r in got:
+        found[r["doc_id"]] += size(r["text"])
+    assert +found == +want
+    assert {(r["doc_id"], r["lang"], r["source"]) for r in got} <= {(r[0], r[2], r[3]) for r in rows}
+
+
 @pytest.mark.parametrize("n", [1, 2, 5, 64, 1000])
 def test_permutations_are_whole(n):
     assert sorted(mixing.permuted(np.arange(n), n, [1, 2, 3]).tolist()) == list(range(n))

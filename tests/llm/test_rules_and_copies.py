@@ -229,3 +229,15 @@ def test_a_crowd_within_the_radius_is_folded_by_block():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(x) == len(crowd) - 1 and set(y.tolist()) == {0} and peak < 64 << 20
+
+
+def test_near_copies_are_dropped_by_the_few_that_go(spark, monkeypatch):
+    rows = [(i, f"text{i} with some words{i * 7} of its own{i * 13}") for i in range(60)]
+    rows += [(100 + i, rows[i][1]) for i in range(5)] + [(None, rows[0][1]), (None, "only here"), (None, "only here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sides, join = [], simhash.lookup
+    monkeypatch.setattr(simhash, "lookup", lambda left, side, on, *a: sides.append((on, side.count())) or join(left, side, on, *a))
+    got = simhash.one_of_each(docs).collect()
+    assert sorted(map(str, got)) == sorted(str(r) for r in docs.collect()
+                                           if (r["doc_id"] or 0) < 100 and (r["doc_id"] is not None or r["text"] == "only here"))
+    assert [n for on, n in sides if on == ["key"]] == [6]
