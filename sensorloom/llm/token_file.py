@@ -29,17 +29,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sensorloom.llm.common import lookup, new_folder, small_batches, stored, text_or_empty
-from sensorloom.llm.tokens import encoder
+from sensorloom.llm.tokens import encoder, forget
 
 #: fixed by the contract
 END_ID = 1
 
-#: ids of a block, and bytes of text of a file, about
+#: ids of a block, and bytes of ids (4 each) of a file, about
 BLOCK_IDS = 500_000
 FILE_BYTES = 16 << 20
 SAMPLE = 256
-#: pieces that a worker remembers while it writes: the executor sorts its documents meanwhile, and both share its memory
-REMEMBERED = 300_000
+#: pieces that a worker remembers while it encodes
+REMEMBERED = 1_200_000
 #: documents of a block that are decoded at a time
 RUN_DOCUMENTS = 1024
 _HEAD = struct.Struct("<4sIIIIBqIIQ")
@@ -175,6 +175,34 @@ def read_blocks(data: bytes) -> Iterator[Block]:
         at = end + 1
 
 
+def encoded(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFrame:
+    """(doc_id, tie, width, ids) of every document, stored; ``tie`` is the text where the doc_id is null or not the only one, else null.
+
+    ``ids`` are unsigned numbers of ``width`` bytes, 2 where the vocabulary allows it, as they are stored and shuffled once each. Texts are encoded as they are read and sorted as ids: no executor holds texts to be sorted beside an encoder's pieces.
+    """
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tail = np.array([end_id], "<u4").tobytes()
+        for batch in batches:
+            known = encoder(vocabulary, REMEMBERED)
+            ids = [x + tail for x in known.encode(x.as_py() for x in batch.column(1))]
+            width = 2 if max(known.largest, end_id) <= 0xFFFF else 4
+            if width == 2:
+                ids = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids]
+            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(np.full(len(ids), width, np.int32)),
+                                   pa.array(ids, pa.binary())], ["doc_id", "tie", "width", "ids"])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    repeated = stored(rows.groupBy("doc_id").count().filter("count > 1 and doc_id is not null")
+                      .select("doc_id", F.lit(True).alias("tied")), "repeated-ids")
+    if repeated.isEmpty():
+        rows = rows.withColumn("tied", F.lit(False))
+    else:
+        rows = lookup(rows, repeated, ["doc_id"])
+    tie = F.when(F.col("doc_id").isNull() | F.col("tied"), F.col("text")).alias("tie")
+    with small_batches(docs.sparkSession):
+        return stored(rows.select("doc_id", "text", tie).mapInArrow(encode, "doc_id long, tie string, width int, ids binary"),
+                      "encoded", compression="zstd")
+
+
 def write_tokens(docs: DataFrame, vocabulary: str, folder: str, end_id: int = END_ID, file_bytes: int = FILE_BYTES,
                  block_ids: int = BLOCK_IDS) -> None:
     """Write the token files of ``docs`` to ``folder``, in ascending doc_id order over files, blocks and documents.
@@ -183,7 +211,8 @@ def write_tokens(docs: DataFrame, vocabulary: str, folder: str, end_id: int = EN
     Spark's writer commits the files, so a lost executor leaves no half-written or doubled ones.
     """
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail, file, block, held = np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId(), 0, 0
+        forget()
+        file, block, held = TaskContext.get().partitionId(), 0, 0
         names: list[int | None] = []
         tokens: list[bytes] = []
 
@@ -195,19 +224,19 @@ def write_tokens(docs: DataFrame, vocabulary: str, folder: str, end_id: int = EN
             block, held = block + 1, 0
             return out
         for batch in batches:
-            for name, ids in zip(batch.column(0).to_pylist(),
-                                 encoder(vocabulary, REMEMBERED).encode(x.as_py() for x in batch.column(1)), strict=True):
+            for name, width, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(),
+                                        (x.as_py() for x in batch.column(2)), strict=True):
                 names.append(name)
-                tokens.append(ids + tail)
-                held += len(ids) // 4 + 1
+                tokens.append(np.frombuffer(ids, f"<u{width}").astype("<u4").tobytes())
+                held += len(ids) // width
                 if held >= block_ids:
                     yield full()
         if names:
             yield full()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rows = encoded(docs, vocabulary, end_id)
+    total = 4 * (rows.agg(F.sum(F.expr("octet_length(ids) div width"))).first()[0] or 0)
     ordered = rows.repartitionByRange(-(-total // file_bytes) or 1, F.asc_nulls_first("doc_id")).sortWithinPartitions(
-        F.asc_nulls_first("doc_id"), "text")
+        F.asc_nulls_first("doc_id"), "tie").select("doc_id", "width", "ids")
     # the text writer puts bytes out as they are and ends each row with a line feed
     with small_batches(docs.sparkSession):
         ordered.mapInArrow(blocks, "block binary").select(F.col("block").cast("string").alias("value")).write.text(folder)

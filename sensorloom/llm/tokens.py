@@ -63,7 +63,8 @@ class Encoder:
         self.marks = {m: _packed(self.tokenizer.encode(m, add_special_tokens=False).ids) for m in _MARKS}
         #: tokens that begin a word after a blank, and tokens that end a word; a vocabulary has one kind or the other
         vocabulary = self.tokenizer.get_vocab()
-        self.begins, self.ends = np.zeros(max(vocabulary.values()) + 1, bool), np.zeros(max(vocabulary.values()) + 1, bool)
+        self.largest = max(vocabulary.values())
+        self.begins, self.ends = np.zeros(self.largest + 1, bool), np.zeros(self.largest + 1, bool)
         self.begins[[i for t, i in vocabulary.items() if t.startswith(_BLANK)]] = True
         self.ends[[i for t, i in vocabulary.items() if t.endswith(_WORD_END)]] = True
         #: whether the vocabulary has no capitals
@@ -168,3 +169,8 @@ def encoder(path: str, remembered: int | None = None) -> Encoder:
     if (path, remembered) not in _WORKER:
         _WORKER[path, remembered] = Encoder(path, remembered)
     return _WORKER[path, remembered]
+
+
+def forget() -> None:
+    """Let go of the worker's encoders, where what follows needs none and others share its memory."""
+    _WORKER.clear()

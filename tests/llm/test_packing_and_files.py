@@ -273,6 +273,18 @@ def test_token_files_of_odd_rows_in_small_blocks(spark, odd_docs, no_docs, tmp_p
     assert token_file.token_round_trip(no_docs, WORDS).count() == 0
 
 
+def test_token_files_sort_ids_and_not_texts(spark, monkeypatch, tmp_path):
+    rows = [(5, "five"), (2, "b two"), (2, "a two"), (9, None), (9, "nine"), (None, "z"), (None, "y"), (1, "one two")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    frames, keep = {}, token_file.stored
+    monkeypatch.setattr(token_file, "stored", lambda df, name, **o: frames.setdefault(name, keep(df, name, **o)))
+    token_file.write_tokens(docs, WORDS, f"{tmp_path}/t", file_bytes=20, block_ids=3)
+    found = frames["encoded"].collect()
+    assert sorted(r["tie"] for r in found if r["tie"] is not None) == ["", "a two", "b two", "nine", "y", "z"]
+    assert sorted(r["ids"] for r in found) == sorted(np.array(library_ids(WORDS, t, 1), "<u2").tobytes() for _, t in rows)
+    check_files(docs.collect(), token_file.read_back(spark, f"{tmp_path}/t").collect())
+
+
 @pytest.mark.parametrize("values", [[], [0], [7], [0] * 700, list(range(0, 9000, 7)), [0, 10**12], sorted([3, 3, 9, 2**33, 5] * 300)])
 def test_elias_fano(values):
     coded = token_file.EliasFano.encode(np.array(values, np.int64))
