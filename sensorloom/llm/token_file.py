@@ -40,6 +40,8 @@ FILE_BYTES = 16 << 20
 SAMPLE = 256
 #: pieces that a worker remembers while it encodes
 REMEMBERED = 1_200_000
+#: bytes of texts that are encoded at a time
+SPAN_BYTES = 8 << 20
 #: documents of a block that are decoded at a time
 RUN_DOCUMENTS = 1024
 _HEAD = struct.Struct("<4sIIIIBqIIQ")
@@ -175,21 +177,35 @@ def read_blocks(data: bytes) -> Iterator[Block]:
         at = end + 1
 
 
+def spans(batches: Iterator[pa.RecordBatch], most: int = SPAN_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in batches of about ``most`` bytes, but for the last."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(x.nbytes for x in held) >= most:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def encoded(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFrame:
     """(doc_id, tie, width, ids) of every document, stored; ``tie`` is the text where the doc_id is null or not the only one, else null.
 
     ``ids`` are unsigned numbers of ``width`` bytes, 2 where the vocabulary allows it, as they are stored and shuffled once each. Texts are encoded as they are read and sorted as ids: no executor holds texts to be sorted beside an encoder's pieces.
     """
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in spans(batches):
             known = encoder(vocabulary, REMEMBERED)
-            ids = [x + tail for x in known.encode(x.as_py() for x in batch.column(1))]
+            ids, ends = known.encode_array(batch.column(1))
             width = 2 if max(known.largest, end_id) <= 0xFFFF else 4
-            if width == 2:
-                ids = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids]
-            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(np.full(len(ids), width, np.int32)),
-                                   pa.array(ids, pa.binary())], ["doc_id", "tie", "width", "ids"])
+            ids = np.insert(ids.astype(f"<u{width}"), ends, end_id)
+            n = batch.num_rows
+            offsets = np.zeros(n + 1, np.int64)
+            offsets[1:] = width * (ends + np.arange(1, n + 1))
+            rows = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(ids)]).cast(pa.binary())
+            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(np.full(n, width, np.int32)), rows],
+                                  ["doc_id", "tie", "width", "ids"])
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     repeated = stored(rows.groupBy("doc_id").count().filter("count > 1 and doc_id is not null")
                       .select("doc_id", F.lit(True).alias("tied")), "repeated-ids")

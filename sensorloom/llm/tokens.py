@@ -1,7 +1,7 @@
 """Token ids of whole texts by the tokenizers library.
 
-A text is cut at white space, line feeds between words included, where no token of these vocabularies spans the cut, and the ids of a
-piece are looked up in a bounded table that the worker keeps. Pieces not in the table are encoded by
+A text is cut at white space, line feeds between words included, where no token of these vocabularies spans the cut, and the ids of the
+different pieces of a span of texts are looked up in a bounded table that the worker keeps. Pieces not in the table are encoded by
 the library, so every id comes from it and equals that of encoding the text at once.
 """
 
@@ -14,35 +14,44 @@ from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: most pieces that a worker remembers (about 220 bytes each), and the longest remembered piece
+#: most pieces that a worker remembers (about 30 bytes each), and the longest remembered piece
 REMEMBERED = 700_000
 #: marks of pieces met before, a power of two; past half of its room a worker remembers only what it meets in a second span
 MET = 1 << 22
 LONGEST = 48
 #: characters of text cut into pieces at a time
-SPAN_CHARS = 1_000_000
+SPAN_CHARS = 8_000_000
 
 #: fixed: the Unicode white space characters
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _PIECE = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 #: fixed: white space other than blank and line feed
 _RARE = "\t\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-_RARE_ASCII = _RARE[:4]
 #: marks that are tokens of their own after a letter, at the end of a piece
 _MARKS = ".,!?;:"
 
 
 #: fixed by the vocabularies: how they write a blank before a word, and the end of a word
 _BLANK, _WORD_END = "\u0120", "</w>"
-#: words encoded in one call
+#: words encoded side by side, and pieces in one call
 JOINED = 64
+CALL = 2048
 
 
-def _even(text: str) -> bool:
-    """No white space but blanks and line feeds, none next to another and none at the end: each blank is a cut of its own."""
-    return not (any(c in text for c in (_RARE_ASCII if text.isascii() else _RARE))
-                or "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[-1:] in (" ", "\n"))
+#: what an even text does not have: other white space, white space next to another or at the end; each blank or line feed is a cut of its own
+_UNEVEN = f"[{_RARE}]|  | \n|\n |\n\n|[ \n]$"
+#: a mark at the end of a piece, after a letter
+_MARKED = rf"\pL[{_MARKS}]$"
+
+
+def _cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The pieces of any texts, each with the white space before it, as they stand; and the places of the texts in them."""
+    found = [_PIECE.findall(text) for text in texts.to_pylist()]
+    pieces = pa.array([p for part in found for p in part], pa.string())
+    return pieces, np.ones(len(pieces), bool), np.cumsum([0, *map(len, found)])
 
 
 def _packed(ids: list[int]) -> bytes:
@@ -52,6 +61,18 @@ def _packed(ids: list[int]) -> bytes:
     return out.tobytes()
 
 
+class Pieces:
+    """Remembered pieces and their ids, as Arrow arrays: about 30 bytes a piece, where a dict takes ten times that."""
+
+    def __init__(self):
+        self.pieces, self.ids = pa.array([], pa.string()), pa.array([], pa.large_binary())
+
+    def add(self, pieces: list[str], ids: list[bytes]) -> None:
+        if pieces:
+            self.pieces = pa.concat_arrays([self.pieces, pa.array(pieces, pa.string())])
+            self.ids = pa.concat_arrays([self.ids, pa.array(ids, pa.large_binary())])
+
+
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids; one per worker and vocabulary file."""
 
@@ -60,7 +81,8 @@ class Encoder:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.marks = {m: _packed(self.tokenizer.encode(m, add_special_tokens=False).ids) for m in _MARKS}
+        #: ids of each mark, and nothing for a piece without one
+        self.marks = pa.array([*(_packed(self.tokenizer.encode(m, add_special_tokens=False).ids) for m in _MARKS), b""], pa.large_binary())
         #: tokens that begin a word after a blank, and tokens that end a word; a vocabulary has one kind or the other
         vocabulary = self.tokenizer.get_vocab()
         self.largest = max(vocabulary.values())
@@ -70,10 +92,14 @@ class Encoder:
         #: whether the vocabulary has no capitals
         self.folds = self.tokenizer.encode("A").ids == self.tokenizer.encode("a").ids
         #: pieces as they stand in a text, and pieces without the blank before them
-        self.known: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        self.plain, self.after = Pieces(), Pieces()
         self.remembered = REMEMBERED if remembered is None else remembered
         self.met = bytearray(MET)
-        self.line_end = _packed(self.tokenizer.encode("\n", add_special_tokens=False).ids)
+
+    @property
+    def known(self) -> tuple[list[str], list[str]]:
+        """The remembered pieces: as they stand in a text, and without the blank before them."""
+        return self.plain.pieces.to_pylist(), self.after.pieces.to_pylist()
 
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         """The ids of each text. Texts are drawn a few at a time, so a batch is never held twice."""
@@ -88,70 +114,107 @@ class Encoder:
         if held:
             yield from self._span(held)
 
-    def _span(self, texts: list[str]) -> list[bytes]:
-        # the lines of an even text, each as its first piece and the pieces after blanks; the pieces of any other
-        parts: list[tuple[list[str], list[list[str]] | None]] = []
-        for text in texts:
-            if _even(text):
-                lines = [line.split(" ") for line in text.split("\n")]
-                parts.append(([line.pop(0) for line in lines], lines))
-            else:
-                parts.append((_PIECE.findall(text), None))
-        plain, after = self.known
-        drop = [*self._learn(plain, set().union(*(heads for heads, _ in parts)), ""),
-                *self._learn(after, set().union(*(rest for _, tails in parts for rest in tails or ())), " ")]
-        out = []
-        for heads, tails in parts:
-            first = map(plain.__getitem__, heads)
-            out.append(b"".join(first) if tails is None else self.line_end.join(
-                [head + b"".join(map(after.__getitem__, rest)) for head, rest in zip(first, tails, strict=True)]))
-        for table, piece in drop:
-            del table[piece]
-        return out
-
-    def _learn(self, table: dict[str, bytes], pieces: set[str], before: str) -> list[tuple[dict, str]]:
-        """Adds the missing pieces to ``table``; returns those that it must not keep."""
-        new = pieces.difference(table)
-        if not new:
-            return []
-        room = self.remembered - len(self.known[0]) - len(self.known[1])
-        # a mark after a word adds its own id; capitals change nothing where the vocabulary has none
-        stems = {p: stem for p in new if (stem := self._stem(p)) is not None}
-        new |= set(stems.values()).difference(table)
-        whole = [p for p in new if p not in stems]
-        if before:
-            # words of letters are encoded many to a call, which saves most of its cost
-            self._learn_joined(table, [p for p in whole if p.isalpha()], before)
-            whole = [p for p in whole if p not in table]
-        found = self.tokenizer.encode_batch_fast([before + p for p in whole], add_special_tokens=False)
-        table.update((p, _packed(e.ids)) for p, e in zip(whole, found, strict=True))
-        for p, stem in sorted(stems.items(), key=lambda x: x[0][-1:] in self.marks):  # a marked word's stem may have one
-            table[p] = table[stem] + (self.marks[p[-1]] if len(stem) < len(p) else b"")
+    def _span(self, texts: list[str]) -> Iterator[bytes]:
+        ids, ends = self.encode_array(pa.array(texts, pa.string()))
+        data, at = memoryview(ids.tobytes()), (4 * ends).tolist()
+        return (bytes(data[a:b]) for a, b in zip([0, *at], at))
+
+    def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts end to end, and where those of each text end. The array is taken as one span."""
+        pa.default_memory_pool().release_unused()  # what the span before took
+        texts = texts.cast(pa.string())
+        odd = pc.match_substring_regex(texts, _UNEVEN).to_numpy(zero_copy_only=False)
+        ids, ends = self._even(texts.filter(pa.array(~odd)))
+        if not odd.any():
+            return ids, ends
+        more, more_ends = self._joined(*_cut(texts.filter(pa.array(odd))))
+        both = [np.split(x, at[:-1]) for x, at in ((ids, ends), (more, more_ends)) if len(at)]
+        place = np.empty(len(odd), int)
+        place[~odd], place[odd] = np.arange(len(ends)), len(ends) + np.arange(len(more_ends))
+        every = [x for part in both for x in part]
+        found = [every[i] for i in place]
+        return np.concatenate(found), np.cumsum([len(x) for x in found])
+
+    def _even(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts in which each blank is a cut of its own; line feeds become pieces of their own."""
+        parts = pc.split_pattern(pc.replace_substring(texts, "\n", " \n "), " ")
+        pieces, bounds = parts.flatten(), parts.offsets.to_numpy()
+        bounds = bounds - (bounds[0] if len(bounds) else 0)
+        line_end = pc.equal(pieces, "\n").to_numpy(zero_copy_only=False)
+        # nothing stands before the first piece of a line but its line feed
+        head = line_end.copy()
+        head[1:] |= line_end[:-1]
+        head[bounds[:-1]] = True
+        return self._joined(pieces, head, bounds)
+
+    def _joined(self, pieces: pa.Array, head: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces, those of ``head`` as they stand and the others after a blank; ``bounds`` has the places of the texts in them."""
+        if not len(pieces):
+            return np.empty(0, "<u4"), np.zeros(len(bounds) - 1, np.int64)
+        coded = pieces.dictionary_encode()
+        codes = 2 * coded.indices.to_numpy() + head
+        used = np.zeros(2 * len(coded.dictionary), bool)
+        used[codes] = True
+        rows, ids, seen = np.zeros(len(used), np.int32), [], 0
+        for table, before, one in ((self.plain, "", 1), (self.after, " ", 0)):
+            own = np.flatnonzero(used[one::2])
+            rows[2 * own + one] = seen + np.arange(len(own))
+            ids.append(self._ids_of(table, coded.dictionary.take(pa.array(own)), before))
+            seen += len(own)
+        flat = pa.concat_arrays(ids).take(pa.array(rows[codes]))
+        offsets = np.frombuffer(flat.buffers()[1], np.int64, len(flat) + 1, 8 * flat.offset)
+        data = np.frombuffer(flat.buffers()[2], "<u4", offsets[-1] // 4) if offsets[-1] else np.empty(0, "<u4")
+        return data[offsets[0] // 4:], (offsets[bounds[1:]] - offsets[0]) // 4
+
+    def _ids_of(self, table: Pieces, pieces: pa.Array, before: str) -> pa.Array:
+        """The ids of each piece. A mark after a word adds its own id, so a word is looked up without it."""
+        marked = pc.match_substring_regex(pieces, _MARKED)
+        coded = pc.if_else(marked, pc.utf8_slice_codeunits(pieces, 0, -1), pieces).dictionary_encode()
+        words = coded.dictionary
+        at = pc.index_in(words, value_set=table.pieces)
+        new = words.filter(pc.is_null(at)).to_pylist()
+        ids = self._encoded(new, before)
+        rows = pc.fill_null(at, -1).to_numpy().copy()
+        rows[rows < 0] = len(table.pieces) + np.arange(len(new))
+        found = pa.concat_arrays([table.ids, pa.array(ids, pa.large_binary())]).take(pa.array(rows))
+        self._remember(table, new, ids)
+        found = found.take(coded.indices)
+        mark = pc.index_in(pc.if_else(marked, pc.utf8_slice_codeunits(pieces, -1), ""), value_set=pa.array([*_MARKS, ""]))
+        return pc.binary_join_element_wise(found, self.marks.take(mark), pa.scalar(b"", pa.large_binary()))
+
+    def _remember(self, table: Pieces, new: list[str], ids: list[bytes]) -> None:
         # frequent pieces are met early; most of the others never come again, and a full table stays as it is
-        drop = []
-        for p in new:
+        room = self.remembered - len(self.plain.pieces) - len(self.after.pieces)
+        keep = []
+        for i, p in enumerate(new):
             at = hash(p) & (MET - 1)
-            if room > 0 and len(p) <= LONGEST and (2 * room > self.remembered or self.met[at]):
+            if room > 0 and len(p) <= LONGEST and p != "\n" and (2 * room > self.remembered or self.met[at]):
                 room -= 1
-            else:
-                drop.append((table, p))
+                keep.append(i)
             self.met[at] = 1
-        return drop
-
-    def _stem(self, piece: str) -> str | None:
-        """The word whose ids make up those of a piece, but for a mark at its end."""
-        word = piece[:-1] if piece[-1:] in self.marks and piece[-2:-1].isalpha() else piece
-        if self.folds and word.isascii() and word.isalpha():
-            word = word.lower()
-        return word if word != piece else None
+        table.add([new[i] for i in keep], [ids[i] for i in keep])
+
+    def _encoded(self, pieces: list[str], before: str) -> list[bytes]:
+        """The ids of pieces by the library."""
+        # capitals change nothing where the vocabulary has none
+        low = {p: p.lower() for p in pieces if self.folds and p.isascii() and p.isalpha()}
+        table: dict[str, bytes] = {}
+        whole = list(dict.fromkeys(low.get(p, p) for p in pieces))
+        if before:
+            # words of letters are encoded many to a call, which saves most of its cost
+            self._learn_joined(table, [p for p in whole if p.isalpha()], before)
+            whole = [p for p in whole if p not in table]
+        for i in range(0, len(whole), CALL):
+            found = self.tokenizer.encode_batch_fast([before + p for p in whole[i:i + CALL]], add_special_tokens=False)
+            table.update((p, _packed(e.ids)) for p, e in zip(whole[i:i + CALL], found, strict=True))
+        return [table[low.get(p, p)] for p in pieces]
 
     def _learn_joined(self, table: dict[str, bytes], words: list[str], before: str) -> None:
         """Encode words side by side and part their ids at the tokens that begin or end a word; where the parts
         are not as many as the words, none of them is learned here."""
-        runs = [words[i:i + JOINED] for i in range(0, len(words), JOINED)]
-        found = self.tokenizer.encode_batch_fast([before + before.join(run) for run in runs], add_special_tokens=False)
-        for run, e in zip(runs, found, strict=True):
-            ids = np.array(e.ids, "<u4")
+        for i in range(0, len(words), JOINED):
+            run = words[i:i + JOINED]
+            ids = np.array(self.tokenizer.encode_batch_fast([before + before.join(run)], add_special_tokens=False)[0].ids, "<u4")
             if self.ends.any():
                 bounds = [0, *(4 * np.flatnonzero(self.ends[ids]) + 4).tolist()]
             else:

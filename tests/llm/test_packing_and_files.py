@@ -1,11 +1,13 @@
 """Tokens, packing, mixing, token files and archives: exact round trips and bounds."""
 
 import collections
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import zstandard
 from conftest import DATA
@@ -371,3 +373,15 @@ def test_pieces_that_never_come_again_take_no_room(path):
     assert [ids for text in texts for ids in worker.encode([text])] == wanted
     assert sum(map(len, worker.known)) <= 60 and not any("\n" in piece for table in worker.known for piece in table)
     assert "Next" in worker.known[0] and "word" in worker.known[1]
+
+
+def test_remembered_pieces_take_little_memory():
+    """Beside its batches a worker holds well under 100 bytes for each piece that it remembers."""
+    worker = Encoder(WORDS, 100_000)
+    text = " ".join(f"piece{i}x" for i in range(40_000))
+    arrow = pa.total_allocated_bytes()
+    tracemalloc.start()
+    ids, ends = worker.encode_array(pa.array([text]))
+    held = tracemalloc.get_traced_memory()[0] - ids.nbytes + pa.total_allocated_bytes() - arrow
+    tracemalloc.stop()
+    assert len(ids) == ends[-1] and sum(map(len, worker.known)) == 40_000 and held < 100 * 40_000
