@@ -79,3 +79,24 @@ def test_odd_vectors(spark, tmp_path):
     assert rows_of(nearest(asked, rows, 5)) == want
     none = by_cells.lay_out(rows.filter(F.col("id") == "b"), f"{tmp_path}/none")
     assert by_cells.search(asked, none, 5).isEmpty() and by_cells.search(asked.limit(0), cells, 5).isEmpty()
+
+
+@pytest.mark.parametrize("kind", ["drawn", "copies", "ties"])
+def test_blocks_are_compared_tile_by_tile(kind, monkeypatch):
+    """Equal to brute force over tiles, copies and ties; no matrix holds a distance for every query and row of a block."""
+    draw = np.random.default_rng(3)
+    rows, asked = draw.normal(size=(5000, 8)), draw.normal(size=(300, 8))
+    if kind == "copies":
+        rows = np.repeat(rows[:3], 1667, axis=0)[:5000]
+    elif kind == "ties":
+        rows, asked = np.round(rows), np.round(asked)
+    ids = draw.permutation(5000)
+    sizes, partition = [], np.partition
+    monkeypatch.setattr(np, "partition", lambda x, *a, **b: sizes.append(x.size) or partition(x, *a, **b))
+    found = by_cells.nearest_in_batch(np.arange(300), asked, ids, rows, 7)
+    for i in range(0, 300, 37):
+        away = ((rows - asked[i]) ** 2).sum(axis=1)
+        best = np.lexsort((ids, away))[:7]
+        own = found[found["query_id"] == i]
+        assert own["id"].tolist() == ids[best].tolist() and own["distance"].tolist() == away[best].tolist()
+    assert max(sizes) <= 256 * 1024
