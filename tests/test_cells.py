@@ -1,6 +1,7 @@
 """Search by cells: equal to brute force, and far cells stay closed."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,3 +101,22 @@ def test_blocks_are_compared_tile_by_tile(kind, monkeypatch):
         own = found[found["query_id"] == i]
         assert own["id"].tolist() == ids[best].tolist() and own["distance"].tolist() == away[best].tolist()
     assert max(sizes) <= 256 * 1024
+
+
+@pytest.mark.parametrize("later", [False, True])
+def test_cells_of_many_queries_are_chosen_together(later):
+    """A batch of queries gives few frames, with the cells that each query alone would get."""
+    draw = np.random.default_rng(5)
+    group = by_cells.Group(np.arange(3, 23), draw.normal(size=(20, 6)), draw.random(20), draw.integers(1, 9, 20))
+    batch = pd.DataFrame({"query_id": np.arange(900), "embedding": list(draw.normal(size=(900, 6))), "bound": draw.random(900) * 4})
+    frames = list(by_cells._cells_of({6: group}, 7, later)([batch]))
+    wanted = []
+    for i, query in enumerate(batch["embedding"]):
+        away = np.sqrt(((group.centres - query) ** 2).sum(axis=1))
+        order = np.argsort(away, kind="stable")
+        enough = next(n for n in range(1, 21) if group.rows[order[:n]].sum() >= 7)
+        met = [c for c in order[enough:] if away[c] - group.radius[c] <= np.sqrt(batch["bound"][i]) + 1e-9] if later else order[:enough]
+        wanted += [(i, int(group.cells[c])) for c in met]
+    found = pd.concat(frames)
+    assert list(zip(found["query_id"], found["cell"])) == wanted and len(frames) <= 5
+    assert all((v == batch["embedding"][q]).all() for q, v in zip(found["query_id"], found["embedding"]))
