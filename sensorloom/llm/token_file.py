@@ -72,7 +72,7 @@ class EliasFano:
                          self.samples.tobytes()])
 
     @classmethod
-    def from_bytes(cls, data: bytes) -> EliasFano:
+    def from_bytes(cls, data: bytes | memoryview) -> EliasFano:
         count, low_bits, last = _SEQUENCE.unpack_from(data)
         a = _SEQUENCE.size
         b = a + (count * low_bits + 7) // 8
@@ -161,7 +161,7 @@ class Block:
             yield i, names, np.concatenate([[self.ends.select(i - 1) if i else 0], self.ends.values(i, j)]).astype(np.int64)
 
 
-def read_blocks(data: bytes) -> Iterator[Block]:
+def read_blocks(data: bytes | memoryview) -> Iterator[Block]:
     """Every block of a file."""
     at = 0
     while at < len(data):
@@ -258,23 +258,28 @@ def write_tokens(docs: DataFrame, vocabulary: str, folder: str, end_id: int = EN
         ordered.mapInArrow(blocks, "block binary").select(F.col("block").cast("string").alias("value")).write.text(folder)
 
 
+def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The documents of whole files, which are read where they lie in the batches. A worker outlives this and keeps nothing of it."""
+    names = ["file", "block", "at", "doc_id", "local_start", "n_tokens", "ids"]
+    for batch in batches:
+        for content in batch.column(0):
+            for block in read_blocks(memoryview(content.as_buffer())):
+                for first, doc_ids, starts in block.runs():
+                    n, offsets = len(doc_ids), 4 * (starts - starts[0])
+                    data = pa.py_buffer(block.ids[int(starts[0]):int(starts[-1])].astype("<u4"))
+                    # from buffers, as an Arrow array made of memoryviews never lets go of their memory
+                    ids = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets), data]).cast(pa.binary())
+                    yield pa.record_batch([
+                        pa.array(np.full(n, block.file)), pa.array(np.full(n, block.block)), pa.array(np.arange(first, first + n)),
+                        pa.array(doc_ids, pa.int64()), pa.array(starts[:-1]), pa.array(np.diff(starts)), ids], names)
+        batch = content = block = None
+        pa.default_memory_pool().release_unused()
+
+
 def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
     """(file, block, at, doc_id, local_start, n_tokens, ids) of every document; ids little-endian unsigned 32 bits."""
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["file", "block", "at", "doc_id", "local_start", "n_tokens", "ids"]
-        for batch in batches:
-            for content in batch.column(0):
-                for block in read_blocks(content.as_py()):
-                    for first, doc_ids, starts in block.runs():
-                        n, begin = len(doc_ids), int(starts[0])
-                        data = memoryview(block.ids[begin:int(starts[-1])].astype("<u4").tobytes())
-                        bounds = (4 * (starts - begin)).tolist()
-                        yield pa.record_batch([
-                            pa.array(np.full(n, block.file)), pa.array(np.full(n, block.block)), pa.array(np.arange(first, first + n)),
-                            pa.array(doc_ids, pa.int64()), pa.array(starts[:-1]), pa.array(np.diff(starts)),
-                            pa.array([data[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], names)
     files = spark.read.format("binaryFile").load(folder).select("content")
-    return files.mapInArrow(parse, "file long, block long, at long, doc_id long, local_start long, n_tokens long, ids binary")
+    return files.mapInArrow(parsed, "file long, block long, at long, doc_id long, local_start long, n_tokens long, ids binary")
 
 
 def read_back(spark: SparkSession, folder: str) -> DataFrame:

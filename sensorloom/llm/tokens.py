@@ -39,6 +39,8 @@ _BLANK, _WORD_END = "\u0120", "</w>"
 #: words encoded side by side, and pieces in one call
 JOINED = 64
 CALL = 2048
+#: unknown pieces held as Python strings at a time
+LEARNED = 16_384
 
 
 #: what an even text does not have: other white space, white space next to another or at the end; each blank or line feed is a cut of its own
@@ -49,8 +51,8 @@ _MARKED = rf"\pL[{_MARKS}]$"
 
 def _cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """The pieces of any texts, each with the white space before it, as they stand; and the places of the texts in them."""
-    found = [_PIECE.findall(text) for text in texts.to_pylist()]
-    pieces = pa.array([p for part in found for p in part], pa.string())
+    found = [pa.array(_PIECE.findall(text.as_py()), pa.string()) for text in texts]
+    pieces = pa.concat_arrays(found)
     return pieces, np.ones(len(pieces), bool), np.cumsum([0, *map(len, found)])
 
 
@@ -67,10 +69,9 @@ class Pieces:
     def __init__(self):
         self.pieces, self.ids = pa.array([], pa.string()), pa.array([], pa.large_binary())
 
-    def add(self, pieces: list[str], ids: list[bytes]) -> None:
-        if pieces:
-            self.pieces = pa.concat_arrays([self.pieces, pa.array(pieces, pa.string())])
-            self.ids = pa.concat_arrays([self.ids, pa.array(ids, pa.large_binary())])
+    def add(self, pieces: pa.Array, ids: pa.Array) -> None:
+        if len(pieces):
+            self.pieces, self.ids = pa.concat_arrays([self.pieces, pieces]), pa.concat_arrays([self.ids, ids])
 
 
 class Encoder:
@@ -121,7 +122,6 @@ class Encoder:
 
     def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts end to end, and where those of each text end. The array is taken as one span."""
-        pa.default_memory_pool().release_unused()  # what the span before took
         texts = texts.cast(pa.string())
         odd = pc.match_substring_regex(texts, _UNEVEN).to_numpy(zero_copy_only=False)
         ids, ends = self._even(texts.filter(pa.array(~odd)))
@@ -161,6 +161,8 @@ class Encoder:
             rows[2 * own + one] = seen + np.arange(len(own))
             ids.append(self._ids_of(table, coded.dictionary.take(pa.array(own)), before))
             seen += len(own)
+            # else the pool keeps what each lookup took, far more than the pieces
+            pa.default_memory_pool().release_unused()
         flat = pa.concat_arrays(ids).take(pa.array(rows[codes]))
         offsets = np.frombuffer(flat.buffers()[1], np.int64, len(flat) + 1, 8 * flat.offset)
         data = np.frombuffer(flat.buffers()[2], "<u4", offsets[-1] // 4) if offsets[-1] else np.empty(0, "<u4")
@@ -172,17 +174,25 @@ class Encoder:
         coded = pc.if_else(marked, pc.utf8_slice_codeunits(pieces, 0, -1), pieces).dictionary_encode()
         words = coded.dictionary
         at = pc.index_in(words, value_set=table.pieces)
-        new = words.filter(pc.is_null(at)).to_pylist()
-        ids = self._encoded(new, before)
-        rows = pc.fill_null(at, -1).to_numpy().copy()
-        rows[rows < 0] = len(table.pieces) + np.arange(len(new))
-        found = pa.concat_arrays([table.ids, pa.array(ids, pa.large_binary())]).take(pa.array(rows))
-        self._remember(table, new, ids)
+        unknown = pc.is_null(at)
+        found, new = table.ids.take(at), words.filter(unknown)
+        if len(new):
+            parts = [new.slice(i, LEARNED) for i in range(0, len(new), LEARNED)]
+            found = pc.replace_with_mask(found, unknown, pa.concat_arrays([self._learned(table, part, before) for part in parts]))
         found = found.take(coded.indices)
         mark = pc.index_in(pc.if_else(marked, pc.utf8_slice_codeunits(pieces, -1), ""), value_set=pa.array([*_MARKS, ""]))
         return pc.binary_join_element_wise(found, self.marks.take(mark), pa.scalar(b"", pa.large_binary()))
 
-    def _remember(self, table: Pieces, new: list[str], ids: list[bytes]) -> None:
+    def _learned(self, table: Pieces, pieces: pa.Array, before: str) -> pa.Array:
+        """The ids of pieces not in the table, which remembers some of them."""
+        new = pieces.to_pylist()
+        ids = pa.array(self._encoded(new, before), pa.large_binary())
+        keep = pa.array(self._worth(new), pa.int32())
+        table.add(pieces.take(keep), ids.take(keep))
+        return ids
+
+    def _worth(self, new: list[str]) -> list[int]:
+        """The places of those pieces that a table is to remember."""
         # frequent pieces are met early; most of the others never come again, and a full table stays as it is
         room = self.remembered - len(self.plain.pieces) - len(self.after.pieces)
         keep = []
@@ -192,7 +202,7 @@ class Encoder:
                 room -= 1
                 keep.append(i)
             self.met[at] = 1
-        table.add([new[i] for i in keep], [ids[i] for i in keep])
+        return keep
 
     def _encoded(self, pieces: list[str], before: str) -> list[bytes]:
         """The ids of pieces by the library."""

@@ -385,3 +385,32 @@ def test_remembered_pieces_take_little_memory():
     held = tracemalloc.get_traced_memory()[0] - ids.nbytes + pa.total_allocated_bytes() - arrow
     tracemalloc.stop()
     assert len(ids) == ends[-1] and sum(map(len, worker.known)) == 40_000 and held < 100 * 40_000
+
+
+def test_read_files_are_let_go():
+    """A worker that has read token files keeps none of their ids, however many it reads."""
+    tokens = [np.arange(i, i + 400, dtype="<u4").tobytes() for i in range(1500)]
+    files = [token_file.write_block(file, 0, [None, *range(1499)], tokens) + b"\n" for file in range(4)]
+
+    def read():
+        batches = (pa.record_batch([pa.array([file, b""], pa.binary())], ["content"]) for file in files)
+        return [(r["file"], r["at"], r["doc_id"], r["n_tokens"], zlib.crc32(r["ids"])) for found in token_file.parsed(batches) for r in found.to_pylist()]
+    want = [(file, i, i - 1 if i else None, 400, zlib.crc32(ids)) for file in range(4) for i, ids in enumerate(tokens)]
+    assert read() == want
+    arrow = pa.total_allocated_bytes()
+    tracemalloc.start()
+    before = tracemalloc.get_traced_memory()[0]
+    again = read() == want
+    held = tracemalloc.get_traced_memory()[0] - before + pa.total_allocated_bytes() - arrow
+    tracemalloc.stop()
+    assert again and held < sum(map(len, tokens)) // 4
+
+
+def test_unknown_pieces_are_learned_some_at_a_time(monkeypatch):
+    """The ids are the library's where known and unknown pieces of a text lie in several calls, with even and uneven texts."""
+    monkeypatch.setattr("sensorloom.llm.tokens.LEARNED", 7)
+    for path in (BYTES, WORDS):
+        worker = Encoder(path, 1000)
+        for texts in ([" ".join(f"w{i % k}q" for i in range(60)) + "  end," for k in (5, 30, 60)], TRICKY, ["w1q w99q w3q.", *TRICKY]):
+            wanted = [np.array(e.ids, "<u4").tobytes() for e in worker.tokenizer.encode_batch(texts, add_special_tokens=False)]
+            assert list(worker.encode(texts)) == wanted
